@@ -11,6 +11,7 @@ from spendgrid.functions import amounts as A
 from spendgrid.functions import text as X
 from spendgrid.operators import analytics as N
 from spendgrid.operators import prepare as P
+from spendgrid.session import cut_lineage
 
 QUERIES = {}
 ORACLES = {}
@@ -132,8 +133,14 @@ def prepared(spark, sf_dir):
     return P.prepare_transactions(D.transactions(spark, sf_dir))
 
 
+def cube(spark, sf_dir):
+    """The cube, written once: every use below reads the reduced rows instead of the transactions."""
+    return cut_lineage(N.spending_cube(prepared(spark, sf_dir)))
+
+
 def flagged(spark, sf_dir):
-    return N.with_flow_flags(prepared(spark, sf_dir))
+    facts = cube(spark, sf_dir)
+    return N.with_flow_flags(facts, N.category_kinds(facts))
 
 
 def register(name, oracle=None):
@@ -192,14 +199,14 @@ def _(spark, sf_dir):
 SELECT user_id, strftime(min(date), '%Y-%m-%dT%H:%M:%S') AS first_date, strftime(max(date), '%Y-%m-%dT%H:%M:%S') AS last_date,
    count(*) AS total_transactions FROM prep GROUP BY user_id""")
 def _(spark, sf_dir):
-    period = N.analysis_period(prepared(spark, sf_dir))
+    period = N.analysis_period(cube(spark, sf_dir))
     return period.select("user_id", A.iso_timestamp("first_date").alias("first_date"),
                          A.iso_timestamp("last_date").alias("last_date"), "total_transactions")
 
 
 @register("category_kinds", KINDS + " SELECT user_id, category, rows, rows_in, kind FROM kinds")
 def _(spark, sf_dir):
-    return N.category_kinds(prepared(spark, sf_dir))
+    return N.category_kinds(cube(spark, sf_dir))
 
 
 @register("category_lists", KINDS + """
@@ -209,7 +216,7 @@ SELECT user_id, string_agg(category, '|' ORDER BY category) AS all_categories,
    coalesce(string_agg(category, '|' ORDER BY category) FILTER (kind = 'transfer'), '') AS transfer_categories
 FROM kinds GROUP BY user_id""")
 def _(spark, sf_dir):
-    lists = N.category_lists(N.category_kinds(prepared(spark, sf_dir)))
+    lists = N.category_lists(N.category_kinds(cube(spark, sf_dir)))
     return lists.select("user_id", *[F.array_join(c, "|").alias(c) for c in lists.columns if c != "user_id"])
 
 
@@ -217,7 +224,8 @@ def _(spark, sf_dir):
 SELECT user_id, category, count(*) FILTER (is_expense) AS expenses, count(*) FILTER (is_income) AS incomes FROM flagged GROUP BY ALL""")
 def _(spark, sf_dir):
     return flagged(spark, sf_dir).groupBy("user_id", "category").agg(
-        F.count_if("is_expense").alias("expenses"), F.count_if("is_income").alias("incomes"))
+        F.sum(F.when(F.col("is_expense"), F.col("n")).otherwise(0)).alias("expenses"),
+        F.sum(F.when(F.col("is_income"), F.col("n")).otherwise(0)).alias("incomes"))
 
 
 @register("vendor_profile", PROFILE + """
@@ -255,14 +263,14 @@ def _(spark, sf_dir):
 @register("outliers", KINDS + OUTLIERS + """
 SELECT user_id, tx_id, description, amount, strftime(date, '%Y-%m-%dT%H:%M:%S') AS date, vendor, category, severity FROM large""")
 def _(spark, sf_dir):
-    return (N.outliers(flagged(spark, sf_dir)).drop("mean_amount", "seq")
+    return (N.outliers(prepared(spark, sf_dir), flagged(spark, sf_dir)).drop("mean_amount", "seq")
             .withColumn("date", A.iso_timestamp("date")))
 
 
 @register("outliers_excluding", KINDS.replace("'spending') AS is_expense", "'spending') AND category NOT IN ('Unknown', 'Cash') AS is_expense")
           + OUTLIERS + " SELECT user_id, tx_id, amount, severity FROM large")
 def _(spark, sf_dir):
-    return N.outliers(flagged(spark, sf_dir), ["Unknown", "Cash"]).select("user_id", "tx_id", "amount", "severity")
+    return N.outliers(prepared(spark, sf_dir), flagged(spark, sf_dir), ["Unknown", "Cash"]).select("user_id", "tx_id", "amount", "severity")
 
 
 @register("recurring_vendors", RECURRING + " SELECT user_id, vendor, amount, frequency, category, severity, first_seq FROM recurring")
@@ -275,7 +283,7 @@ SELECT user_id, type, vendor, category, severity, amount, frequency, tx_id FROM
  SELECT user_id, 'large_transaction' AS type, vendor, category, severity, amount, NULL::BIGINT AS frequency, tx_id FROM large
  UNION ALL SELECT user_id, 'potential_subscription', vendor, category, severity, amount, frequency, NULL FROM recurring)""")
 def _(spark, sf_dir):
-    return N.anomalies(flagged(spark, sf_dir)).select(
+    return N.anomalies(prepared(spark, sf_dir), flagged(spark, sf_dir)).select(
         "user_id", "type", "vendor", "category", "severity", "amount", "frequency", "tx_id")
 
 
@@ -286,7 +294,7 @@ UNION ALL SELECT user_id, first_seq, 'Potential subscription: ' || vendor || ' $
    || frequency || ' similar transactions)' FROM recurring""")
 def _(spark, sf_dir):
     rows = flagged(spark, sf_dir)
-    return N.anomaly_insights(N.outliers(rows), N.recurring_vendors(rows))
+    return N.anomaly_insights(N.outliers(prepared(spark, sf_dir), rows), N.recurring_vendors(rows))
 
 
 @register("subscription_detail", DETAIL + """
@@ -367,7 +375,7 @@ def _(spark, sf_dir):
 SELECT user_id, is_weekend, count(*) AS transactions, avg(amount_abs) AS average_amount, sum(amount_abs) AS total_amount
 FROM flagged WHERE is_expense GROUP BY ALL""")
 def _(spark, sf_dir):
-    return N.weekday_weekend(flagged(spark, sf_dir))
+    return N.weekday_weekend(prepared(spark, sf_dir), N.category_kinds(cube(spark, sf_dir)))
 
 
 @register("category_share", KINDS + """

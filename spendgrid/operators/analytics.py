@@ -1,10 +1,11 @@
 """Spending analytics over prepared transactions, for all users in one job.
 
-Each function takes canonical transactions (see :func:`spendgrid.operators.prepare.prepare_transactions`)
-or the output of :func:`with_flow_flags`, and groups by ``user_id``.  Aggregates are two-step: first by
-the finest key with partial aggregation, then per user on the much smaller result, so a user or a
-vendor that owns a large share of the rows never has its raw rows gathered in one task.  Measures are
-left unrounded; :func:`rounded` gives the two-decimal presentation.
+Almost every report needs only sums, counts, extremes and first rows, so the transactions are reduced
+once to a cube with one row per user, vendor, category and direction (:func:`spending_cube`).  That one
+pass combines partially before its shuffle, and a user or vendor with a large share of the rows costs
+no more than any other.  All other functions work on the cube, except the outliers, which read the
+transactions a second time against a small table of limits.  Measures are left unrounded;
+:func:`rounded` gives the two-decimal presentation.
 """
 
 from __future__ import annotations
@@ -34,11 +35,21 @@ def keyword_kind(category: Column) -> Column:
             .otherwise(F.lit("spending")))
 
 
-def category_kinds(df: DataFrame) -> DataFrame:
+def spending_cube(df: DataFrame) -> DataFrame:
+    """One row per user, vendor, category and direction with every sum the reports need.
+
+    Only primitive sums and extremes, so both aggregation sides are hash based.
+    """
+    return df.groupBy("user_id", "vendor", "category", "money_in").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("amount_abs").alias("total"),
+        F.sum(F.col("amount_abs") * F.col("amount_abs")).alias("squares"),
+        F.min("seq").alias("first_seq"), F.min("date").alias("first"), F.max("date").alias("last"))
+
+
+def category_kinds(cube: DataFrame) -> DataFrame:
     """Kind of every category of every user: by name, then spending refined by the share of money in."""
-    shares = df.groupBy("user_id", "category").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.sum(F.col("money_in").cast("long")).alias("rows_in"))
+    shares = cube.groupBy("user_id", "category").agg(
+        F.sum("n").alias("rows"), F.sum(F.when(F.col("money_in"), F.col("n")).otherwise(0)).alias("rows_in"))
     named = keyword_kind(F.col("category"))
     share = F.col("rows_in") / F.col("rows")
     kind = F.when((named == "spending") & (share > fv.INCOME_SHARE), F.lit("income")).otherwise(named)
@@ -54,14 +65,12 @@ def category_lists(kinds: DataFrame) -> DataFrame:
         listed("spending"), listed("income"), listed("transfer"))
 
 
-def with_flow_flags(df: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
-    """Add ``is_expense`` and ``is_income``; a row may be both.
+def with_flow_flags(df: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Add ``is_expense`` and ``is_income`` to cube rows or transactions; a row may be both.
 
-    The category kinds are one row per user and category.  No broadcast is forced: the planner
-    broadcasts them when their measured size allows, otherwise the join is skew-split at run time.
+    The kinds are one row per user and category.  No broadcast is forced: the planner broadcasts them
+    when their measured size allows, otherwise the join is skew-split at run time.
     """
-    if kinds is None:
-        kinds = category_kinds(df)
     flagged = df.join(kinds.select("user_id", "category", "kind"), ["user_id", "category"], "left")
     return flagged.withColumns({
         "is_expense": ~F.col("money_in") | (F.col("kind") == "spending"),
@@ -73,10 +82,9 @@ def expenses(flagged: DataFrame, excluded: Sequence[str] = ()) -> DataFrame:
     return without_categories(flagged.where("is_expense"), excluded)
 
 
-def analysis_period(df: DataFrame) -> DataFrame:
-    return df.groupBy("user_id").agg(
-        F.min("date").alias("first_date"), F.max("date").alias("last_date"),
-        F.count(F.lit(1)).alias("total_transactions"))
+def analysis_period(cube: DataFrame) -> DataFrame:
+    return cube.groupBy("user_id").agg(
+        F.min("first").alias("first_date"), F.max("last").alias("last_date"), F.sum("n").alias("total_transactions"))
 
 
 # --- vendors ----------------------------------------------------------------------------------------
@@ -85,11 +93,12 @@ def vendor_profile(flagged: DataFrame, excluded: Sequence[str] = ()) -> DataFram
     """Spend, mean, visits, first and last visit and most common category per user and vendor.
 
     The most common category comes from the counts of the finer grouping (smallest name on ties), so
-    no per-vendor map of categories is built.
+    no per-vendor map of categories is built.  One exchange by user and vendor serves both groupings.
     """
-    fine = expenses(flagged, excluded).groupBy("user_id", "vendor", "category").agg(
-        F.sum("amount_abs").alias("spent"), F.count(F.lit(1)).alias("visits"),
-        F.min("date").alias("first"), F.max("date").alias("last"))
+    fine = (expenses(flagged, excluded).repartition("user_id", "vendor")
+            .groupBy("user_id", "vendor", "category").agg(
+                F.sum("total").alias("spent"), F.sum("n").alias("visits"),
+                F.min("first").alias("first"), F.max("last").alias("last")))
     profile = fine.groupBy("user_id", "vendor").agg(
         F.sum("spent").alias("total_spent"), F.sum("visits").alias("visit_count"),
         F.min("first").alias("first_visit"), F.max("last").alias("last_visit"),
@@ -134,20 +143,30 @@ def vendor_insights(top: DataFrame) -> DataFrame:
 
 # --- anomalies ------------------------------------------------------------------------------------------
 
-def outliers(flagged: DataFrame, excluded: Sequence[str] = ()) -> DataFrame:
+def _deviation(n: Column, total: Column, squares: Column) -> Column:
+    """Sample standard deviation from sums; null below two rows."""
+    spread = F.greatest(squares - total * total / n, F.lit(0.0))
+    return F.sqrt(F.when(n > 1, spread / (n - 1)))
+
+
+def outliers(df: DataFrame, flagged: DataFrame, excluded: Sequence[str] = ()) -> DataFrame:
     """Expenses above mean plus two sample deviations of the user's expenses.
 
-    The per-user statistics are partially aggregated and joined back; a window over the user would
-    put all rows of a heavy user into one task.
+    ``df`` holds the transactions, ``flagged`` the flagged cube they were reduced to.  The limits come
+    from the cube, one row per user and category that may hold expenses, and meet the transactions in
+    a single join; a window over the user would put a heavy user into one task.
     """
-    spent = expenses(flagged, excluded)
-    stats = (spent.groupBy("user_id")
-             .agg(F.count(F.lit(1)).alias("n"), F.avg("amount_abs").alias("mean_amount"),
-                  F.stddev_samp("amount_abs").alias("sd"))
-             .where(F.col("n") > fv.OUTLIER_MIN_ROWS)
-             .select("user_id", "mean_amount",
-                     (F.col("mean_amount") + fv.OUTLIER_DEVIATIONS * F.col("sd")).alias("threshold")))
-    large = spent.join(stats, "user_id").where(F.col("amount_abs") > F.col("threshold"))
+    sums = expenses(flagged, excluded).groupBy("user_id").agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"))
+    mean = F.col("total") / F.col("n")
+    limits = sums.where(F.col("n") > fv.OUTLIER_MIN_ROWS).select(
+        "user_id", mean.alias("mean_amount"),
+        (mean + fv.OUTLIER_DEVIATIONS * _deviation(F.col("n"), F.col("total"), F.col("squares"))).alias("threshold"))
+    categories = without_categories(flagged, excluded).groupBy("user_id", "category").agg(
+        F.max(F.col("kind") == "spending").alias("spends"))
+    limits = categories.join(limits, "user_id")
+    large = df.join(limits, ["user_id", "category"]).where(
+        (F.col("amount_abs") > F.col("threshold")) & (~F.col("money_in") | F.col("spends")))
     return large.select(
         "user_id", "tx_id", "seq", "description", F.col("amount_abs").alias("amount"), "date", "vendor", "category",
         F.when(F.col("amount_abs") > F.col("threshold") * fv.OUTLIER_HIGH_FACTOR, F.lit("high"))
@@ -156,30 +175,21 @@ def outliers(flagged: DataFrame, excluded: Sequence[str] = ()) -> DataFrame:
 
 
 def recurring_vendors(flagged: DataFrame, excluded: Sequence[str] = ()) -> DataFrame:
-    """Vendors with at least three expenses of nearly the same size: potential subscriptions.
-
-    The raw rows are reduced with primitive sums only (hash aggregation); the first row's category
-    and the deviation are settled on the reduced rows.
-    """
-    fine = expenses(flagged, excluded).groupBy("user_id", "vendor", "category").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("amount_abs").alias("s"),
-        F.sum(F.col("amount_abs") * F.col("amount_abs")).alias("s2"), F.min("seq").alias("seq"))
-    stats = fine.groupBy("user_id", "vendor").agg(
-        F.sum("n").alias("frequency"), F.sum("s").alias("s"), F.sum("s2").alias("s2"),
-        F.min(F.struct("seq", "category")).alias("first_row"))
-    mean = F.col("s") / F.col("frequency")
-    spread = F.greatest(F.col("s2") - F.col("s") * mean, F.lit(0.0))
-    sd = F.sqrt(F.try_divide(spread, F.col("frequency") - 1))
-    steady = (F.col("frequency") >= fv.RECURRING_MIN_ROWS) & (mean > 0) & (
-        F.try_divide(sd, mean) < fv.RECURRING_MAX_VARIATION)
+    """Vendors with at least three expenses of nearly the same size: potential subscriptions."""
+    stats = expenses(flagged, excluded).groupBy("user_id", "vendor").agg(
+        F.sum("n").alias("frequency"), F.sum("total").alias("total"), F.sum("squares").alias("squares"),
+        F.min(F.struct("first_seq", "category")).alias("first_row"))
+    mean = F.col("total") / F.col("frequency")
+    variation = F.try_divide(_deviation(F.col("frequency"), F.col("total"), F.col("squares")), mean)
+    steady = (F.col("frequency") >= fv.RECURRING_MIN_ROWS) & (mean > 0) & (variation < fv.RECURRING_MAX_VARIATION)
     return stats.where(steady).select(
         "user_id", "vendor", mean.alias("amount"), "frequency", F.col("first_row.category").alias("category"),
-        F.lit("low").alias("severity"), F.col("first_row.seq").alias("first_seq"))
+        F.lit("low").alias("severity"), F.col("first_row.first_seq").alias("first_seq"))
 
 
-def anomalies(flagged: DataFrame, excluded: Sequence[str] = ()) -> DataFrame:
+def anomalies(df: DataFrame, flagged: DataFrame, excluded: Sequence[str] = ()) -> DataFrame:
     """Outlier rows and recurring vendors in one list; fields of the other kind are null."""
-    large = outliers(flagged, excluded).drop("mean_amount").withColumn("type", F.lit("large_transaction"))
+    large = outliers(df, flagged, excluded).drop("mean_amount").withColumn("type", F.lit("large_transaction"))
     steady = recurring_vendors(flagged, excluded).drop("first_seq").withColumn("type", F.lit("potential_subscription"))
     return large.unionByName(steady, allowMissingColumns=True)
 
@@ -211,14 +221,14 @@ def vendors_containing(vendors: DataFrame, wanted: DataFrame) -> DataFrame:
             .where(F.contains(F.upper("vendor"), F.upper("wanted"))).drop("_gram"))
 
 
-def subscription_detail(df: DataFrame, recurring: DataFrame, excluded: Sequence[str] = ()) -> DataFrame:
+def subscription_detail(cube: DataFrame, recurring: DataFrame, excluded: Sequence[str] = ()) -> DataFrame:
     """Totals, span and projected cost of each recurring vendor.
 
     The frequency is that of the exact vendor; span and total cover every transaction, income
     included, of any vendor whose name contains it.
     """
-    per_vendor = df.groupBy("user_id", "vendor").agg(
-        F.sum("amount_abs").alias("spent"), F.min("date").alias("first"), F.max("date").alias("last"))
+    per_vendor = cube.groupBy("user_id", "vendor").agg(
+        F.sum("total").alias("spent"), F.min("first").alias("first"), F.max("last").alias("last"))
     wanted = without_categories(recurring, excluded, ignore_case=True)
     matched = (vendors_containing(per_vendor, wanted.select("user_id", "vendor"))
                .groupBy("user_id", "wanted")
@@ -279,7 +289,7 @@ def subscription_insights(detail: DataFrame, summary: DataFrame) -> DataFrame:
 
 def category_savings(flagged: DataFrame, excluded: Sequence[str] = ()) -> DataFrame:
     """Reduction candidates among the five largest categories: discretionary, or above the mean category."""
-    totals = expenses(flagged, excluded).groupBy("user_id", "category").agg(F.sum("amount_abs").alias("current_spending"))
+    totals = expenses(flagged, excluded).groupBy("user_id", "category").agg(F.sum("total").alias("current_spending"))
     means = totals.groupBy("user_id").agg(F.avg("current_spending").alias("mean_spending"))
     order = W.partitionBy("user_id").orderBy(F.desc("current_spending"), "category")
     top = (totals.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= fv.TOP_CATEGORIES)
@@ -294,7 +304,7 @@ def category_savings(flagged: DataFrame, excluded: Sequence[str] = ()) -> DataFr
 def vendor_consolidation(flagged: DataFrame, excluded: Sequence[str] = ()) -> DataFrame:
     """Users with more than one grocery vendor, their vendors by spend, and a tenth of the total."""
     totals = (expenses(flagged, excluded).where(X.contains_any(F.col("vendor"), fv.GROCERY_KEYWORDS))
-              .groupBy("user_id", "vendor").agg(F.sum("amount_abs").alias("spent")))
+              .groupBy("user_id", "vendor").agg(F.sum("total").alias("spent")))
     merged = totals.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("spent").alias("current_spending"),
         F.array_sort(F.collect_list(F.struct((-F.col("spent")).alias("spent"), F.col("vendor")))).alias("listed"))
@@ -325,9 +335,9 @@ def cash_flow(flagged: DataFrame, excluded: Sequence[str] = ()) -> DataFrame:
     if excluded:
         spends = spends & ~F.col("category").isin(*excluded)
     totals = flagged.groupBy("user_id").agg(
-        F.sum(F.when(F.col("is_income"), F.col("amount_abs")).otherwise(0.0)).alias("total_income"),
-        F.sum(F.when(spends, F.col("amount_abs")).otherwise(0.0)).alias("total_expenses"),
-        A.at_least_one_day(A.elapsed_days(F.min("date"), F.max("date"))).alias("days"))
+        F.sum(F.when(F.col("is_income"), F.col("total")).otherwise(0.0)).alias("total_income"),
+        F.sum(F.when(spends, F.col("total")).otherwise(0.0)).alias("total_expenses"),
+        A.at_least_one_day(A.elapsed_days(F.min("first"), F.max("last"))).alias("days"))
     weekly = totals.withColumns({
         "weekly_income_estimate": F.col("total_income") / F.col("days") * 7,
         "weekly_spending_estimate": F.col("total_expenses") / F.col("days") * 7,
@@ -352,16 +362,16 @@ def cash_flow_insights(flow: DataFrame) -> DataFrame:
 
 # --- documented summaries ------------------------------------------------------------------------------------------------
 
-def weekday_weekend(flagged: DataFrame) -> DataFrame:
-    """Mean and total expense on week days and at weekends."""
-    return flagged.where("is_expense").groupBy("user_id", "is_weekend").agg(
+def weekday_weekend(df: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Mean and total expense of transactions on week days and at weekends."""
+    return with_flow_flags(df, kinds).where("is_expense").groupBy("user_id", "is_weekend").agg(
         F.count(F.lit(1)).alias("transactions"), F.avg("amount_abs").alias("average_amount"),
         F.sum("amount_abs").alias("total_amount"))
 
 
 def category_share(flagged: DataFrame) -> DataFrame:
     """Share of each category in the user's expenses, from category totals."""
-    totals = flagged.where("is_expense").groupBy("user_id", "category").agg(F.sum("amount_abs").alias("total_amount"))
+    totals = flagged.where("is_expense").groupBy("user_id", "category").agg(F.sum("total").alias("total_amount"))
     whole = totals.groupBy("user_id").agg(F.sum("total_amount").alias("all_categories"))
     return totals.join(whole, "user_id").select(
         "user_id", "category", "total_amount", F.try_divide("total_amount", "all_categories").alias("share"))
