@@ -3,14 +3,18 @@
 Everything here is a native expression, so a scan that cleans descriptions stays inside one codegen
 stage.  Patterns run with Unicode classes and newline-only line ends, which is what the published
 results assume.
+
+A chain whose steps use their input several times is a list of steps.  :func:`in_steps` gives each step
+a column of its own, so nothing is computed twice; :func:`as_column` nests them in one expression for
+places where only a column will do.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendgrid import fixed_values as fv
@@ -57,6 +61,25 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+Step = Callable[[Column], Column]
+
+
+def as_column(c: Column, steps: Sequence[Step]) -> Column:
+    """All steps in one expression; a one-element array binds each intermediate value to a name."""
+    for step in steps:
+        c = F.transform(F.array(c), step)[0]
+    return c
+
+
+def in_steps(df: DataFrame, output: str, c: Column, steps: Sequence[Step]) -> DataFrame:
+    """All steps as projections of their own; the planner keeps apart what is used more than once."""
+    names = [f"_{output}_{i}" for i in range(len(steps) - 1)] + [output]
+    for step, name in zip(steps, names):
+        df = df.withColumn(name, step(c))
+        c = F.col(name)
+    return df.drop(*names[:-1])
+
+
 def replace_in_order(c: Column, patterns: Iterable[str], replacement: str, flags: str = ANY_CASE) -> Column:
     """Apply each pattern to the result of the one before it."""
     for pattern in patterns:
@@ -126,69 +149,93 @@ def is_noise_token(token: Column, config: CleaningConfig = CleaningConfig()) ->
     )
 
 
-def keep_informative_tokens(c: Column | str, config: CleaningConfig = CleaningConfig()) -> Column:
-    """Drop noise phrases and noise tokens; the input comes back if little or nothing is left."""
-    c = _col(c)
+def informative_tokens(c: Column, config: CleaningConfig = CleaningConfig()) -> Column:
+    """The text without noise phrases and noise tokens."""
     phrases = fv.NOISE_PHRASES + (fv.LOCATION_PHRASES if config.drop_location_noise else ())
     tokens = F.split(replace_in_order(c, phrases, " "), " ")
-    kept = F.array_join(F.filter(tokens, lambda t: ~is_noise_token(t, config)), " ")
-    return F.when(F.length(F.trim(kept)) <= fv.SHORT_TOKEN_RESULT, c).otherwise(kept)
+    return F.array_join(F.filter(tokens, lambda t: ~is_noise_token(t, config)), " ")
 
 
-def extract_merchant(c: Column | str, config: CleaningConfig = CleaningConfig(),
-                     entity: Column | None = None) -> Column:
+def merchant_steps(config: CleaningConfig = CleaningConfig(), entity: Column | None = None) -> list[Step]:
     """Quoted text first, then a supplied organisation entity, then the informative tokens.
 
     ``entity`` is the hook for a trained recogniser: a nullable column a caller computed with their
-    own model.  Without it the token filter decides.
+    own model.  Without it the token filter decides; the input comes back if little is left.
     """
-    c = _col(c)
-    quoted = F.regexp_extract(c, r'"([^"]+)"', 1)
-    informative = keep_informative_tokens(c, config)
-    if entity is not None:
-        informative = F.coalesce(entity, informative)
-    return F.when(F.length(quoted) > 0, strip(quoted)).otherwise(informative)
+    def parts(c: Column) -> Column:
+        kept = informative_tokens(c, config)
+        return F.struct(c.alias("text"), F.regexp_extract(c, r'"([^"]+)"', 1).alias("quoted"), kept.alias("kept"))
+
+    def choose(p: Column) -> Column:
+        kept = F.when(F.length(F.trim(p["kept"])) <= fv.SHORT_TOKEN_RESULT, p["text"]).otherwise(p["kept"])
+        if entity is not None:
+            kept = F.coalesce(entity, kept)
+        return F.when(F.length(p["quoted"]) > 0, strip(p["quoted"])).otherwise(kept)
+
+    return [parts, choose]
+
+
+def extract_merchant(c: Column | str, config: CleaningConfig = CleaningConfig(),
+                     entity: Column | None = None) -> Column:
+    return as_column(_col(c), merchant_steps(config, entity))
 
 
 def normalize_merchant(c: Column | str) -> Column:
     return F.trim(apply_rules(F.lower(_col(c)), fv.NORMALISE_RULES))
 
 
-def clean_description(c: Column | str, config: CleaningConfig = CleaningConfig(),
-                      entity: Column | None = None) -> Column:
+def cleaning_steps(original: Column, config: CleaningConfig = CleaningConfig(),
+                   entity: Column | None = None) -> list[Step]:
     """The whole cleaning chain, with the two-level fallback for results of three characters or less."""
-    original = F.coalesce(_col(c), F.lit(""))
-    text = remove_urls_emails(original) if config.remove_urls_emails else original
-    text = remove_prefixes(text)
+    def cased(value: Column) -> Column:
+        return F.lower(value) if config.to_lowercase else value
+
+    def first(c: Column) -> Column:
+        return remove_prefixes(remove_urls_emails(c) if config.remove_urls_emails else c)
+
+    def last(c: Column) -> Column:
+        if config.normalize_merchant_names:
+            c = normalize_merchant(c)
+        return collapse(cased(c))
+
+    def fallback(text: Column) -> Column:
+        bare = replace_in_order(original, fv.CARD_PATTERNS, " ")
+        simple = collapse(replace_in_order(bare, [fv.FALLBACK_LONG_NUMBER], "", SAME_CASE))
+        minimal = collapse(replace_in_order(original, [fv.FALLBACK_CARD_MASK], "", SAME_CASE))
+        return (F.when(F.length(text) > fv.SHORT_RESULT, text)
+                .when(F.length(simple) > fv.SHORT_RESULT, cased(simple))
+                .when(F.length(minimal) > fv.SHORT_RESULT, cased(minimal))
+                .otherwise(text))
+
+    steps: list[Step] = [first]
     if config.remove_card_numbers:
-        text = remove_card_numbers(text)
+        steps.append(remove_card_numbers)
     if config.remove_reference_codes:
-        text = remove_reference_codes(text)
+        steps.append(remove_reference_codes)
     if config.remove_bank_codes:
-        text = remove_bank_codes(text)
+        steps.append(remove_bank_codes)
     if config.remove_merchant_codes:
-        text = remove_merchant_codes(text)
+        steps.append(remove_merchant_codes)
     if config.normalize_whitespace:
-        text = collapse(text)
+        steps.append(collapse)
     if config.use_nlp_extraction:
-        text = extract_merchant(text, config, entity)
-    if config.normalize_merchant_names:
-        text = normalize_merchant(text)
-    if config.to_lowercase:
-        text = F.lower(text)
-    text = collapse(text)
+        steps += merchant_steps(config, entity)
+    return steps + [last, fallback]
 
-    def cased(value: Column) -> Column:
-        return F.lower(value) if config.to_lowercase else value
 
-    simple = collapse(replace_in_order(remove_card_numbers(original), [fv.FALLBACK_LONG_NUMBER], "", SAME_CASE))
-    minimal = collapse(replace_in_order(original, [fv.FALLBACK_CARD_MASK], "", SAME_CASE))
-    return (
-        F.when(F.length(text) > fv.SHORT_RESULT, text)
-        .when(F.length(simple) > fv.SHORT_RESULT, cased(simple))
-        .when(F.length(minimal) > fv.SHORT_RESULT, cased(minimal))
-        .otherwise(text)
-    )
+def clean_description(c: Column | str, config: CleaningConfig = CleaningConfig(),
+                      entity: Column | None = None) -> Column:
+    """The cleaned text as one expression; prefer :func:`with_cleaned` on a DataFrame."""
+    original = F.coalesce(_col(c), F.lit(""))
+    return as_column(original, cleaning_steps(original, config, entity))
+
+
+def with_cleaned(df: DataFrame, column: Column | str = "description", output: str = "cleaned",
+                 config: CleaningConfig = CleaningConfig(), entity: Column | None = None) -> DataFrame:
+    """Add the cleaned text of a column; narrow projections only."""
+    original = f"_{output}_original"
+    df = df.withColumn(original, F.coalesce(_col(column), F.lit("")))
+    return in_steps(df, output, F.col(original), cleaning_steps(F.col(original), config, entity)).drop(original)
 
 
 def minimal_clean(c: Column | str) -> Column:
@@ -233,22 +280,33 @@ def contains_any(c: Column, words: Iterable[str]) -> Column:
     return hit
 
 
+def vendor_steps() -> list[Step]:
+    def bare(c: Column) -> Column:
+        text = F.regexp_replace(strip(c), ANY_CASE + fv.VENDOR_PREFIX, "")
+        return F.struct(c.alias("given"), F.regexp_replace(text, ANY_CASE + fv.VENDOR_SUFFIX, "").alias("text"))
+
+    def words(p: Column) -> Column:
+        found = F.regexp_extract_all(F.upper(p["text"]), F.lit(SAME_CASE + fv.VENDOR_WORD), F.lit(0))
+        found = F.slice(F.filter(found, lambda w: ~w.isin(*fv.VENDOR_STOP_WORDS)), 1, 2)
+        return F.struct(p["given"].alias("given"), p["text"].alias("text"), F.array_join(found, " ").alias("name"))
+
+    def choose(p: Column) -> Column:
+        first_token = F.upper(F.regexp_extract(p["text"], SAME_CASE + r"\S+", 0))
+        return (F.when(p["given"].isNull() | (p["given"] == ""), F.lit("Unknown"))
+                .when(F.length(p["name"]) > 0, p["name"])
+                .when(F.length(first_token) > 0, first_token)
+                .otherwise(F.lit("UNKNOWN")))
+
+    return [bare, words, choose]
+
+
 def vendor_name(c: Column | str) -> Column:
     """The first two informative upper-case words, or the first word, or the first token."""
-    c = _col(c)
-    text = strip(c)
-    text = F.regexp_replace(text, ANY_CASE + fv.VENDOR_PREFIX, "")
-    text = F.regexp_replace(text, ANY_CASE + fv.VENDOR_SUFFIX, "")
-    words = F.regexp_extract_all(F.upper(text), F.lit(SAME_CASE + fv.VENDOR_WORD), F.lit(0))
-    words = F.slice(F.filter(words, lambda w: ~w.isin(*fv.VENDOR_STOP_WORDS)), 1, 2)
-    name = F.array_join(words, " ")
-    first_token = F.upper(F.regexp_extract(text, SAME_CASE + r"\S+", 0))
-    return (
-        F.when(c.isNull() | (c == ""), F.lit("Unknown"))
-        .when(F.length(name) > 0, name)
-        .when(F.length(first_token) > 0, first_token)
-        .otherwise(F.lit("UNKNOWN"))
-    )
+    return as_column(_col(c), vendor_steps())
+
+
+def with_vendor(df: DataFrame, column: Column | str = "description", output: str = "vendor") -> DataFrame:
+    return in_steps(df, output, _col(column), vendor_steps())
 
 
 def transfer_key(c: Column | str) -> Column:

@@ -68,10 +68,9 @@ def prepare_transactions(df: DataFrame, infer_missing_direction: bool = False,
     else:
         direction = F.col("amount") > 0
     weekday = A.day_of_week("date")
-    return df.withColumns({
+    return X.with_vendor(df).withColumns({
         "amount_abs": F.abs("amount"),
         "money_in": direction,
-        "vendor": X.vendor_name("description"),
         "month": F.month("date"),
         "day_of_week": weekday,
         "is_weekend": F.coalesce(weekday.isin(5, 6), F.lit(False)),
