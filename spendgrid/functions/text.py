@@ -4,9 +4,8 @@ Everything here is a native expression, so a scan that cleans descriptions stays
 stage.  Patterns run with Unicode classes and newline-only line ends, which is what the published
 results assume.
 
-A chain whose steps use their input several times is a list of steps.  :func:`in_steps` gives each step
-a column of its own, so nothing is computed twice; :func:`as_column` nests them in one expression for
-places where only a column will do.
+A chain whose steps use their input several times is a list of steps that :func:`as_column` binds one
+after the other, so the expression stays linear in size wherever the planner moves it.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from spendgrid import fixed_values as fv
@@ -71,15 +70,6 @@ def as_column(c: Column, steps: Sequence[Step]) -> Column:
     return c
 
 
-def in_steps(df: DataFrame, output: str, c: Column, steps: Sequence[Step]) -> DataFrame:
-    """All steps as projections of their own; the planner keeps apart what is used more than once."""
-    names = [f"_{output}_{i}" for i in range(len(steps) - 1)] + [output]
-    for step, name in zip(steps, names):
-        df = df.withColumn(name, step(c))
-        c = F.col(name)
-    return df.drop(*names[:-1])
-
-
 def replace_in_order(c: Column, patterns: Iterable[str], replacement: str, flags: str = ANY_CASE) -> Column:
     """Apply each pattern to the result of the one before it."""
     for pattern in patterns:
@@ -225,19 +215,11 @@ def cleaning_steps(original: Column, config: CleaningConfig = CleaningConfig(),
 
 def clean_description(c: Column | str, config: CleaningConfig = CleaningConfig(),
                       entity: Column | None = None) -> Column:
-    """The cleaned text as one expression; prefer :func:`with_cleaned` on a DataFrame."""
+    """The cleaned text of a description."""
     original = F.coalesce(_col(c), F.lit(""))
     return as_column(original, cleaning_steps(original, config, entity))
 
 
-def with_cleaned(df: DataFrame, column: Column | str = "description", output: str = "cleaned",
-                 config: CleaningConfig = CleaningConfig(), entity: Column | None = None) -> DataFrame:
-    """Add the cleaned text of a column; narrow projections only."""
-    original = f"_{output}_original"
-    df = df.withColumn(original, F.coalesce(_col(column), F.lit("")))
-    return in_steps(df, output, F.col(original), cleaning_steps(F.col(original), config, entity)).drop(original)
-
-
 def minimal_clean(c: Column | str) -> Column:
     return F.lower(collapse(apply_rules(_col(c), fv.MINIMAL_RULES, SAME_CASE)))
 
@@ -305,10 +287,6 @@ def vendor_name(c: Column | str) -> Column:
     return as_column(_col(c), vendor_steps())
 
 
-def with_vendor(df: DataFrame, column: Column | str = "description", output: str = "vendor") -> DataFrame:
-    return in_steps(df, output, _col(column), vendor_steps())
-
-
 def transfer_key(c: Column | str) -> Column:
     """Lower-case, collapsed text without numbers of six digits or more."""
     text = collapse(F.lower(_col(c)))

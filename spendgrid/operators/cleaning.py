@@ -13,13 +13,18 @@ from spendgrid.functions import text as X
 def clean(df: DataFrame, column: str = "description", output: str = "cleaned",
           config: X.CleaningConfig = X.CleaningConfig()) -> DataFrame:
     """Add the cleaned text; a narrow projection, no shuffle."""
-    return X.with_cleaned(df, column, output, config)
+    return df.withColumn(output, X.clean_description(column, config))
 
 
 def cleaned_names(df: DataFrame, cleaned: str = "cleaned", order: str = "seq") -> DataFrame:
-    """Distinct non-empty cleaned names with the first order key that has each."""
-    return (df.where(F.length(cleaned) > 0)
-            .groupBy(F.col(cleaned).alias("name")).agg(F.min(order).alias("first_seq")))
+    """Distinct non-empty cleaned names with the first order key that has each.
+
+    Emptiness is tested on an aggregate: a filter on the name itself would be pushed below the
+    cleaning and run the whole chain a second time.
+    """
+    names = df.groupBy(F.col(cleaned).alias("name")).agg(
+        F.min(order).alias("first_seq"), F.max(F.length(cleaned)).alias("_length"))
+    return names.where(F.col("_length") > 0).drop("_length")
 
 
 def dictionary_names(df: DataFrame, column: str = "ENTITY_NAME") -> DataFrame:
@@ -111,4 +116,4 @@ def length_valid_clean(df: DataFrame, column: str = "description", output: str =
                        config: X.CleaningConfig = X.CleaningConfig()) -> DataFrame:
     """Cleaned text, empty where the description is missing or longer than the limit."""
     text = F.when(F.length(column) <= fv.MAX_DESCRIPTION, F.col(column))
-    return X.with_cleaned(df, text, output, config)
+    return df.withColumn(output, X.clean_description(text, config))

@@ -45,8 +45,9 @@ def evaluate_cleaning_levels(df: DataFrame, column: str = "description") -> Data
     Texts are counted once; each level cleans the distinct texts and sums their counts.
     """
     texts = df.groupBy(F.col(column).alias("text")).agg(F.count(F.lit(1)).alias("n"))
-    texts = X.with_cleaned(texts, "text", "aggressive").withColumns({
-        "minimal": X.minimal_clean("text"), "moderate": X.moderate_clean("text")})
+    texts = texts.withColumns({
+        "minimal": X.minimal_clean("text"), "moderate": X.moderate_clean("text"),
+        "aggressive": X.clean_description("text")})
     levels = F.array(*[F.struct(F.lit(name).alias("level"), F.col(name).alias("cleaned")) for name in CLEANING_LEVELS])
     sizes = (texts.select("n", F.explode(levels).alias("c")).select("c.level", "c.cleaned", "n")
              .groupBy("level", "cleaned").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("texts")))
