@@ -7,6 +7,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spendgrid import fixed_values as fv
 from spendgrid.functions.amounts import int8_scale
@@ -106,7 +107,7 @@ def text_ratio(a: str, b: str) -> float:
     return 1.0 if total == 0 else 2.0 * lcs_length(a, b) / total
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Insert/delete similarity of two text columns (no built-in has this edit cost)."""
     return pd.Series([None if x is None or y is None else text_ratio(x, y) for x, y in zip(a, b)], dtype="float64")

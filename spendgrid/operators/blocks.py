@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spendgrid.session import ship_package
+
 DEFAULT_BLOCK = 8192
 TILE = 512
 
@@ -30,6 +32,7 @@ def compare_blocks(left: DataFrame, right: DataFrame, key: str, left_id: str, ri
                    match: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str,
                    block_rows: int = DEFAULT_BLOCK) -> DataFrame:
     """Run ``match`` on every pair of blocks with the same key and return what it emits."""
+    ship_package(left.sparkSession)
     left, left_blocks = _blocked(left, key, left_id, block_rows, "lb")
     right, right_blocks = _blocked(right, key, right_id, block_rows, "rb")
 

@@ -20,12 +20,14 @@ def nearest(score: DataFrame, model: DataFrame, k: int = fv.NEIGHBOURS_KEPT, key
     """The k most similar model rows of the same user per row to score, ties by item id.
 
     ``score`` holds key, row id and ``vector``; ``model`` holds key, ``item_id``, ``category`` and
-    ``vector``.  Each pair of blocks emits k rows per scored row; those few are ranked again.
+    ``vector``; rows without a vector have no neighbours.  Each pair of blocks emits k rows per scored
+    row; those few are ranked again.
     """
     id_type = dict(score.dtypes)[row_id]
     key_type = dict(score.dtypes)[key]
 
     def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a, b = a.dropna(subset=["vector"]), b.dropna(subset=["vector"])
         if a.empty or b.empty:
             return pd.DataFrame({key: [], row_id: [], "item_id": [], "category": [], "score": []})
         trained, ids = B.unit_rows(B.matrix(b["vector"])), b["item_id"].to_numpy()

@@ -12,6 +12,7 @@ from spendgrid.operators.encoding import Encoder, char_encoder, encode_distinct
 from spendgrid.operators.prepare import finite_amounts, valid_descriptions
 from spendgrid.operators.transfers import pair_transfers
 from spendgrid.plans.train import model_vectors
+from spendgrid.session import cut_lineage
 
 
 def valid_suggestions(suggestions: DataFrame, categories: DataFrame) -> DataFrame:
@@ -59,8 +60,8 @@ def score(df: DataFrame, model: DataFrame, encoder: Encoder = char_encoder,
     rows = finite_amounts(valid_descriptions(df)).select(
         "tx_id", "user_id", "seq", F.col("description").alias("narrative"), "money_in", "amount")
     rows = rows.withColumn("cleaned_narrative", X.clean_description("narrative", config))
-    texts = rows.select("user_id", F.col("cleaned_narrative").alias("text")).distinct()
-    encoded = encode_distinct(texts, "text", encoder).where(F.col("vector").isNotNull())
+    texts = cut_lineage(rows.select("user_id", F.col("cleaned_narrative").alias("text")).distinct())
+    encoded = encode_distinct(texts, "text", encoder)
     found = K.nearest(encoded, model_vectors(model), row_id="text")
     decided = K.confidence(K.pivot_neighbours(found, row_id="text")).withColumnRenamed("text", "cleaned_narrative")
     joined = rows.join(decided, ["user_id", "cleaned_narrative"], "left")

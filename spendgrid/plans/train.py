@@ -11,6 +11,7 @@ from spendgrid.functions import vectors as V
 from spendgrid.operators.encoding import Encoder, char_encoder, encode_distinct
 from spendgrid.operators.ordered import dense_position
 from spendgrid.operators.prepare import enough_rows, truncated, valid_descriptions
+from spendgrid.session import cut_lineage
 
 
 def training_index(labelled: DataFrame, config: X.CleaningConfig = X.CleaningConfig()) -> DataFrame:
@@ -42,10 +43,11 @@ def train(labelled: DataFrame, encoder: Encoder = char_encoder, quantise: bool =
           config: X.CleaningConfig = X.CleaningConfig()) -> DataFrame:
     """The model table: one row per user and unique cleaned description, with int8 codes and scale.
 
-    With ``quantise=False`` the vectors are kept as they are.
+    With ``quantise=False`` the vectors are kept as they are.  The encoded rows are written once: the
+    scale and the codes both need them.
     """
     encoded = encode_distinct(training_index(labelled, config), "description", encoder)
-    encoded = encoded.where(F.col("vector").isNotNull())
+    encoded = cut_lineage(encoded).where(F.col("vector").isNotNull())
     return V.quantise(encoded) if quantise else encoded
 
 

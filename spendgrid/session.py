@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -45,3 +48,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from the written rows."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once, for functions that run in Python workers there."""
+    context = spark.sparkContext
+    if context.master.startswith("local") or getattr(context, "_spendgrid_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(str(Path(SparkFiles.getRootDirectory()) / "spendgrid_package"), "zip",
+                                  package.parent, package.name)
+    context.addPyFile(archive)
+    context._spendgrid_shipped = True
