@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("analytics_queries", "text_queries", "model_queries")
+_MODULES = ("analytics_queries", "text_queries", "model_queries", "grouping_queries", "record_queries")
 
 
 def _merged(attribute: str) -> dict:

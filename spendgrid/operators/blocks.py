@@ -19,19 +19,30 @@ from spendgrid.session import ship_package
 
 DEFAULT_BLOCK = 8192
 TILE = 512
+EVERYTHING = "_all"
+
+
+def everything() -> Column:
+    """The single key of a comparison of everything with everything."""
+    return F.lit(0).alias(EVERYTHING)
 
 
 def _blocked(df: DataFrame, key: str, row_id: str, block_rows: int, name: str) -> tuple[DataFrame, DataFrame]:
     """Rows with a block number, and the number of blocks per key."""
     blocks = df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias(name))
+    if key == EVERYTHING:
+        blocks = F.broadcast(blocks)  # a single row
     number = F.pmod(F.xxhash64(row_id), F.col(name)).cast("int")
     return df.join(blocks, key).withColumn(f"_{name}", number).drop(name), blocks
 
 
 def compare_blocks(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str,
                    match: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str,
-                   block_rows: int = DEFAULT_BLOCK) -> DataFrame:
-    """Run ``match`` on every pair of blocks with the same key and return what it emits."""
+                   block_rows: int = DEFAULT_BLOCK, upper_only: bool = False) -> DataFrame:
+    """Run ``match`` on every pair of blocks with the same key and return what it emits.
+
+    ``upper_only`` is for a table compared with itself: of two mirrored pairs of blocks one is run.
+    """
     ship_package(left.sparkSession)
     left, left_blocks = _blocked(left, key, left_id, block_rows, "lb")
     right, right_blocks = _blocked(right, key, right_id, block_rows, "rb")
@@ -41,6 +52,8 @@ def compare_blocks(left: DataFrame, right: DataFrame, key: str, left_id: str, ri
 
     left = left.join(right_blocks, key).withColumn("_rb", every(F.col("rb"))).drop("rb")
     right = right.join(left_blocks, key).withColumn("_lb", every(F.col("lb"))).drop("lb")
+    if upper_only:
+        left, right = left.where("_lb <= _rb"), right.where("_lb <= _rb")
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return match(a, b)
