@@ -18,6 +18,9 @@ from spendgrid.plans import train as TR
 from spendgrid.plans import universal as U
 from spendgrid.session import cut_lineage
 
+# Character vectors of names are close to one another, so the graph queries use a tight distance.
+TIGHT = X.CleaningConfig(clustering_method="dbscan", dbscan_eps=0.03, dbscan_least_eps=0.03)
+
 QUERIES = {}
 ORACLES = {}
 
@@ -46,9 +49,9 @@ def _vectors(spark, sf_dir):
     return D.labelled_vectors(spark, sf_dir).select(F.col("item_id").alias("pos"), "vector")
 
 
-@register("cosine_pairs", VECTOR_PAIRS + " SELECT a, b, round(similarity, 9) AS similarity FROM pairs")
+@register("cosine_pairs", VECTOR_PAIRS + " SELECT a, b, round(similarity, 6) AS similarity FROM pairs")
 def _(spark, sf_dir):
-    return G.near_pairs(_vectors(spark, sf_dir), 0.3).withColumn("similarity", F.round("similarity", 9))
+    return G.near_pairs(_vectors(spark, sf_dir), 0.3).withColumn("similarity", F.round("similarity", 6))
 
 
 @register("components", VECTOR_PAIRS.replace("0.3)", "0.4)") + REACH + " SELECT node, component FROM components")
@@ -78,20 +81,20 @@ chars AS MATERIALIZED (SELECT pos, ord(c) AS code, count(*) AS n FROM (SELECT po
 norms AS (SELECT pos, sum(n * n)::DOUBLE AS nn FROM chars GROUP BY pos),
 dots AS (SELECT x.pos AS a, y.pos AS b, sum(x.n * y.n)::DOUBLE AS d FROM chars x JOIN chars y ON x.code = y.code AND x.pos < y.pos GROUP BY ALL),
 pairs AS MATERIALIZED (SELECT a, b FROM dots JOIN norms p ON p.pos = a JOIN norms q ON q.pos = b
-  WHERE 1 - round(d / sqrt(p.nn * q.nn), 12) <= greatest(0.1::DOUBLE, least(0.25::DOUBLE, 0.5::DOUBLE - (SELECT count(*) FROM names) / 1000 * 0.1::DOUBLE)))""" + REACH + """,
+  WHERE 1 - round(d / sqrt(p.nn * q.nn), 12) <= greatest(0.03::DOUBLE, least(0.03::DOUBLE, 0.5::DOUBLE - (SELECT count(*) FROM names) / 1000 * 0.1::DOUBLE)))""" + REACH + """,
 grouped AS MATERIALIZED (SELECT n.name, r.name AS representative FROM names n LEFT JOIN components c ON c.node = n.pos
   JOIN names r ON r.pos = coalesce(c.component, n.pos)),
 rows AS MATERIALIZED (SELECT t.*, coalesce(g.representative, t.cleaned) AS representative FROM both_texts t LEFT JOIN grouped g ON g.name = t.cleaned)"""
 
 
 def _grouped_rows(spark, sf_dir):
-    rows, _ = G.clean_and_group(D.transactions(spark, sf_dir), config=X.CleaningConfig(clustering_method="dbscan"))
+    rows, _ = G.clean_and_group(D.transactions(spark, sf_dir), config=TIGHT)
     return rows
 
 
 @register("group_dbscan", NAMED + " SELECT name, representative FROM grouped")
 def _(spark, sf_dir):
-    return _groups(spark, sf_dir, clustering_method="dbscan")
+    return _groups(spark, sf_dir, clustering_method="dbscan", dbscan_eps=0.03, dbscan_least_eps=0.03)
 
 
 @register("group_members", NAMED + " SELECT representative, cleaned, min(seq) AS first_seq, count(*) AS n FROM rows GROUP BY ALL")
@@ -139,10 +142,7 @@ def _(spark, sf_dir):
     return _groups(spark, sf_dir, clustering_method="hdbscan")
 
 
-# Suggestions for the labeller: the keyword category of a description, renamed to a known or an unknown one.
-KEYWORD_LABELS = (("supermarkets", "Groceries"), ("other", "None"))
-
-
+# Suggestions for the labeller, one per description; one of the labels is not a known category.
 def _suggestions(spark, sf_dir):
     rows = D.transactions(spark, sf_dir).groupBy("description").agg(F.min("seq").alias("seq"))
     keyword = X.keyword_category("description")
@@ -159,9 +159,8 @@ labels AS (SELECT representative, group_size, CASE WHEN """ + " OR ".join(
 
 
 def _categorised(spark, sf_dir):
-    config = X.CleaningConfig(clustering_method="dbscan")
     return U.categorise(D.transactions(spark, sf_dir), U.predefined_categories(spark),
-                        U.table_labeller(_suggestions(spark, sf_dir)), config)
+                        U.table_labeller(_suggestions(spark, sf_dir)), TIGHT)
 
 
 @register("categorise_universal", LABELLED + """

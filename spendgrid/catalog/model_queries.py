@@ -71,11 +71,11 @@ def _(spark, sf_dir):
 
 
 @register("cosine_to_next", MODEL + "," + BLENDED + """
-SELECT tx_id, round(list_cosine_similarity(m.vector, b.vector), 9) AS similarity FROM blended b JOIN model m ON m.item_id = b.tx_id""")
+SELECT tx_id, round(list_cosine_similarity(m.vector, b.vector), 6) AS similarity FROM blended b JOIN model m ON m.item_id = b.tx_id""")
 def _(spark, sf_dir):
     model = D.labelled_vectors(spark, sf_dir).select(F.col("item_id").alias("tx_id"), F.col("vector").alias("m"))
     both = D.blended_vectors(spark, sf_dir).join(model, "tx_id")
-    return both.select("tx_id", F.round(V.cosine("m", "vector"), 9).alias("similarity"))
+    return both.select("tx_id", F.round(V.cosine("m", "vector"), 6).alias("similarity"))
 
 
 @register("dimension_check", MODEL + "," + BLENDED + """
@@ -110,19 +110,19 @@ def _found(spark, sf_dir):
     return K.nearest(D.blended_vectors(spark, sf_dir), D.labelled_vectors(spark, sf_dir))
 
 
-@register("knn_top5", KNN + " SELECT tx_id, rank, item_id, category, round(score, 9) AS score FROM knn")
+@register("knn_top5", KNN + " SELECT tx_id, rank, item_id, category, round(score, 6) AS score FROM knn")
 def _(spark, sf_dir):
     return _found(spark, sf_dir).select("tx_id", F.col("rank").cast("long").alias("rank"), "item_id", "category",
-                                        F.round("score", 9).alias("score"))
+                                        F.round("score", 6).alias("score"))
 
 
 @register("confidence", PIVOT + """
-SELECT tx_id, best_category, round(best_score, 9) AS best_score, second_category, round(second_score, 9) AS second_score,
+SELECT tx_id, best_category, round(best_score, 6) AS best_score, second_category, round(second_score, 6) AS second_score,
   neighbor_categories, reason_code IS NOT NULL AS is_low_confidence, reason_code FROM decided""")
 def _(spark, sf_dir):
     decided = K.confidence(K.pivot_neighbours(_found(spark, sf_dir)))
-    return decided.select("tx_id", "best_category", F.round("best_score", 9).alias("best_score"), "second_category",
-                          F.round("second_score", 9).alias("second_score"), F.array_join("neighbor_categories", ",").alias("neighbor_categories"),
+    return decided.select("tx_id", "best_category", F.round("best_score", 6).alias("best_score"), "second_category",
+                          F.round("second_score", 6).alias("second_score"), F.array_join("neighbor_categories", ",").alias("neighbor_categories"),
                           "is_low_confidence", F.col("debug_info.reason_code").alias("reason_code"))
 
 
@@ -212,13 +212,13 @@ scored AS MATERIALIZED (SELECT tx_id, tx.user_id, seq, description, cleaned, mon
 
 
 @register("classify_transactions", CLASSIFIED + """
-SELECT tx_id, predicted_category, round(similarity_score, 9) AS similarity_score, second_predicted_category,
-  round(second_similarity_score, 9) AS second_similarity_score, is_low_confidence FROM scored""")
+SELECT tx_id, predicted_category, round(similarity_score, 6) AS similarity_score, second_predicted_category,
+  round(second_similarity_score, 6) AS second_similarity_score, is_low_confidence FROM scored""")
 def _(spark, sf_dir):
     model = TR.train(labelled(spark, sf_dir), quantise=False)
     results = C.classify(unlabelled(spark, sf_dir), model, transfers=False)
-    return results.select("tx_id", "predicted_category", F.round("similarity_score", 9).alias("similarity_score"),
-                          "second_predicted_category", F.round("second_similarity_score", 9).alias("second_similarity_score"),
+    return results.select("tx_id", "predicted_category", F.round("similarity_score", 6).alias("similarity_score"),
+                          "second_predicted_category", F.round("second_similarity_score", 6).alias("second_similarity_score"),
                           F.col("adjustment_info.is_low_confidence").alias("is_low_confidence"))
 
 

@@ -237,6 +237,9 @@ INT8_LEVELS = 127
 SIMILARITY_THRESHOLD = 0.85
 HIERARCHICAL_DISTANCE = 0.3
 DBSCAN_EPS = 0.25
+DBSCAN_LEAST_EPS = 0.1
+DBSCAN_EPS_AT_ZERO = 0.5
+DBSCAN_EPS_PER_THOUSAND = 0.1
 DBSCAN_MIN_SAMPLES = 2
 GROUPING_BATCH = 25
 SMALL_INPUT = 5

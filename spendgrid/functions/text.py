@@ -51,6 +51,7 @@ class CleaningConfig:
     similarity_threshold: float = fv.SIMILARITY_THRESHOLD
     hierarchical_distance: float = fv.HIERARCHICAL_DISTANCE
     dbscan_eps: float = fv.DBSCAN_EPS
+    dbscan_least_eps: float = fv.DBSCAN_LEAST_EPS
     dbscan_min_samples: int = fv.DBSCAN_MIN_SAMPLES
     batch_size: int = fv.GROUPING_BATCH
     batch_mode: bool = False

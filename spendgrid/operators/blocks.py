@@ -55,6 +55,8 @@ def compare_blocks(left: DataFrame, right: DataFrame, key: str, left_id: str, ri
     if upper_only:
         left, right = left.where("_lb <= _rb"), right.where("_lb <= _rb")
 
+    right = right.toDF(*right.columns)  # columns of its own, also when both sides are one table
+
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return match(a, b)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spendgrid import fixed_values as fv
 from spendgrid.functions import text as X
+from spendgrid.session import cut_lineage
 
 
 def clean(df: DataFrame, column: str = "description", output: str = "cleaned",
@@ -97,6 +98,7 @@ def first_variations(pairs: DataFrame, keep: int, original: str = "description",
 
 def top_cleaned(pairs: DataFrame, limit: int = 10, samples: int = 3, cleaned: str = "cleaned") -> DataFrame:
     """The most frequent cleaned texts with sample variations and the number left out."""
+    pairs = cut_lineage(pairs)  # the reduced pairs are used twice, the cleaning should not run twice
     top = variation_counts(pairs, cleaned).orderBy(F.desc("occurrence_count"), cleaned).limit(limit)
     shown = first_variations(pairs.join(F.broadcast(top.select(cleaned)), cleaned, "left_semi"), samples, cleaned=cleaned)
     return top.join(shown, cleaned).withColumn(
@@ -106,8 +108,8 @@ def top_cleaned(pairs: DataFrame, limit: int = 10, samples: int = 3, cleaned: st
 def group_totals(df: DataFrame, groups: str = "representative", original: str = "description",
                  keep: int = 10) -> DataFrame:
     """Rows, amount and up to ten first variations per group."""
-    pairs = df.groupBy(groups, original).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"), F.min("seq").alias("first_seq"))
+    pairs = cut_lineage(df.groupBy(groups, original).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"), F.min("seq").alias("first_seq")))
     totals = pairs.groupBy(groups).agg(F.sum("n").alias("transactions"), F.sum("amount").alias("total_amount"))
     return totals.join(first_variations(pairs, keep, original, groups), groups)
 

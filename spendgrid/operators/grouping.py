@@ -271,8 +271,9 @@ def _near_forest(side: DataFrame, eps: float, block_rows: int) -> DataFrame:
     return B.compare_blocks(side, side, B.EVERYTHING, "pos", "pos", forest, "a long, b long", block_rows, True)
 
 
-def adaptive_eps(eps: float, n: int) -> float:
-    return max(0.1, min(eps, 0.5 - (n / 1000) * 0.1))
+def adaptive_eps(eps: float, n: int, least: float = fv.DBSCAN_LEAST_EPS) -> float:
+    """The distance shrinks with the number of names, down to a least value."""
+    return max(least, min(eps, fv.DBSCAN_EPS_AT_ZERO - n / 1000 * fv.DBSCAN_EPS_PER_THOUSAND))
 
 
 def density_groups(names: DataFrame, eps: float = fv.DBSCAN_EPS, min_samples: int = fv.DBSCAN_MIN_SAMPLES,
@@ -411,7 +412,7 @@ def group_names(names: DataFrame, config: X.CleaningConfig = X.CleaningConfig(),
     if config.batch_mode and count > config.batch_size:
         return batched_groups(placed, theta, config.batch_size)
     if count > fv.SMALL_INPUT and method == "dbscan":
-        return density_groups(placed, adaptive_eps(config.dbscan_eps, count), config.dbscan_min_samples)
+        return density_groups(placed, adaptive_eps(config.dbscan_eps, count, config.dbscan_least_eps), config.dbscan_min_samples)
     if count > fv.SMALL_INPUT and method == "hierarchical":
         return hierarchical_groups(placed, config.hierarchical_distance)
     return complete_link_groups(placed, theta)
