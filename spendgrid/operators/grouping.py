@@ -152,7 +152,7 @@ def leader_groups(names: DataFrame, threshold: float = fv.SIMILARITY_THRESHOLD,
 
         def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if a.empty or b.empty:
-                return pd.DataFrame({"pos": [], "rep": [], "score": []})
+                return pd.DataFrame()
             b = b.sort_values("pos")
             scores = similarity(a, b, limit)
             j = scores.argmax(axis=1)
@@ -179,7 +179,7 @@ def complete_link_groups(names: DataFrame, threshold: float = fv.SIMILARITY_THRE
 
         def reach(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if a.empty or b.empty:
-                return pd.DataFrame({"pos": [], "rep": [], "score": [], "near": []})
+                return pd.DataFrame()
             scores = similarity(a, b, limit)
             rows, cols = np.nonzero(scores >= limit)
             pairs = pd.DataFrame({"pos": a["pos"].to_numpy()[rows], "rep": b["rep"].to_numpy()[cols], "score": scores[rows, cols]})
@@ -249,7 +249,7 @@ def near_pairs(names: DataFrame, threshold: float, block_rows: int = B.DEFAULT_B
     """Pairs (a < b) with cosine at least ``threshold``; the output is as large as the answer."""
     def pairs(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
-            return pd.DataFrame({"a": [], "b": [], "similarity": []})
+            return pd.DataFrame()
         scores = cosine_block(x, y, threshold)
         a, b = x["pos"].to_numpy(), y["pos"].to_numpy()
         same = x["_lb"].iat[0] == x["_rb"].iat[0]
@@ -263,7 +263,7 @@ def near_pairs(names: DataFrame, threshold: float, block_rows: int = B.DEFAULT_B
 def _near_forest(side: DataFrame, eps: float, block_rows: int) -> DataFrame:
     def forest(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
-            return pd.DataFrame({"a": [], "b": []})
+            return pd.DataFrame()
         a, b = x["pos"].to_numpy(), y["pos"].to_numpy()
         near = (1.0 - cosine_block(x, y, 0.0) <= eps) & (a[:, None] != b[None, :])
         return _forest(*np.nonzero(near), a, b)
@@ -288,7 +288,7 @@ def density_groups(names: DataFrame, eps: float = fv.DBSCAN_EPS, min_samples: in
     if min_samples > 2:
         def degrees(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
             if x.empty or y.empty:
-                return pd.DataFrame({"pos": [], "n": []})
+                return pd.DataFrame()
             near = 1.0 - cosine_block(x, y, 0.0) <= eps
             return pd.DataFrame({"pos": x["pos"].to_numpy(), "n": near.sum(axis=1)})
 
@@ -305,7 +305,7 @@ def density_groups(names: DataFrame, eps: float = fv.DBSCAN_EPS, min_samples: in
 
         def reached(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
             if x.empty or y.empty:
-                return pd.DataFrame({"pos": [], "label": []})
+                return pd.DataFrame()
             y = y.sort_values("label")
             near = 1.0 - cosine_block(x, y, 0.0) <= eps
             hit = near.any(axis=1)
@@ -357,7 +357,7 @@ def hierarchical_groups(names: DataFrame, distance: float = fv.HIERARCHICAL_DIST
 
     def closest(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
-            return pd.DataFrame({"label": [], "other": [], "score": []})
+            return pd.DataFrame()
         y = y.sort_values("label")
         scores = np.round(B.matrix(x["mean"]) @ B.matrix(y["mean"]).T, DIGITS)
         a, b = x["label"].to_numpy(), y["label"].to_numpy()

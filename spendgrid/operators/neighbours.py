@@ -29,7 +29,7 @@ def nearest(score: DataFrame, model: DataFrame, k: int = fv.NEIGHBOURS_KEPT, key
     def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = a.dropna(subset=["vector"]), b.dropna(subset=["vector"])
         if a.empty or b.empty:
-            return pd.DataFrame({key: [], row_id: [], "item_id": [], "category": [], "score": []})
+            return pd.DataFrame()
         trained, ids = B.unit_rows(B.matrix(b["vector"])), b["item_id"].to_numpy()
         categories, rows = b["category"].to_numpy(), a[row_id].to_numpy()
         wanted = B.unit_rows(B.matrix(a["vector"]))
