@@ -41,6 +41,7 @@ def main() -> None:
             queries[name](spark, folder).write.format("noop").mode("overwrite").save()
             taken.append(time.perf_counter() - started)
         seconds[name] = round(statistics.median(taken), 3)
+        print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
     scale = os.path.basename(folder.rstrip("/")).removeprefix("sf")
     print(json.dumps({"metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec",
                       "queries": seconds, "sf": float(scale) if scale.replace(".", "").isdigit() else scale}), flush=True)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spendgrid.session import spread
+
 CHAINS = ("WOOLWORTHS", "COUNTDOWN", "NEW WORLD", "PAK N SAVE", "FOUR SQUARE")
 TYPE_CATEGORIES = (
     ("STANDARD", "Groceries"), ("MEDIUM", "Shopping"), ("PROMO", "DinnerBars"),
@@ -23,9 +25,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One bank transaction per line item: id, user, order, date, description, category, amount, direction."""
-    line = table(spark, sf_dir, "lineitem").select(
+    line = spread(table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
-        "l_discount", "l_returnflag", "l_linestatus", "l_shipdate")
+        "l_discount", "l_returnflag", "l_linestatus", "l_shipdate"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     rows = (line.join(part, F.col("l_partkey") == F.col("p_partkey"))

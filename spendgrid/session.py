@@ -50,6 +50,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan out to all cores when it has fewer splits than cores.
+
+    A small file in one row group would otherwise keep every later step in one task.  A scan with
+    enough splits is left alone, so large inputs are never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once, for functions that run in Python workers there."""
     context = spark.sparkContext
