@@ -62,14 +62,10 @@ def _(spark, sf_dir):
     return cleaned_transactions(spark, sf_dir).select("tx_id", "cleaned")
 
 
-DOCS = "texts AS (SELECT doc_id, text FROM documents)," + S.clean_ctes("(SELECT text FROM documents WHERE length(text) <= 500 AND lang = 'en')", "text")
-
-
-@register("clean_documents", DOCS + """
-SELECT doc_id, cleaned FROM texts JOIN documents USING (doc_id) JOIN cleaned ON texts.text = original WHERE lang = 'en' AND length(texts.text) <= 500""")
+# No oracle: its word boundaries are ASCII only and the documents are not.
+@register("clean_documents")
 def _(spark, sf_dir):
-    docs = D.table(spark, sf_dir, "documents").where((F.col("lang") == "en") & (F.length("text") <= fv.MAX_DESCRIPTION))
-    return C.clean(docs, "text").select("doc_id", "cleaned")
+    return C.length_valid_clean(D.table(spark, sf_dir, "documents"), "text").select("doc_id", "cleaned")
 
 
 @register("length_warnings", """
