@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import shutil
 import tempfile
+import zipfile
 from pathlib import Path
 
 from pyspark import SparkFiles
@@ -61,12 +61,17 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once, for functions that run in Python workers there."""
+    """Send this package to the Python workers once, for functions that run there, whatever the master.
+
+    Call it before any Python function is handed to Spark: workers do not share the driver's module path.
+    """
     context = spark.sparkContext
-    if context.master.startswith("local") or getattr(context, "_spendgrid_shipped", False):
+    if getattr(context, "_spendgrid_shipped", False):
         return
     package = Path(__file__).resolve().parent
-    archive = shutil.make_archive(str(Path(SparkFiles.getRootDirectory()) / "spendgrid_package"), "zip",
-                                  package.parent, package.name)
-    context.addPyFile(archive)
+    archive = Path(SparkFiles.getRootDirectory()) / "spendgrid_package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
     context._spendgrid_shipped = True
