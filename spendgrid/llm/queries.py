@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendgrid.llm import exact_dedup, mixing, pieces, quality, secret_scan
+from spendgrid.llm import exact_dedup, mixing, pieces, quality, secret_scan, version_sketch
 from spendgrid.llm.shared import documents
 
 
@@ -26,6 +26,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_copies(documents(spark, sf_dir))
 
 
+def op6_version_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited version, and their likeness."""
+    return version_sketch.versions(documents(spark, sf_dir))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, how many come from byte fallback, and whether they decode to the text."""
     rows = pieces.encoded(documents(spark, sf_dir).select("doc_id", "text"), pieces.read_model())
@@ -43,6 +48,7 @@ QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_source_mixing": op3_source_mixing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_version_fingerprints": op6_version_fingerprints,
     "op8_sentencepiece": op8_sentencepiece,
     "op10_secret_scan": op10_secret_scan,
 }

@@ -58,6 +58,14 @@ def chunks(texts: pa.Array):
         first = last
 
 
+def range_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges: differences of running polynomial sums."""
+    up, down = powers(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_VALUES[data] * up[:len(data)], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a chunk: hash, document, byte range; ``edges`` are the word numbers where documents begin."""
 
@@ -83,10 +91,7 @@ class Words:
         self.edges = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.edges)
         self.doc = np.repeat(np.arange(self.n_docs), self.counts)
-        up, down = powers(len(data))
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_VALUES[data] * up[:len(data)], out=sums[1:])
-        self.hash = mixed((sums[self.ends] - sums[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        self.hash = range_hash(data, self.starts, self.ends)
 
     def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """First word and hash of every run of ``length`` words within a document."""
