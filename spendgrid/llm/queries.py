@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendgrid.llm import exact_dedup, mixing, pieces, quality, secret_scan, version_sketch
+from spendgrid.llm import exact_dedup, mixing, ngram_join, pieces, quality, secret_scan, version_sketch
 from spendgrid.llm.shared import documents
 
 
@@ -16,6 +16,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rated(docs, model).select("doc_id", "_rating.expected_grade", "_rating.top_chance", "_rating.kept")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of the shingle set and component of every document."""
+    return ngram_join.similar_groups(documents(spark, sf_dir))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often every document is taken when the sources are mixed by temperature within a budget of all tokens."""
     return mixing.mix(documents(spark, sf_dir))
@@ -46,6 +51,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_ngram_join": op2_ngram_join,
     "op3_source_mixing": op3_source_mixing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_version_fingerprints": op6_version_fingerprints,
