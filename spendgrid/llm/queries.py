@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendgrid.llm import exact_dedup, mixing, ngram_join, pieces, quality, secret_scan, version_sketch
+from spendgrid.llm import anchor_dedup, exact_dedup, mixing, ngram_join, pieces, quality, secret_scan, version_sketch
 from spendgrid.llm.shared import documents
 
 
@@ -26,6 +26,11 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op4_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document, how many repeats remove, and the digest of what stays."""
+    return anchor_dedup.repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The row that stays for every document."""
     return exact_dedup.exact_copies(documents(spark, sf_dir))
@@ -53,6 +58,7 @@ QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_ngram_join": op2_ngram_join,
     "op3_source_mixing": op3_source_mixing,
+    "op4_anchor_dedup": op4_anchor_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_version_fingerprints": op6_version_fingerprints,
     "op8_sentencepiece": op8_sentencepiece,
