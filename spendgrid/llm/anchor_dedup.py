@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendgrid.llm.exchange import RANGE_KEYS, gathered, repeated_hashes, short_keys, unpacked
+from spendgrid.llm.exchange import RANGE_KEYS, repeated_hashes, short_keys, unpacked
 from spendgrid.llm.shared import BROADCAST_ROWS, ship, stored, text_of
 from spendgrid.llm.words import Words, chunks, mixed, powers
 
@@ -139,12 +139,12 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     described = stored(rows.mapInArrow(_describe, "doc_id long, node long, n_words long, whole_sha256 string"), "anchor-texts")
     texts = rows.select("text")
     parts = max(1, -(-(described.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]) // RANGE_KEYS))
-    hits = stored(gathered(repeated_hashes(texts, _anchors, parts, short=True, only_marked=True)), "anchor-hits")
+    hits = stored(repeated_hashes(texts, _anchors, parts, short=True, only_marked=True), "anchor-hits")
     n_hits = hits.count()
     wanted = np.array([r["node"] for r in hits.select("node").collect()], np.int64) if n_hits <= BROADCAST_ROWS else None
     named = texts.mapInArrow(_with_nodes(wanted), "node long, text string").groupBy("node").agg(F.any_value("text").alias("text"))
     candidates = stored(named.join(hits, "node"), "anchor-candidates")
-    found = stored(gathered(repeated_hashes(candidates, _around_hits(parts, window), parts)), "anchor-repeats")
+    found = stored(repeated_hashes(candidates, _around_hits(parts, window), parts), "anchor-repeats")
     removed = candidates.select("node", "text").join(found, "node").mapInArrow(
         _remove(window), "node long, n_removed long, kept_sha256 string, spans array<long>")
     copies = described.groupBy("node").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")

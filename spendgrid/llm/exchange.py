@@ -15,7 +15,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from spendgrid.llm.words import mixed
 
@@ -98,57 +97,74 @@ def _sender(read: Callable, parts: int, short: bool):
     return send
 
 
-def _decide(group: pd.DataFrame, short: bool, only_marked: bool) -> pd.DataFrame:
-    nodes, found = [], []
-    for names, sizes, keys in zip(*(group.loc[group["kind"] == 1, c] for c in ("nodes", "sizes", "keys"))):
-        ends = np.cumsum(np.frombuffer(sizes, "<u4").astype(np.int64))
-        nodes += np.frombuffer(names, "<i8").tolist()
-        found += [keys[8 * a:8 * b] for a, b in zip(np.append(0, ends[:-1]), ends)]
+def _distinct(owner: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((keys, owner))
+    owner, keys = owner[order], keys[order]
+    new = np.append(True, (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1])) if len(owner) else np.zeros(0, bool)
+    return owner[new], keys[new]
+
+
+def _entries(rows: pd.DataFrame, width: str) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Text and key of every entry of packed rows, and the entries of each row."""
+    sizes = [np.frombuffer(s, "<u4") for s in rows["sizes"]]
+    if not sizes:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), []
+    owner = np.concatenate([np.repeat(np.frombuffer(n, "<i8"), s) for n, s in zip(rows["nodes"], sizes)])
+    return owner, np.concatenate([np.frombuffer(k, width) for k in rows["keys"]]), [int(s.sum()) for s in sizes]
+
+
+def _decide(group: pd.DataFrame, short: bool, only_marked: bool, buckets: int) -> pd.DataFrame:
+    owner, keys, _ = _entries(group[group["kind"] == 1], "<u8")
     sent = group[group["kind"] == 0]
     if len(sent):
-        sizes = [np.frombuffer(s, "<u4") for s in sent["sizes"]]
-        totals = [int(s.sum()) for s in sizes]
-        owner = np.concatenate([np.repeat(np.frombuffer(n, "<i8"), s) for n, s in zip(sent["nodes"], sizes)])
-        keys = np.concatenate([np.frombuffer(k, "<u4" if short else "<u8") for k in sent["keys"]])
+        whose, hashes, totals = _entries(sent, "<u4" if short else "<u8")
         bits = lambda name: np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=n)
                                             for f, n in zip(sent[name], totals)]).astype(bool)
         several, marked = bits("several"), bits("marked")
-        order = np.argsort(keys, kind="stable")
-        keys, owner, several, marked = keys[order], owner[order], several[order], marked[order]
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
-        differ = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
-        often = differ | np.logical_or.reduceat(several, first)
+        order = np.argsort(hashes, kind="stable")
+        hashes, whose, several, marked = hashes[order], whose[order], several[order], marked[order]
+        first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+        run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(hashes))))
+        often = np.minimum.reduceat(whose, first) != np.maximum.reduceat(whose, first)
+        often |= np.logical_or.reduceat(several, first)
         if only_marked:
             often &= np.logical_or.reduceat(marked, first)
         back = often[run] & ~several
-        owner, keys = owner[back], keys[back].astype(np.uint64)
+        found = hashes[back].astype(np.uint64)
         if short:
-            keys |= np.uint64(group["part"].iloc[0]) << np.uint64(32)
-        order = np.lexsort((keys, owner))
-        owner, keys = owner[order], keys[order]
-        edges = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
-        nodes += owner[edges].tolist()
-        found += [keys[a:b].tobytes() for a, b in zip(edges, np.append(edges[1:], len(owner)))]
-    return pd.DataFrame({"node": np.array(nodes, np.int64), "keys": found})
+            found |= np.uint64(group["part"].iloc[0]) << np.uint64(32)
+        owner, keys = np.concatenate([owner, whose[back]]), np.concatenate([keys, found])
+    owner, keys = _distinct(owner, keys)
+    bucket = owner % buckets
+    order = np.argsort(bucket, kind="stable")
+    owner, keys, bucket = owner[order], keys[order], bucket[order]
+    edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    rows = []
+    for a, b in zip(edges, np.append(edges[1:], len(bucket))):
+        starts = np.flatnonzero(np.append(True, owner[a + 1:b] != owner[a:b - 1]))
+        rows.append((int(bucket[a]), owner[a:b][starts].tobytes(), np.diff(np.append(starts, b - a)).astype("<u4").tobytes(), keys[a:b].tobytes()))
+    return pd.DataFrame(rows, columns=["bucket", "nodes", "sizes", "keys"])
+
+
+def _gather(group: pd.DataFrame) -> pd.DataFrame:
+    owner, keys = _distinct(*_entries(group, "<u8")[:2])
+    edges = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    return pd.DataFrame({"node": owner[edges], "keys": [keys[a:b].tobytes() for a, b in zip(edges, np.append(edges[1:], len(owner)))]})
 
 
 def repeated_hashes(rows: DataFrame, read: Callable, parts: int, short: bool = False, only_marked: bool = False) -> DataFrame:
-    """``(node, keys)``: hashes of every text that occur elsewhere as well, packed, in several rows a text.
+    """``(node, keys)``: the hashes of every text that occur elsewhere as well, sorted and packed.
 
     ``read`` turns a batch of ``rows`` into pieces ``(nodes, starts, hashes, marked)``.  With ``short`` the keys are
     :func:`short_keys`, of which a few may be equal by chance.  With ``only_marked`` one of the occurrences is a marked
-    one, except among those decided within a block.
+    one, except among those decided within a block.  Both ways are packed: a row for every block and range, and one for
+    every range and bucket of texts.
     """
-    return (rows.mapInArrow(_sender(read, parts, short), _SENT).groupBy("part")
-            .applyInPandas(lambda group: _decide(group, short, only_marked), "node long, keys binary"))
-
-
-def gathered(found: DataFrame) -> DataFrame:
-    """``(node, keys)`` with all keys of a text in one array of packed pieces."""
-    return found.groupBy("node").agg(F.collect_list("keys").alias("keys"))
+    decided = (rows.mapInArrow(_sender(read, parts, short), _SENT).groupBy("part")
+               .applyInPandas(lambda group: _decide(group, short, only_marked, parts), "bucket long, nodes binary, sizes binary, keys binary"))
+    return decided.groupBy("bucket").applyInPandas(_gather, "node long, keys binary")
 
 
-def unpacked(pieces) -> np.ndarray:
-    """Sorted distinct hashes of an array of packed pieces."""
-    return np.unique(np.frombuffer(b"".join(pieces), "<u8")) if pieces is not None and len(pieces) else np.zeros(0, np.uint64)
+def unpacked(keys: bytes | None) -> np.ndarray:
+    """Sorted distinct hashes of a packed column."""
+    return np.frombuffer(keys or b"", "<u8")
