@@ -28,15 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendgrid.llm.shared import BROADCAST_ROWS, ship, stored, text_bytes, text_of
+from spendgrid.llm.exchange import BLOCK_KEYS, RANGE_KEYS, part_of, repeated_hashes
+from spendgrid.llm.shared import BROADCAST_ROWS, ship, stored, text_of
 from spendgrid.llm.words import Words, chunks, mixed, powers
 from spendgrid.operators.components import connected_components
 
 GRAM = 5
 SIMILARITY = 80  # per cent
 FRAGMENTS = 16
-BLOCK_KEYS = 2_000_000  # runs that a task holds at once
-PART_BYTES = 12 << 20  # bytes of text for one range of run hashes
 _LOW48 = (1 << 48) - 1
 _FIRST, _SECOND = np.uint64(0xA54FF53A5F1D36F1), np.uint64(0x510E527FADE682D1)
 
@@ -84,96 +83,12 @@ def _set_rows(gram: int):
     return rows
 
 
-def _part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
-    return ((hashes >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
-
-
-def _spread(node: np.ndarray, starts: np.ndarray, hashes: np.ndarray, parts: int) -> Iterator[tuple]:
-    """Rows ``part, block, kind, nodes, sizes, keys, flags`` of a block of texts.
-
-    A run that several texts of the block hold is counted for them here; one flagged entry tells the others.
-    """
-    _, keep = np.unique(node, return_index=True)  # equal sets of a block count once
-    keep.sort()
-    sizes = np.diff(starts)[keep]
-    place = np.repeat(starts[keep] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    node, hashes, doc = node[keep], hashes[place], np.repeat(np.arange(len(keep)), sizes)
-    block = int(mixed(node).sum(dtype=np.uint64).view(np.int64)) if len(node) else 0
-    order = np.argsort(hashes, kind="stable")
-    ordered = hashes[order]
-    new = np.append(True, ordered[1:] != ordered[:-1]) if len(ordered) else np.zeros(0, bool)
-    run = np.cumsum(new) - 1
-    length = np.bincount(run)[run] if len(run) else run
-    several = np.zeros(len(hashes), bool)
-    several[order] = length > 1
-    local = np.bincount(doc[several], minlength=len(node))
-    if several.any():
-        yield (int(abs(block) % parts), block, 1, node[local > 0].tobytes(), local[local > 0].astype("<u4").tobytes(), b"", b"")
-    sent = np.zeros(len(hashes), bool)
-    sent[order] = new
-    hashes, doc, several = hashes[sent], doc[sent], several[sent]
-    part = _part_of(hashes, parts)
-    order = np.argsort(part, kind="stable")
-    hashes, doc, several, part = hashes[order], doc[order], several[order], part[order]
-    edges = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
-    for a, b in zip(edges, np.append(edges[1:], len(part))):
-        own, sizes = np.unique(doc[a:b], return_counts=True)
-        yield (int(part[a]), block, 0, node[own].tobytes(), sizes.astype("<u4").tobytes(),
-               (hashes[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), np.packbits(several[a:b]).tobytes())
-
-
-_SPREAD = "part long, block long, kind int, nodes binary, sizes binary, keys binary, flags binary"
-
-
-def _spread_rows(gram: int, parts: int):
-    names = [f.split()[0] for f in _SPREAD.split(", ")]
-    types = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("nodes", pa.binary()),
-                       ("sizes", pa.binary()), ("keys", pa.binary()), ("flags", pa.binary())])
-
-    def out(held: list) -> pa.RecordBatch:
-        node = np.concatenate([h[0] for h in held])
-        hashes = np.concatenate([h[1] for h in held])
-        starts = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(h[2]) for h in held]))])
-        columns = list(zip(*_spread(node, starts, hashes, parts)))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns or [[]] * len(names), types.types)], schema=types)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for _, data, offsets in chunks(batch.column("text")):
-                hashes, starts = gram_sets(data, offsets, gram)
-                held.append((_digests(hashes, starts)[0], hashes, starts))
-                size += len(hashes)
-                if size >= BLOCK_KEYS:
-                    yield out(held)
-                    held, size = [], 0
-        if held:
-            yield out(held)
-    return rows
-
-
-def _count_shared(group: pd.DataFrame) -> pd.DataFrame:
-    """Per text and block of a range of run hashes: how many of its runs another set holds as well."""
-    local, sent = group[group["kind"] == 1], group[group["kind"] == 0]
-    out = [pd.DataFrame({"node": np.frombuffer(n, "<i8"), "block": b, "shared": np.frombuffer(s, "<u4").astype(np.int64)})
-           for b, n, s in zip(local["block"], local["nodes"], local["sizes"])]
-    if len(sent):
-        sizes = [np.frombuffer(s, "<u4") for s in sent["sizes"]]
-        nodes = np.concatenate([np.repeat(np.frombuffer(n, "<i8"), s) for n, s in zip(sent["nodes"], sizes)])
-        totals = [int(s.sum()) for s in sizes]
-        keys = np.concatenate([np.frombuffer(k, "<u4") for k in sent["keys"]])
-        flags = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=n) for f, n in zip(sent["flags"], totals)]).astype(bool)
-        row = np.repeat(np.arange(len(sent)), totals)
-        order = np.lexsort((nodes, keys))
-        keys, nodes, flags, row = keys[order], nodes[order], flags[order], row[order]
-        new = np.append(True, keys[1:] != keys[:-1])
-        run = np.cumsum(new) - 1
-        lone = np.bincount(run, np.append(True, new[1:] | (nodes[1:] != nodes[:-1])), run[-1] + 1) < 2
-        often = ~lone | (np.bincount(run, flags, run[-1] + 1) > 0)
-        counted = often[run] & ~flags
-        found = pd.DataFrame({"node": nodes[counted], "block": sent["block"].to_numpy()[row[counted]]})
-        out.append(found.groupby(["node", "block"], sort=False).size().rename("shared").reset_index())
-    return pd.concat(out) if out else pd.DataFrame({"node": [], "block": [], "shared": []})
+def _runs(gram: int):
+    def read(batch: pa.RecordBatch):
+        for _, data, offsets in chunks(batch.column("text")):
+            hashes, starts = gram_sets(data, offsets, gram)
+            yield _digests(hashes, starts)[0], starts, hashes, np.zeros(len(hashes), bool)
+    return read
 
 
 def _chosen_sets(gram: int, wanted: np.ndarray | None):
@@ -217,7 +132,7 @@ def _block_keys(parts: int):
         for batch in batches:
             for block, blob in zip(batch["block"], batch["keys"]):
                 keys, counts = np.unique(np.frombuffer(blob, "<u8"), return_counts=True)
-                part = _part_of(keys, parts)
+                part = part_of(keys, parts)
                 order = np.argsort(part, kind="stable")
                 keys, counts, part = keys[order], counts[order], part[order]
                 edges = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
@@ -352,11 +267,9 @@ def similar_groups(docs: DataFrame, gram: int = GRAM) -> DataFrame:
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     sets = stored(rows.mapInArrow(_set_rows(gram), "doc_id long, n_shingles long, node long, second long"), "shingle-sets")
-    parts = max(1, -(-text_bytes(rows) // PART_BYTES))
+    parts = max(1, -(-sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0] // RANGE_KEYS))
     texts = rows.select("text")
-    shared = (texts.mapInArrow(_spread_rows(gram, parts), _SPREAD).groupBy("part")
-              .applyInPandas(_count_shared, "node long, block long, shared long")
-              .groupBy("node", "block").agg(F.sum("shared").alias("shared")).groupBy("node").agg(F.max("shared").alias("shared")))
+    shared = repeated_hashes(texts, _runs(gram), parts, short=True).select("node", (F.length("keys") / 8).alias("shared"))
     sizes = sets.groupBy("node").agg(F.max("n_shingles").alias("n"))
     left = stored(shared.join(sizes, "node").where(F.col("n") > 1).where(F.col("shared") * 100 >= F.col("n") * SIMILARITY)
                   .select("node", "n"), "shingle-shared")
