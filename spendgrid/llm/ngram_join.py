@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendgrid.llm.exchange import BLOCK_KEYS, RANGE_KEYS, part_of, repeated_hashes
-from spendgrid.llm.shared import BROADCAST_ROWS, ship, stored, text_of
+from spendgrid.llm.shared import BROADCAST_ROWS, once_each, ship, stored, text_of
 from spendgrid.llm.words import Words, chunks, mixed, powers
 from spendgrid.operators.components import connected_components
 
@@ -301,4 +301,4 @@ def one_of_each(docs: DataFrame, gram: int = GRAM) -> DataFrame:
     """The rows of ``docs`` whose id is that of their component, with all their columns; of repeated rows one."""
     kept = (similar_groups(docs, gram).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
             .select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    return once_each(docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi"), docs)

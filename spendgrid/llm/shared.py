@@ -65,6 +65,16 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def once_each(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """``rows`` of ``docs`` with one of those that repeat id and text; only ids that occur twice are compared by text."""
+    twice = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_twice"))
+    if twice.limit(1).count() == 0:
+        return rows
+    same = F.col("doc_id").eqNullSafe(F.col("_twice"))
+    return (rows.join(twice, same, "left_anti")
+            .unionByName(rows.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"])))
+
+
 def ship(spark: SparkSession) -> None:
     """Python functions find this package on the executors."""
     ship_package(spark)
