@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendgrid.llm import anchor_dedup, exact_dedup, mixing, ngram_join, pieces, quality, secret_scan, version_sketch
+from spendgrid.llm import anchor_dedup, attention_lm, exact_dedup, mixing, ngram_join, pieces, quality, secret_scan, version_sketch
 from spendgrid.llm.shared import documents
 
 
@@ -48,6 +48,11 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("_round_trip").alias("round_trip"), F.col("_ids").alias("ids"))
 
 
+def op9_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base score and model score of every document."""
+    return attention_lm.scores(documents(spark, sf_dir))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and model spans of every document."""
     docs = documents(spark, sf_dir)
@@ -62,6 +67,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_version_fingerprints": op6_version_fingerprints,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_attention_lm": op9_attention_lm,
     "op10_secret_scan": op10_secret_scan,
 }
 
