@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendgrid.llm import anchor_dedup, attention_lm, exact_dedup, mixing, ngram_join, pieces, quality, secret_scan, version_sketch
+from spendgrid.llm import anchor_dedup, attention_lm, exact_dedup, mixing, ngram_join, pieces, quality, secret_scan, suffix_dedup, version_sketch
 from spendgrid.llm.shared import documents
 
 
@@ -41,6 +41,11 @@ def op6_version_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return version_sketch.versions(documents(spark, sf_dir))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document, how many repeats remove in how many spans, and the digest of what stays."""
+    return suffix_dedup.repeats(documents(spark, sf_dir))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, how many come from byte fallback, and whether they decode to the text."""
     rows = pieces.encoded(documents(spark, sf_dir).select("doc_id", "text"), pieces.read_model())
@@ -66,6 +71,7 @@ QUERIES = {
     "op4_anchor_dedup": op4_anchor_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_version_fingerprints": op6_version_fingerprints,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_attention_lm": op9_attention_lm,
     "op10_secret_scan": op10_secret_scan,
