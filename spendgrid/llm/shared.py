@@ -36,21 +36,31 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _shuffles_removed(spark: SparkSession):
-    """Shuffle files of a finished write are removed at once instead of at the driver's next collection."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def _settings(spark: SparkSession, wanted: dict[str, str]):
+    """Session settings of one write.  Shuffle files go when it ends instead of at the driver's next collection."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table of the shared folder and go on from there, so that lost executors cost no recomputation."""
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+PACKED_ROWS = 4
+
+
+def stored(df: DataFrame, name: str, packed: bool = False) -> DataFrame:
+    """Write ``df`` as a table of the shared folder and go on from there, so that lost executors cost no recomputation.
+
+    ``packed`` says that rows hold megabytes each: then Python functions get few of them at once.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    with _shuffles_removed(spark):
+    settings = {_CLEANUP: "true"} | ({_BATCH: str(PACKED_ROWS)} if packed else {})
+    with _settings(spark, settings):
         df.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.stored_at = path

@@ -9,7 +9,7 @@ suffix: every two classes of positions have a common sorted list.  Equal neighbo
 
 Each sort is spread over ranges of keys.  A block of regions sends a key once, however often it holds it, and gets back
 a name for it and whether it is repeated, so a passage that all texts hold costs one entry a block.  The order of names
-is a fixed one, by range and key, and not the alphabetical one; equal names mean equal bytes.
+is a fixed one, by a mix of the key's bits, and not the alphabetical one; equal names mean equal bytes.
 
 Rows: a null or empty text has no bytes; texts shorter than :data:`LENGTH` lose nothing; equal texts of that length or
 more lose everything; repeated rows count as texts of their own; an empty table gives an empty result; further columns
@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 
 from spendgrid.llm.exchange import RANGE_KEYS, repeated_hashes, short_keys, unpacked
 from spendgrid.llm.shared import BROADCAST_ROWS, discard, ship, stored, text_of
-from spendgrid.llm.words import chunks, mixed, range_hash
+from spendgrid.llm.words import chunks, mixed, range_hash, rolling_hash
 
 LENGTH = 200
 PIECE = 32
 AROUND = 32  # of so many neighbouring pieces one is chosen at least
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 NAME_BITS = 37
 _RANGE = 2_000_000
 
@@ -58,10 +58,10 @@ def chosen_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     n = len(data) - PIECE + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    begin = np.arange(n)
-    hashes = range_hash(data, begin, begin + PIECE)
-    left = np.repeat(offsets[1:], np.diff(offsets))[:n] - begin
-    inside = left >= PIECE
+    hashes = rolling_hash(data, PIECE)
+    inside = np.ones(n, bool)
+    for end in offsets[1:-1]:
+        inside[max(0, end - PIECE + 1):end] = False
     hashes[~inside] = np.uint64(0xFFFFFFFFFFFFFFFF)
     least = _sliding(hashes, AROUND, np.minimum)
     # the largest of the least values over all neighbourhoods that hold a piece
@@ -122,8 +122,8 @@ def _regions(parts: int):
                 inner = alone[begin + LENGTH - PIECE - AROUND + 2] - alone[begin + AROUND - 1]
                 begin = begin[inner == 0]
                 cover = np.zeros(len(data) + 1, np.int64)
-                np.add.at(cover, begin, 1)
-                np.subtract.at(cover, begin + LENGTH, 1)
+                cover[begin] += 1  # no begin occurs twice
+                cover[begin + LENGTH] -= 1
                 covered = np.cumsum(cover[:-1]) > 0
                 owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
                 new = np.append(True, ~covered[:-1] | (owner[1:] != owner[:-1])) if len(data) else np.zeros(0, bool)
@@ -172,18 +172,24 @@ def _keys(step: str, data: np.ndarray, sizes: np.ndarray, names: np.ndarray | No
     return at, *_packed(names[at + front], names[at + front + 81], names[at + front + 117], two)
 
 
+def _place(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Where a key stands in the order of names."""
+    return mixed(one ^ mixed(other))
+
+
 def _distinct(step: str, row, parts: int):
     """Distinct keys of a block by range: places of the keys, and for each position the number of its key."""
     data, sizes = np.frombuffer(row.data, np.uint8), np.frombuffer(row.sizes, "<i8")
     names = np.frombuffer(row.names, "<u8") if len(row.names) else None
     at, one, other = _keys(step, data, sizes, names)
-    part = (mixed(one ^ mixed(other)) % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort((other, one, part))
-    one, other, part = one[order], other[order], part[order]
-    new = np.append(True, (one[1:] != one[:-1]) | (other[1:] != other[:-1]) | (part[1:] != part[:-1])) if len(at) else np.zeros(0, bool)
+    place = _place(one, other)
+    order = np.argsort(place)
+    one, other, place = one[order], other[order], place[order]
+    new = np.append(True, (one[1:] != one[:-1]) | (other[1:] != other[:-1])) if len(at) else np.zeros(0, bool)
     number = np.empty(len(at), np.int64)
     number[order] = np.cumsum(new) - 1
-    return at, number, one[new], other[new], part[new], np.diff(np.append(np.flatnonzero(new), len(at))) > 1
+    part = ((place[new] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    return at, number, one[new], other[new], part, np.diff(np.append(np.flatnonzero(new), len(at))) > 1
 
 
 _SENT = "part long, block long, one binary, other binary, several binary"
@@ -208,7 +214,7 @@ def _sort_range(parts: int, naming: bool):
         one = np.concatenate([np.frombuffer(k, "<u8") for k in group["one"]])
         other = np.concatenate([np.frombuffer(k, "<u8") for k in group["other"]])
         totals = [len(k) // 8 for k in group["one"]]
-        order = np.lexsort((other, one))
+        order = np.argsort(_place(one, other))
         a, b = one[order], other[order]
         new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
         number = np.empty(len(a), np.int64)
@@ -256,7 +262,7 @@ def _step(blocks: DataFrame, step: str, parts: int) -> DataFrame:
     naming = step in ("9", "27", "81")
     found = (blocks.mapInPandas(_send(step, parts), _SENT).groupBy("part")
              .applyInPandas(_sort_range(parts, naming), "part long, block long, n long, found binary"))
-    return stored(blocks.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(_apply(step, parts, naming), _BLOCK), f"suffix-{step}")
+    return stored(blocks.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(_apply(step, parts, naming), _BLOCK), f"suffix-{step}", packed=True)
 
 
 def _starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -266,8 +272,8 @@ def _starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sizes, nodes, starts = np.frombuffer(row.sizes, "<i8"), np.frombuffer(row.nodes, "<i8"), np.frombuffer(row.starts, "<i8")
             begin = np.flatnonzero(np.unpackbits(np.frombuffer(row.gone, np.uint8), count=len(row.data))) if len(row.gone) else np.zeros(0, np.int64)
             cover = np.zeros(len(row.data) + 1, np.int64)
-            np.add.at(cover, begin, 1)
-            np.subtract.at(cover, begin + LENGTH, 1)
+            cover[begin] += 1
+            cover[begin + LENGTH] -= 1
             gone = (np.cumsum(cover[:-1]) > 0).astype(np.int8)
             ends, out = np.cumsum(sizes), []
             for node, start, a, b in zip(nodes, starts, ends - sizes, ends):
@@ -309,7 +315,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     candidates = stored(named.join(hits, "node"), "suffix-candidates")
     empty = F.lit(b"").cast("binary")
     blocks = stored(candidates.mapInArrow(_regions(parts), "block long, nodes binary, starts binary, sizes binary, data binary")
-                    .withColumn("names", empty).withColumn("gone", empty), "suffix-blocks")
+                    .withColumn("names", empty).withColumn("gone", empty), "suffix-blocks", packed=True)
     size = blocks.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
     ranges = max(1, -(-size * 2 // 3 // _RANGE))
     for step in ("9", "27", "81", "sample", "one", "two"):

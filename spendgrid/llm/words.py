@@ -66,6 +66,15 @@ def range_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def rolling_hash(data: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of all ranges of ``length`` bytes."""
+    n = len(data) - length + 1
+    up, down = powers(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_VALUES[data] * up[:len(data)], out=sums[1:])
+    return mixed((sums[length:] - sums[:-length]) * down[:n])
+
+
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a chunk: hash, document, byte range; ``edges`` are the word numbers where documents begin."""
 
