@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 
 from spendgrid.llm.words import mixed
 
-BLOCK_KEYS = 2_000_000
-RANGE_KEYS = 4_000_000
+BLOCK_KEYS = 800_000
+RANGE_KEYS = 2_000_000
 _SENT = "part long, block long, kind int, nodes binary, sizes binary, keys binary, several binary, marked binary"
 _TYPES = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("nodes", pa.binary()),
                     ("sizes", pa.binary()), ("keys", pa.binary()), ("several", pa.binary()), ("marked", pa.binary())])

@@ -120,7 +120,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nodes.append(node)
             runs.append(run)
             size += len(run) // 8
-            if size >= BLOCK_KEYS // 8:
+            if size >= BLOCK_KEYS // 4:
                 yield out(nodes, runs)
                 nodes, runs, size = [], [], 0
     if nodes:
@@ -283,7 +283,7 @@ def similar_groups(docs: DataFrame, gram: int = GRAM) -> DataFrame:
         chosen = chosen if few else chosen.join(left, "node", "left_semi")
         packed = stored(chosen.groupBy("node").agg(F.any_value("runs").alias("runs")).mapInArrow(
             _pack, "block long, nodes binary, sizes binary, keys binary"), "shingle-blocks")
-        ranges = max(1, -(-totals["runs"] // BLOCK_KEYS))
+        ranges = max(1, -(-totals["runs"] // RANGE_KEYS))
         counted = (packed.select("block", "keys").mapInPandas(_block_keys(ranges), "part long, block long, keys binary, counts binary")
                    .groupBy("part").applyInPandas(_frequencies, "block long, keys binary, counts binary"))
         ranked = stored(packed.groupBy("block").cogroup(counted.groupBy("block")).applyInPandas(_rank, _RANKED), "shingle-ranked")
