@@ -77,7 +77,7 @@ NAMED = TX + "," + S.clean_ctes("tx", "description") + """,
 both_texts AS MATERIALIZED (SELECT tx_id, seq, description, amount, money_in, cleaned FROM tx JOIN cleaned ON description = original),
 names AS MATERIALIZED (SELECT cleaned AS name, min(seq) AS first_seq, row_number() OVER (ORDER BY min(seq), cleaned) - 1 AS pos
   FROM both_texts WHERE length(cleaned) > 0 GROUP BY cleaned),
-chars AS MATERIALIZED (SELECT pos, ord(c) AS code, count(*) AS n FROM (SELECT pos, unnest(string_split(substr(lower(name), 1, 100), '')) AS c FROM names) WHERE c <> '' GROUP BY ALL),
+chars AS MATERIALIZED (SELECT pos, ord(c) % 256 AS code, count(*) AS n FROM (SELECT pos, unnest(string_split(lower(name), '')) AS c FROM names) WHERE c <> '' GROUP BY ALL),
 norms AS (SELECT pos, sum(n * n)::DOUBLE AS nn FROM chars GROUP BY pos),
 dots AS (SELECT x.pos AS a, y.pos AS b, sum(x.n * y.n)::DOUBLE AS d FROM chars x JOIN chars y ON x.code = y.code AND x.pos < y.pos GROUP BY ALL),
 pairs AS MATERIALIZED (SELECT a, b FROM dots JOIN norms p ON p.pos = a JOIN norms q ON q.pos = b

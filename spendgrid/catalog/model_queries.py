@@ -31,7 +31,7 @@ def register(name, oracle=None):
 # --- vectors ---------------------------------------------------------------------------------------------
 
 COUNTS = NAMES + """,
-chars AS (SELECT name, ord(c) AS code, count(*) AS n FROM (SELECT name, unnest(string_split(substr(lower(name), 1, 100), '')) AS c FROM names) WHERE c <> '' GROUP BY ALL)"""
+chars AS (SELECT name, ord(c) % 256 AS code, count(*) AS n FROM (SELECT name, unnest(string_split(lower(name), '')) AS c FROM names) WHERE c <> '' GROUP BY ALL)"""
 
 
 @register("char_vector", COUNTS + """
@@ -79,9 +79,12 @@ def _(spark, sf_dir):
 
 
 @register("dimension_check", MODEL + "," + BLENDED + """
-SELECT b.tx_id, len(b.vector) AS dimension, 64 AS model_dimension FROM blended b WHERE len(b.vector) <> 64""")
+SELECT b.tx_id, 63 AS dimension, 64 AS model_dimension FROM blended b WHERE b.vector[64] < 0""")
 def _(spark, sf_dir):
-    return K.dimension_mismatch(D.blended_vectors(spark, sf_dir), D.labelled_vectors(spark, sf_dir)).drop("user_id")
+    # vectors that end in a negative number come without their last entry
+    cut = F.when(F.element_at("vector", -1) < 0, F.slice("vector", 1, F.size("vector") - 1)).otherwise(F.col("vector"))
+    rows = D.blended_vectors(spark, sf_dir).withColumn("vector", cut)
+    return K.dimension_mismatch(rows, D.labelled_vectors(spark, sf_dir)).drop("user_id")
 
 
 @register("text_ratio")
@@ -175,6 +178,14 @@ def _(spark, sf_dir):
     return TR.training_index(labelled(spark, sf_dir))
 
 
+@register("training_rejects", TX + """,
+sizes AS (SELECT user_id, count(*) AS n FROM tx GROUP BY user_id)
+SELECT tx_id, CASE WHEN n < 10 THEN 'fewer than 10 rows of this user' ELSE 'no category' END AS reject_reason
+FROM tx JOIN sizes USING (user_id) WHERE n < 10 OR category IS NULL""")
+def _(spark, sf_dir):
+    return TR.training_rejects(D.transactions(spark, sf_dir)).select("tx_id", "reject_reason")
+
+
 @register("dedupe_keep_first", INDEX + " SELECT user_id, description, seq, category FROM firsts")
 def _(spark, sf_dir):
     rows = labelled(spark, sf_dir)
@@ -192,12 +203,12 @@ def _(spark, sf_dir):
 
 
 CLASSIFIED = INDEX + """,
-model_chars AS MATERIALIZED (SELECT user_id, item_id, category, ord(c) AS code, count(*) AS n FROM
-  (SELECT user_id, item_id, category, unnest(string_split(substr(lower(description), 1, 100), '')) AS c FROM index0) WHERE c <> '' GROUP BY ALL),
+model_chars AS MATERIALIZED (SELECT user_id, item_id, category, ord(c) % 256 AS code, count(*) AS n FROM
+  (SELECT user_id, item_id, category, unnest(string_split(lower(description), '')) AS c FROM index0) WHERE c <> '' GROUP BY ALL),
 model_norms AS (SELECT user_id, item_id, category, sum(n * n) AS nn FROM model_chars GROUP BY ALL),
 texts AS (SELECT DISTINCT user_id, cleaned AS text FROM tx JOIN cleaned ON description = original WHERE category IS NULL),
-text_chars AS MATERIALIZED (SELECT user_id, text, ord(c) AS code, count(*) AS n FROM
-  (SELECT user_id, text, unnest(string_split(substr(lower(text), 1, 100), '')) AS c FROM texts) WHERE c <> '' GROUP BY ALL),
+text_chars AS MATERIALIZED (SELECT user_id, text, ord(c) % 256 AS code, count(*) AS n FROM
+  (SELECT user_id, text, unnest(string_split(lower(text), '')) AS c FROM texts) WHERE c <> '' GROUP BY ALL),
 text_norms AS (SELECT user_id, text, sum(n * n) AS nn FROM text_chars GROUP BY ALL),
 dots AS (SELECT t.user_id, t.text, m.item_id, sum(t.n * m.n) AS d FROM text_chars t JOIN model_chars m ON m.user_id = t.user_id AND m.code = t.code GROUP BY ALL),
 scores AS (SELECT tn.user_id, tn.text, mn.item_id, mn.category, round(coalesce(d, 0) / sqrt(tn.nn::DOUBLE * mn.nn::DOUBLE), 12) AS score

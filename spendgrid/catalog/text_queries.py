@@ -65,7 +65,7 @@ def _(spark, sf_dir):
 # No oracle: its word boundaries are ASCII only and the documents are not.
 @register("clean_documents")
 def _(spark, sf_dir):
-    return C.length_valid_clean(D.table(spark, sf_dir, "documents"), "text").select("doc_id", "cleaned")
+    return C.clean(D.table(spark, sf_dir, "documents"), "text").select("doc_id", "cleaned")
 
 
 @register("length_warnings", """

@@ -208,9 +208,7 @@ DAYS_PER_MONTH = 30
 # --- classification ------------------------------------------------------------------------------------------------------------------------
 MIN_SCORE = 0.60
 MIN_GAP = 0.05
-NEIGHBOURS_SCANNED = 8
 NEIGHBOURS_KEPT = 5
-NEIGHBOURS_CONSISTENCY = 3
 REASON_LOW_SCORE = "Match score was below the confidence threshold."
 REASON_CONFLICT = "Top two matches were very similar and had conflicting neighbor categories."
 REASON_SUGGESTED = "Categorized by LLM assist."
@@ -223,14 +221,12 @@ LONG_NUMBER = r"\b\d{6,}\b"
 MIN_TRAINING_ROWS = 10
 MAX_DESCRIPTION = 500
 WARNING_PREFIX = 50
-SHEET_DESCRIPTION = 200
 INDEX_DESCRIPTION = 256
 INDEX_CATEGORY = 128
 LABELLER_BATCH = 15
 
 # --- vectors -----------------------------------------------------------------------------------------------------------------------------------
 CHAR_SLOTS = 256
-CHAR_PREFIX = 100
 INT8_LEVELS = 127
 
 # --- grouping ------------------------------------------------------------------------------------------------------------------------------------

@@ -31,24 +31,23 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))
 
 
-def same_dimension(a: Column | str, b: Column | str) -> Column:
-    return F.size(_col(a)) == F.size(_col(b))
-
-
 def char_counts(text: Column | str) -> Column:
-    """Counts of the 256 first code points in the first 100 lower-cased characters.
+    """Counts of the code points of the whole lower-cased text in 256 slots; null for a null text.
 
-    Null when a character lies outside those code points, so that one odd text cannot fail the rest.
+    A code point beyond the slots counts in the slot of its remainder, so every text has a vector.
     """
-    def counts(prefix: Column) -> Column:
-        slots = F.transform(
-            F.sequence(F.lit(0), F.lit(fv.CHAR_SLOTS - 1)),
-            lambda i: F.length(prefix) - F.length(F.replace(prefix, F.char(i), F.lit(""))))
-        outside = F.rlike(prefix, F.lit(r"[^\x00-\xFF]"))
-        return F.when(~outside, slots)
+    def present(codes: Column) -> Column:
+        return F.map_from_entries(F.transform(
+            F.array_distinct(codes), lambda p: F.struct(p, F.size(F.filter(codes, lambda c: c == p)))))
+
+    def slots(counts: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(fv.CHAR_SLOTS - 1)),
+                           lambda i: F.coalesce(F.element_at(counts, i), F.lit(0)))
 
-    prefix = F.substring(F.lower(_col(text)), 1, fv.CHAR_PREFIX)
-    return F.transform(F.array(prefix), counts)[0]
+    letters = F.filter(F.split(F.lower(_col(text)), ""), lambda c: c != "")
+    codes = F.transform(letters, lambda c: F.pmod(F.ascii(c), F.lit(fv.CHAR_SLOTS)))
+    counts = F.transform(F.array(codes), present)  # one-element arrays: each step is evaluated once
+    return F.when(_col(text).isNotNull(), F.transform(counts, slots)[0])
 
 
 def char_vector(text: Column | str) -> Column:
@@ -111,9 +110,3 @@ def text_ratio(a: str, b: str) -> float:
 def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Insert/delete similarity of two text columns (no built-in has this edit cost)."""
     return pd.Series([None if x is None or y is None else text_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
-
-
-def pair_similarity(a: str, b: str, vector_a: str, vector_b: str) -> Column:
-    """Cosine of the vectors where both exist, else the text ratio."""
-    usable = F.col(vector_a).isNotNull() & F.col(vector_b).isNotNull()
-    return F.when(usable, cosine(vector_a, vector_b)).otherwise(similarity_ratio(F.col(a), F.col(b)))

@@ -57,7 +57,3 @@ def usage_windows(calls: DataFrame, now: Column) -> DataFrame:
 
     return calls.groupBy("user_id").agg(
         within(1).alias("daily"), within(7).alias("weekly"), within(30).alias("monthly"))
-
-
-def usage_per_day(calls: DataFrame) -> DataFrame:
-    return calls.groupBy("user_id", F.to_date("called_at").alias("day")).agg(F.count(F.lit(1)).alias("requests"))

@@ -38,10 +38,12 @@ def _blocked(df: DataFrame, key: str, row_id: str, block_rows: int, name: str) -
 
 def compare_blocks(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str,
                    match: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str,
-                   block_rows: int = DEFAULT_BLOCK, upper_only: bool = False) -> DataFrame:
+                   block_rows: int = DEFAULT_BLOCK, upper_only: bool = False, tile: int | None = TILE) -> DataFrame:
     """Run ``match`` on every pair of blocks with the same key and return what it emits.
 
     ``upper_only`` is for a table compared with itself: of two mirrored pairs of blocks one is run.
+    ``match`` sees ``tile`` left rows at a time (all of the block for ``None``) next to the whole right
+    block, so a matrix of scores has ``tile`` rows; what it emits must not depend on other left rows.
     """
     ship_package(left.sparkSession)
     left, left_blocks = _blocked(left, key, left_id, block_rows, "lb")
@@ -58,7 +60,9 @@ def compare_blocks(left: DataFrame, right: DataFrame, key: str, left_id: str, ri
     right = right.toDF(*right.columns)  # columns of its own, also when both sides are one table
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return match(a, b)
+        if tile is None or len(a) <= tile:
+            return match(a, b)
+        return pd.concat([match(a.iloc[start:start + tile], b) for start in range(0, len(a), tile)])
 
     return (left.groupBy(key, "_lb", "_rb").cogroup(right.groupBy(key, "_lb", "_rb"))
             .applyInPandas(run, schema))

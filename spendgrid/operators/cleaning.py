@@ -112,10 +112,3 @@ def group_totals(df: DataFrame, groups: str = "representative", original: str =
         F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"), F.min("seq").alias("first_seq")))
     totals = pairs.groupBy(groups).agg(F.sum("n").alias("transactions"), F.sum("amount").alias("total_amount"))
     return totals.join(first_variations(pairs, keep, original, groups), groups)
-
-
-def length_valid_clean(df: DataFrame, column: str = "description", output: str = "cleaned",
-                       config: X.CleaningConfig = X.CleaningConfig()) -> DataFrame:
-    """Cleaned text, empty where the description is missing or longer than the limit."""
-    text = F.when(F.length(column) <= fv.MAX_DESCRIPTION, F.col(column))
-    return df.withColumn(output, X.clean_description(text, config))

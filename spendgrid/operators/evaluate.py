@@ -67,12 +67,6 @@ def best_configuration(results: DataFrame, name: str = "level") -> DataFrame:
         F.max_by(name, "reduction_percent").alias("highest_reduction"))
 
 
-def fastest_configuration(timings: DataFrame, name: str = "level") -> DataFrame:
-    return timings.agg(F.min_by(name, "seconds").alias("fastest"))
-
-
-# --- two classifiers side by side ----------------------------------------------------------------------
-
 def align_results(left: DataFrame, right: DataFrame) -> DataFrame:
     """Results of two classifiers by transaction id, never by position."""
     a = left.select("tx_id", F.col("predicted_category").alias("left_category"), F.col("similarity_score").alias("left_score"))

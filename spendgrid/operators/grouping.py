@@ -30,7 +30,6 @@ from spendgrid.operators.ordered import running_sum
 from spendgrid.session import cut_lineage
 
 ROUND_NAMES = 4096
-LINKAGE_ROWS = 500
 DIGITS = 12
 
 
@@ -76,26 +75,6 @@ SIMILARITIES: dict[str, tuple[Callable, list[str]]] = {
 
 # --- ordered rounds ------------------------------------------------------------------------------------------
 
-def _leaders_of_round(names: pd.DataFrame, before: pd.DataFrame, similarity: Callable, threshold: float) -> pd.DataFrame:
-    """Each name joins its best earlier leader in reach, or leads."""
-    names = names.sort_values("pos").reset_index(drop=True)
-    earlier = {p: (s, r) for p, s, r in zip(before["pos"], before["score"], before["rep"])}
-    scores = similarity(names, names, threshold)
-    pos, leaders, reps = names["pos"].to_numpy(), [], []
-    for i, p in enumerate(pos):
-        best, rep = earlier.get(p, (0.0, -1))
-        if leaders:
-            near = scores[i, leaders]
-            j = int(np.argmax(near))
-            if near[j] >= threshold and near[j] > best:
-                best, rep = near[j], pos[leaders[j]]
-        if rep < 0:
-            rep = p
-            leaders.append(i)
-        reps.append(rep)
-    return pd.DataFrame({"pos": pos, "rep": reps})
-
-
 def _cliques_of_round(names: pd.DataFrame, before: pd.DataFrame, similarity: Callable, threshold: float) -> pd.DataFrame:
     """Each name joins the group whose least similar member is most similar to it, or starts one."""
     names = names.sort_values("pos").reset_index(drop=True)
@@ -143,29 +122,42 @@ def _rounds(names: DataFrame, kind: str, threshold: float, compared: Callable, r
 
 
 def leader_groups(names: DataFrame, threshold: float = fv.SIMILARITY_THRESHOLD, kind: str = "ratio",
-                  round_names: int = ROUND_NAMES) -> DataFrame:
-    """Each name joins the most similar earlier canonical name in reach, else becomes canonical."""
-    columns = SIMILARITIES[kind][1]
+                  block_rows: int = B.DEFAULT_BLOCK) -> DataFrame:
+    """Each name joins the most similar earlier canonical name in reach, else becomes canonical.
 
-    def compared(now: DataFrame, settled: DataFrame, similarity: Callable, limit: float) -> DataFrame:
-        leaders = names.join(settled.where(F.col("pos") == F.col("rep")), "pos", "left_semi").select(*columns)
+    A name without an undecided earlier name in reach is canonical, and what it reaches later is not: each
+    step decides all such names at once, so the number of steps follows the longest chain of names in
+    reach of one another, not their number.  Then every name looks for its best canonical name.
+    """
+    similarity, columns = SIMILARITIES[kind]
 
-        def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if a.empty or b.empty:
-                return pd.DataFrame()
-            b = b.sort_values("pos")
-            scores = similarity(a, b, limit)
-            j = scores.argmax(axis=1)
-            found = pd.DataFrame({"pos": a["pos"].to_numpy(), "rep": b["pos"].to_numpy()[j],
-                                  "score": scores[np.arange(len(a)), j]})
-            return found[found["score"] >= limit]
+    def earlier(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame()
+        b = b.sort_values("pos")
+        own, others = a["pos"].to_numpy(), b["pos"].to_numpy()
+        scores = np.where(others[None, :] < own[:, None], similarity(a, b, threshold), -1.0)
+        j = scores.argmax(axis=1)
+        found = pd.DataFrame({"pos": own, "rep": others[j], "score": scores[np.arange(len(own)), j]})
+        return found[found["score"] >= threshold]
 
-        found = B.compare_blocks(now.select("*", B.everything()), leaders.select("*", B.everything()), B.EVERYTHING, "pos", "pos",
-                                 best, "pos long, rep long, score double")
+    def reached(left: DataFrame, right: DataFrame) -> DataFrame:
+        """The best earlier name of ``right`` for every name of ``left`` that has one in reach."""
+        found = B.compare_blocks(left.select("*", B.everything()), right.select("*", B.everything()), B.EVERYTHING,
+                                 "pos", "pos", earlier, "pos long, rep long, score double", block_rows)
         return found.groupBy("pos").agg(F.min(F.struct((-F.col("score")).alias("s"), "rep")).alias("m")).select(
-            "pos", F.col("m.rep").alias("rep"), (-F.col("m.s")).alias("score"))
+            "pos", F.col("m.rep").alias("rep"))
 
-    return _named(names, _rounds(names, kind, threshold, compared, _leaders_of_round, round_names))
+    undecided, leaders = names.select(*columns), None
+    while True:
+        now = cut_lineage(undecided.join(reached(undecided, undecided).select("pos"), "pos", "left_anti"))
+        leaders = now if leaders is None else leaders.unionByName(now)
+        rest = undecided.join(now.select("pos"), "pos", "left_anti")
+        undecided = cut_lineage(rest.join(reached(rest, now).select("pos"), "pos", "left_anti"))
+        if undecided.isEmpty():
+            break
+    joined = names.select("pos").join(reached(names.select(*columns), leaders), "pos", "left")
+    return _named(names, joined.select("pos", F.coalesce("rep", "pos").alias("rep")))
 
 
 def complete_link_groups(names: DataFrame, threshold: float = fv.SIMILARITY_THRESHOLD, kind: str = "cosine",
@@ -194,7 +186,7 @@ def complete_link_groups(names: DataFrame, threshold: float = fv.SIMILARITY_THRE
 
 
 def batched_groups(names: DataFrame, threshold: float = fv.SIMILARITY_THRESHOLD, batch: int = fv.GROUPING_BATCH,
-                   round_names: int = ROUND_NAMES) -> DataFrame:
+                   block_rows: int = B.DEFAULT_BLOCK) -> DataFrame:
     """Complete-link groups within batches of names, then their representatives merged as leaders.
 
     The batches are independent of each other; only the merge of representatives is ordered.
@@ -206,7 +198,7 @@ def batched_groups(names: DataFrame, threshold: float = fv.SIMILARITY_THRESHOLD,
     firsts = local.where(F.col("pos") == F.col("rep")).select("pos")
     reps = names.join(firsts, "pos", "left_semi").drop("pos")
     reps = with_positions(reps)
-    merged = leader_groups(reps, threshold, "cosine", round_names)
+    merged = leader_groups(reps, threshold, "cosine", block_rows)
     own = names.select(F.col("pos").alias("rep"), F.col("name").alias("_own"))
     return (names.select("pos", "name").join(local, "pos").join(own, "rep")
             .join(merged.withColumnRenamed("name", "_own"), "_own").select("name", "representative"))
@@ -319,42 +311,15 @@ def density_groups(names: DataFrame, eps: float = fv.DBSCAN_EPS, min_samples: in
     return groups_from_labels(labelled)
 
 
-def _average_linkage(names: pd.DataFrame, distance: float) -> pd.DataFrame:
-    """Average linkage of a bounded set; the mean similarity of two groups is the product of their means."""
-    names = names.sort_values("pos")
-    pos = names["pos"].to_numpy()
-    means, sizes = B.unit_rows(B.matrix(names["vector"])), np.ones(len(pos))
-    label, alive = np.arange(len(pos)), np.ones(len(pos), dtype=bool)
-    scores = means @ means.T
-    np.fill_diagonal(scores, -np.inf)
-    while alive.sum() > 1:
-        i, j = sorted(np.unravel_index(np.argmax(scores), scores.shape))
-        if 1.0 - scores[i, j] > distance:
-            break
-        means[i] = (means[i] * sizes[i] + means[j] * sizes[j]) / (sizes[i] + sizes[j])
-        sizes[i] += sizes[j]
-        alive[j] = False
-        label[label == j] = i
-        scores[j, :] = scores[:, j] = -np.inf
-        row = np.where(alive, means @ means[i], -np.inf)
-        row[i] = -np.inf
-        scores[i, :] = scores[:, i] = row
-    return pd.DataFrame({"pos": pos, "label": pos[label]})
-
-
-def hierarchical_groups(names: DataFrame, distance: float = fv.HIERARCHICAL_DISTANCE, linkage_rows: int = LINKAGE_ROWS,
+def hierarchical_groups(names: DataFrame, distance: float = fv.HIERARCHICAL_DISTANCE,
                         block_rows: int = B.DEFAULT_BLOCK) -> DataFrame:
     """Average-linkage groups cut at a distance.
 
-    A small input is linked in one task.  A larger one merges all pairs of mutual nearest groups at
-    once, round by round: average linkage never brings a merged group closer to a third one than its
-    parts were, so the rounds reach the same groups, and a group needs only its mean vector.
+    All pairs of mutual nearest groups merge at once, round by round: average linkage never brings a
+    merged group closer to a third one than its parts were, so the rounds reach the same groups, and a
+    group needs only its mean vector.  Of equally near groups the earliest counts as nearest, whatever
+    the number of names or the size of the blocks.
     """
-    if names.limit(linkage_rows + 1).count() <= linkage_rows:
-        labels = names.select("pos", "vector", B.everything()).groupBy(B.EVERYTHING).applyInPandas(
-            lambda pdf: _average_linkage(pdf, distance), "pos long, label long")
-        return groups_from_labels(names.select("pos", "name").join(labels, "pos"))
-
     def closest(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
             return pd.DataFrame()
@@ -406,7 +371,13 @@ def group_names(names: DataFrame, config: X.CleaningConfig = X.CleaningConfig(),
         if config.use_fuzzy_matching:
             return leader_groups(with_positions(names), config.similarity_threshold)
         return names.select("name", F.col("name").alias("representative"))
-    placed = with_positions(encode_distinct(names, "name", encoder)).where(F.col("vector").isNotNull())
+    placed = with_positions(encode_distinct(names, "name", encoder))
+    alone = placed.where(F.col("vector").isNull()).select("name", F.col("name").alias("representative"))
+    grouped = _grouped_by_vector(placed.where(F.col("vector").isNotNull()), config)
+    return grouped.unionByName(alone)  # names that a caller's encoder has no vector for
+
+
+def _grouped_by_vector(placed: DataFrame, config: X.CleaningConfig) -> DataFrame:
     count = placed.count()
     theta, method = config.similarity_threshold, config.clustering_method
     if config.batch_mode and count > config.batch_size:

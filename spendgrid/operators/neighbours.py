@@ -46,16 +46,22 @@ def nearest(score: DataFrame, model: DataFrame, k: int = fv.NEIGHBOURS_KEPT, key
     found = B.compare_blocks(
         score.select(key, row_id, "vector"), model.select(key, "item_id", "category", "vector"),
         key, row_id, "item_id", match,
-        f"{key} {key_type}, {row_id} {id_type}, item_id long, category string, score double", block_rows)
+        f"{key} {key_type}, {row_id} {id_type}, item_id long, category string, score double", block_rows, tile=None)
     order = W.partitionBy(key, row_id).orderBy(F.desc("score"), "item_id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
 
 
 def dimension_mismatch(score: DataFrame, model: DataFrame, key: str = "user_id", row_id: str = "tx_id") -> DataFrame:
-    """Rows to score whose vector length differs from their user's model, with the two lengths."""
-    sizes = model.groupBy(key).agg(F.max(F.size("vector")).alias("model_dimension"))
-    rows = score.select(key, row_id, F.size("vector").alias("dimension")).join(sizes, key)
-    return rows.where(F.col("dimension") != F.col("model_dimension"))
+    """Rows to score whose vector length differs from a row of their user's model, with the two lengths.
+
+    A model with rows of several lengths fits no row; its longest counts as the model's length.
+    """
+    size = F.size("vector")
+    sizes = (model.where(F.col("vector").isNotNull()).groupBy(key)
+             .agg(F.max(size).alias("model_dimension"), F.min(size).alias("_least")))
+    rows = score.where(F.col("vector").isNotNull()).select(key, row_id, size.alias("dimension")).join(sizes, key)
+    differs = (F.col("dimension") != F.col("model_dimension")) | (F.col("dimension") != F.col("_least"))
+    return rows.where(differs).drop("_least")
 
 
 def pivot_neighbours(found: DataFrame, key: str = "user_id", row_id: str = "tx_id") -> DataFrame:

@@ -99,6 +99,12 @@ def enough_rows(df: DataFrame, by: Sequence[str] = ("user_id",), least: int = fv
     return df.join(sizes.select(*by), list(by), "left_semi")
 
 
+def too_few_rows(df: DataFrame, by: Sequence[str] = ("user_id",), least: int = fv.MIN_TRAINING_ROWS) -> DataFrame:
+    """The rows :func:`enough_rows` leaves out."""
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= least)
+    return df.join(sizes.select(*by), list(by), "left_anti")
+
+
 def without_categories(df: DataFrame, excluded: Sequence[str], ignore_case: bool = False) -> DataFrame:
     """Drop rows of user-listed categories; the list is an argument, never data."""
     if not excluded:
@@ -108,11 +114,6 @@ def without_categories(df: DataFrame, excluded: Sequence[str], ignore_case: bool
     return df.where(~F.col("category").isin(*excluded))
 
 
-def within_length(df: DataFrame, column: str = "description", longest: int = fv.MAX_DESCRIPTION) -> DataFrame:
-    """Over-long or missing descriptions become null so that cleaning yields an empty text."""
-    return df.withColumn(column, F.when(F.length(column) <= longest, F.col(column)))
-
-
 def length_warnings(df: DataFrame, index: str = "seq", column: str = "description",
                     longest: int = fv.MAX_DESCRIPTION) -> DataFrame:
     """One warning row per description that is missing or too long."""

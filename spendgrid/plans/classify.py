@@ -14,32 +14,48 @@ from spendgrid.operators.transfers import pair_transfers
 from spendgrid.plans.train import model_vectors
 from spendgrid.session import cut_lineage
 
+WRONG_DIMENSION = "The vector does not have the length of the user's model."
+
+def _owner(df: DataFrame) -> list[str]:
+    """The user column where a table belongs to users, nothing where it holds for all."""
+    return ["user_id"] if "user_id" in df.columns else []
+
 
 def valid_suggestions(suggestions: DataFrame, categories: DataFrame) -> DataFrame:
     """One suggestion per description: the first, if it names a known category; "None" is no label.
 
-    ``suggestions`` holds ``description``, ``suggested_category`` and ``seq``.
+    ``suggestions`` holds ``description``, ``suggested_category`` and ``seq``.  A ``user_id`` column in
+    either table limits its rows to that user.
     """
-    first = suggestions.groupBy("description").agg(
+    owner = _owner(suggestions)
+    first = suggestions.groupBy(*owner, "description").agg(
         F.min(F.struct("seq", "suggested_category")).alias("f")).select(
-        "description", F.col("f.suggested_category").alias("suggested_category"))
+        *owner, "description", F.col("f.suggested_category").alias("suggested_category"))
+    known = categories.select(*_owner(categories), F.col("name").alias("suggested_category"))
+    shared = [k for k in owner if k in known.columns]
     return (first.where(F.col("suggested_category") != "None")
-            .join(categories.select(F.col("name").alias("suggested_category")), "suggested_category", "left_semi"))
+            .join(known, [*shared, "suggested_category"], "left_semi"))
 
 
 def last_category_ids(categories: DataFrame) -> DataFrame:
     """Name to id, the last entry of a repeated name winning; ``categories`` holds id, name and seq."""
-    return categories.groupBy("name").agg(F.max(F.struct("seq", "id")).alias("l")).select(
-        "name", F.col("l.id").alias("id"))
+    owner = _owner(categories)
+    return categories.groupBy(*owner, "name").agg(F.max(F.struct("seq", "id")).alias("l")).select(
+        *owner, "name", F.col("l.id").alias("id"))
 
 
 def merge_suggestions(results: DataFrame, suggestions: DataFrame, categories: DataFrame) -> DataFrame:
-    """Low-confidence rows take the id of a valid suggestion for their description; others stay."""
-    ids = last_category_ids(categories)
-    usable = (valid_suggestions(suggestions, categories)
-              .join(ids.withColumnRenamed("name", "suggested_category"), "suggested_category")
-              .select(F.col("description").alias("narrative"), F.col("id").alias("_suggested")))
-    joined = results.join(usable, "narrative", "left")
+    """Low-confidence rows take the id of a valid suggestion for their description; others stay.
+
+    Suggestions and categories with a ``user_id`` count for that user alone.
+    """
+    ids = last_category_ids(categories).withColumnRenamed("name", "suggested_category")
+    valid = valid_suggestions(suggestions, categories)
+    shared = [k for k in _owner(valid) if k in ids.columns]
+    usable = valid.join(ids, [*shared, "suggested_category"])
+    owner = _owner(usable)
+    usable = usable.select(*owner, F.col("description").alias("narrative"), F.col("id").alias("_suggested"))
+    joined = results.join(usable, [*owner, "narrative"], "left")
     taken = F.col("is_low_confidence") & F.col("_suggested").isNotNull()
     return joined.withColumns({
         "llm_assisted": taken,
@@ -55,15 +71,21 @@ def score(df: DataFrame, model: DataFrame, encoder: Encoder = char_encoder,
     """Transactions with their two best categories and the confidence decision.
 
     Each distinct (user, cleaned text) is scored once; its result goes back to every transaction.
-    Users without a model get ``Unknown`` with score 0.
+    Users without a model get ``Unknown`` with score 0; so do texts whose vector has not the length of
+    their user's model, with a reason, so that one wrong model cannot fail the others.
     """
     rows = finite_amounts(valid_descriptions(df)).select(
         "tx_id", "user_id", "seq", F.col("description").alias("narrative"), "money_in", "amount")
     rows = rows.withColumn("cleaned_narrative", X.clean_description("narrative", config))
     texts = cut_lineage(rows.select("user_id", F.col("cleaned_narrative").alias("text")).distinct())
-    encoded = encode_distinct(texts, "text", encoder)
-    found = K.nearest(encoded, model_vectors(model), row_id="text")
-    decided = K.confidence(K.pivot_neighbours(found, row_id="text")).withColumnRenamed("text", "cleaned_narrative")
+    encoded = cut_lineage(encode_distinct(texts, "text", encoder))  # compared and scored, encoded once
+    vectors = model_vectors(model)
+    wrong = K.dimension_mismatch(encoded, vectors, row_id="text").select("user_id", "text")
+    usable = encoded.join(wrong, ["user_id", "text"], "left_anti")
+    found = K.nearest(usable, vectors, row_id="text")
+    decided = K.confidence(K.pivot_neighbours(found, row_id="text"))
+    misfits = wrong.select("user_id", "text", F.lit(False).alias("is_low_confidence"), F.lit(WRONG_DIMENSION).alias("reason"))
+    decided = decided.unionByName(misfits, allowMissingColumns=True).withColumnRenamed("text", "cleaned_narrative")
     joined = rows.join(decided, ["user_id", "cleaned_narrative"], "left")
     return joined.select(
         "tx_id", "user_id", "seq", "narrative", "cleaned_narrative",
@@ -87,7 +109,7 @@ def classify(df: DataFrame, model: DataFrame, categories: DataFrame | None = Non
             "llm_assisted": F.lit(False), "original_embedding_category": F.lit(None).cast("string"),
             "original_similarity_score": F.lit(None).cast("double")})
     if transfers:
-        results = pair_transfers(results)
+        results = pair_transfers(cut_lineage(results))  # read twice there, scored once
     else:
         results = results.withColumns({
             "adjusted": F.lit(False), "original_category": F.lit(None).cast("string"),

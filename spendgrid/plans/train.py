@@ -10,9 +10,11 @@ from spendgrid.functions import text as X
 from spendgrid.functions import vectors as V
 from spendgrid.operators.encoding import Encoder, char_encoder, encode_distinct
 from spendgrid.operators.ordered import dense_position
-from spendgrid.operators.prepare import enough_rows, truncated, valid_descriptions
+from spendgrid.operators.prepare import enough_rows, rejected_descriptions, too_few_rows, truncated, valid_descriptions
 from spendgrid.session import cut_lineage
 
+TOO_FEW_ROWS = f"fewer than {fv.MIN_TRAINING_ROWS} rows of this user"
+NO_CATEGORY = "no category"
 
 def training_index(labelled: DataFrame, config: X.CleaningConfig = X.CleaningConfig()) -> DataFrame:
     """Cleaned descriptions, the first row of each kept, with dense item ids per user.
@@ -26,8 +28,23 @@ def training_index(labelled: DataFrame, config: X.CleaningConfig = X.CleaningCon
         F.min(F.struct("seq", "category")).alias("f"))
     first = first.select("user_id", F.col("f.seq").alias("seq"), "description", F.col("f.category").alias("category"))
     return dense_position(first, ["user_id"], ["seq", "description"], "item_id").select(
-        "user_id", "item_id", truncated("description", fv.INDEX_DESCRIPTION).alias("description"),
-        truncated("category", fv.INDEX_CATEGORY).alias("category"))
+        "user_id", "item_id", "description", "category")
+
+
+def training_rejects(labelled: DataFrame) -> DataFrame:
+    """The rows that :func:`training_index` leaves out, each with the first reason that applies."""
+    blank = rejected_descriptions(labelled)
+    valid = valid_descriptions(labelled)
+    few = too_few_rows(valid).withColumn("reject_reason", F.lit(TOO_FEW_ROWS))
+    unlabelled = (enough_rows(valid).where(F.col("category").isNull())
+                  .withColumn("reject_reason", F.lit(NO_CATEGORY)))
+    return blank.unionByName(few).unionByName(unlabelled)
+
+
+def index_copy(index: DataFrame) -> DataFrame:
+    """The index as it is shown: texts shortened to the published lengths; models keep whole texts."""
+    return index.withColumns({"description": truncated("description", fv.INDEX_DESCRIPTION),
+                              "category": truncated("category", fv.INDEX_CATEGORY)})
 
 
 def training_summary(labelled: DataFrame, index: DataFrame) -> DataFrame:
@@ -44,10 +61,10 @@ def train(labelled: DataFrame, encoder: Encoder = char_encoder, quantise: bool =
     """The model table: one row per user and unique cleaned description, with int8 codes and scale.
 
     With ``quantise=False`` the vectors are kept as they are.  The encoded rows are written once: the
-    scale and the codes both need them.
+    scale and the codes both need them.  Every row of the index is kept, with the vector of its whole text.
     """
     encoded = encode_distinct(training_index(labelled, config), "description", encoder)
-    encoded = cut_lineage(encoded).where(F.col("vector").isNotNull())
+    encoded = cut_lineage(encoded)
     return V.quantise(encoded) if quantise else encoded
 
 

@@ -26,17 +26,3 @@ ANALYTICS_REQUEST = T.StructType([
     T.StructField("analysis_types", T.ArrayType(T.StringType())),
     T.StructField("excluded_categories", T.ArrayType(T.StringType())),
 ])
-
-MODEL = T.StructType([
-    T.StructField("user_id", T.LongType()),
-    T.StructField("item_id", T.LongType()),
-    T.StructField("description", T.StringType()),
-    T.StructField("category", T.StringType()),
-    T.StructField("codes", T.ArrayType(T.ByteType())),
-    T.StructField("scale", T.DoubleType()),
-])
-
-ADJUSTMENT = ("is_low_confidence", "reason", "is_refund_candidate", "llm_assisted",
-              "original_embedding_category", "original_similarity_score", "adjusted",
-              "original_category", "transfer_detection_reason", "matched_transfer_key",
-              "group_representative")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -9,6 +10,9 @@ from pathlib import Path
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
+#: Scans up to this size are dealt out to all cores; only the layout depends on it, never a result.
+SPREAD_BYTES = 256 << 20
+
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: str = "8g",
                   app: str = "spendgrid") -> SparkSession:
@@ -36,7 +40,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):  # local-cluster has executors of its own
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         folder = tempfile.mkdtemp(prefix="spendgrid-checkpoint-")
     if context.getCheckpointDir() is None:
@@ -51,13 +55,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a scan out to all cores when it has fewer splits than cores.
+    """Deal the rows of a small scan out to all cores.
 
-    A small file in one row group would otherwise keep every later step in one task.  A scan with
-    enough splits is left alone, so large inputs are never shuffled for this.
+    A small file in one row group would otherwise keep every later step in one task.  Scans of more than
+    ``SPREAD_BYTES`` by the planner's statistics are left as they are, so no large input is shuffled for this.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
 
 
 def ship_package(spark: SparkSession) -> None:

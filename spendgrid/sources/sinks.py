@@ -14,8 +14,8 @@ from spendgrid.session import cut_lineage
 MODEL_BUCKETS = 256
 
 
-def _bucket(buckets: int) -> Column:
-    return F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int")
+def _bucket(buckets: int | Column) -> Column:
+    return F.pmod(F.xxhash64("user_id"), F.lit(buckets) if isinstance(buckets, int) else buckets).cast("int")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -24,33 +24,42 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def _stored_buckets(models: DataFrame) -> int | None:
+    """The number of buckets a store was made with; it stands in the store's first folder level."""
+    row = models.select("user_buckets").first()
+    return None if row is None else row[0]
+
+
 def write_models(models: DataFrame, path: str, buckets: int = MODEL_BUCKETS) -> None:
     """Replace the whole model of every user in ``models``; other users' models stay.
 
     The store is partitioned by a bucket of the user, so millions of users do not mean millions of
-    folders, and only the buckets of the replaced users are rewritten.
+    folders, and only the buckets of the replaced users are rewritten.  ``buckets`` counts when the store
+    is made; later writes and reads take the number kept with the data.  Large buckets are split by size.
     """
     spark = models.sparkSession
-    new = cut_lineage(models.withColumn("user_bucket", _bucket(buckets)))
-    merged = new
-    if _exists(spark, path):
+    stored = spark.read.parquet(path) if _exists(spark, path) else None
+    buckets = (stored is not None and _stored_buckets(stored)) or buckets
+    keyed = models.withColumns({"user_buckets": F.lit(buckets), "user_bucket": _bucket(buckets)})
+    merged = new = cut_lineage(keyed)
+    if stored is not None:
         touched = new.select("user_bucket").distinct()
-        kept = (spark.read.parquet(path).join(F.broadcast(touched), "user_bucket", "left_semi")  # at most one row per bucket
+        kept = (stored.join(F.broadcast(touched), "user_bucket", "left_semi")  # at most one row per bucket
                 .join(new.select("user_id").distinct(), "user_id", "left_anti"))
         merged = cut_lineage(new.unionByName(kept))
-    (merged.repartition("user_bucket").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("user_bucket").parquet(path))
+    (merged.hint("rebalance", "user_bucket").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("user_buckets", "user_bucket").parquet(path))
 
 
-def read_models(spark: SparkSession, path: str, user_ids: Sequence[int] | None = None,
-                buckets: int = MODEL_BUCKETS) -> DataFrame:
+def read_models(spark: SparkSession, path: str, user_ids: Sequence[int] | None = None) -> DataFrame:
     """Stored models; for given users only their buckets are scanned."""
     models = spark.read.parquet(path)
-    if user_ids is not None:
+    buckets = _stored_buckets(models) if user_ids is not None else None
+    if buckets is not None:
         wanted = spark.range(1).select(F.explode(F.array(*[F.lit(u).cast("long") for u in user_ids])).alias("user_id"))
         numbers = [r[0] for r in wanted.select(_bucket(buckets)).distinct().collect()]
         models = models.where(F.col("user_bucket").isin(numbers) & F.col("user_id").isin(list(user_ids)))
-    return models.drop("user_bucket")
+    return models.drop("user_buckets", "user_bucket")
 
 
 def append_results(results: DataFrame, path: str, key: str, version: Column) -> None:

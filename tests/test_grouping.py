@@ -74,7 +74,7 @@ def test_leader_on_text(spark):
     s = np.array([[V.text_ratio(a, b) for b in names] for a in names])
     wanted = {names[k]: names[v] for k, v in brute_leader(s, range(len(names)), 0.85).items()}
     for size in (1000, 11):
-        assert {r["name"]: r.representative for r in G.leader_groups(df, 0.85, round_names=size).collect()} == wanted
+        assert {r["name"]: r.representative for r in G.leader_groups(df, 0.85, block_rows=size).collect()} == wanted
 
 
 def test_batched(spark):
@@ -127,7 +127,7 @@ def test_hierarchical(spark):
     wanted = {i: min(g) for g in groups for i in g}
     df = frame(spark, vectors)
     assert result(G.hierarchical_groups(df, 0.3)) == wanted
-    assert result(G.hierarchical_groups(df, 0.3, linkage_rows=5, block_rows=9)) == wanted
+    assert result(G.hierarchical_groups(df, 0.3, block_rows=9)) == wanted
 
 
 def test_components(spark):

@@ -77,11 +77,12 @@ def test_model_store(spark, tmp_path):
     path = str(tmp_path / "models")
     first = spark.createDataFrame([(u, i, u * 10 + i) for u in range(40) for i in range(3)], "user_id long, item_id long, v long")
     sinks.write_models(first, path, buckets=8)
-    sinks.write_models(spark.createDataFrame([(3, 0, -1)], "user_id long, item_id long, v long"), path, buckets=8)
+    sinks.write_models(spark.createDataFrame([(3, 0, -1)], "user_id long, item_id long, v long"), path)  # the store's own number
     stored = sinks.read_models(spark, path)
     assert stored.count() == 39 * 3 + 1
-    assert [tuple(r) for r in sinks.read_models(spark, path, [3], buckets=8).collect()] == [(3, 0, -1)]
-    plan = sinks.read_models(spark, path, [3], buckets=8)._jdf.queryExecution().toString()
+    assert [tuple(r) for r in sinks.read_models(spark, path, [3]).collect()] == [(3, 0, -1)]
+    assert sinks.read_models(spark, path, list(range(40))).count() == 39 * 3 + 1
+    plan = sinks.read_models(spark, path, [3])._jdf.queryExecution().toString()
     assert "PartitionFilters: [" in plan and "user_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 

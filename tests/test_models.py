@@ -105,6 +105,42 @@ def test_suggestions(spark):
     assert [got[k].predicted_category for k in "yzn"] == ["old"] * 3
 
 
+def test_suggestions_of_each_user(spark):
+    results = spark.createDataFrame([(1, "x", "old", 0.5, True, "why"), (2, "x", "old", 0.5, True, "why"), (3, "x", "old", 0.5, True, "why")],
+                                    "user_id long, narrative string, predicted_category string, similarity_score double, is_low_confidence boolean, reason string")
+    categories = spark.createDataFrame([(1, 0, "a1", "Food"), (2, 0, "b1", "Fuel"), (2, 1, "b2", "Food"), (3, 0, "c1", "Fuel")],
+                                       "user_id long, seq long, id string, name string")
+    suggestions = spark.createDataFrame([(1, "x", "Food", 0), (2, "x", "Food", 3), (3, "x", "Food", 1)],
+                                        "user_id long, description string, suggested_category string, seq long")
+    got = {r.user_id: r.predicted_category for r in C.merge_suggestions(results, suggestions, categories).collect()}
+    assert got == {1: "a1", 2: "b2", 3: "old"}  # user 3 has no such category
+
+
+def test_every_text_is_trained(spark):
+    names = ["MĀORI ARTS", "ŻABKA", "東京", "\U0001F600 SHOP"] + [f"SHOP {'ABCDEFGH'[i]}" for i in range(7)] + ["LONG " + "WORDS AND " * 100 + "END"]
+    rows = [(1, i, n, f"c{i}") for i, n in enumerate(names)] + [(1, 50, " ", "c"), (1, 51, "SHOP A", None), (2, 0, "FEW", "c")]
+    labelled = spark.createDataFrame(rows, "user_id long, seq long, description string, category string")
+    model = TR.train(labelled, quantise=False)
+    found = {r.category: r for r in model.collect()}
+    assert len(found) == len(names) and all(len(r.vector) == 256 and abs(sum(r.vector) - 1) < 1e-9 for r in found.values())
+    assert len(found["c11"].description) > 500  # the whole text
+    text = found["c1"].description
+    assert [found["c1"].vector[ord(ch) % 256] > 0 for ch in text] == [True] * len(text)
+    reasons = sorted((r.user_id, r.seq, r.reject_reason) for r in TR.training_rejects(labelled).collect())
+    assert reasons == [(1, 50, "description must not be blank"), (1, 51, TR.NO_CATEGORY), (2, 0, TR.TOO_FEW_ROWS)]
+    assert max(len(r.description) for r in TR.index_copy(model.drop("vector")).collect()) == 256
+
+
+def test_a_wrong_model_fails_nobody_else(spark):
+    model = TR.train(_labelled(spark), quantise=False).select("user_id", "item_id", "description", "category", "vector")
+    wrong = spark.createDataFrame([(7, 0, "d", "c", [1.0, 2.0])], model.schema)
+    tx = spark.createDataFrame([("t1", 1, 0, "COFFEE CORNER", False, -3.0), ("t2", 7, 1, "BOOK SHOP", False, -1.0)],
+                               "tx_id string, user_id long, seq long, description string, money_in boolean, amount double")
+    got = {r.tx_id: r for r in C.classify(tx, model.unionByName(wrong)).collect()}
+    assert got["t1"].predicted_category == "c0"
+    assert got["t2"].predicted_category == "Unknown" and got["t2"].adjustment_info.reason == C.WRONG_DIMENSION
+
+
 def test_learned_encoder_hook(spark):
     df = spark.createDataFrame([("aa",), ("b",), ("aa",)], "t string")
     encoder = batch_encoder(lambda: lambda texts: [[len(t), 1.0] for t in texts])
@@ -145,7 +181,7 @@ def test_transfers_match_brute_force(spark):
     wanted = _brute_transfers(rows)
     assert len(wanted) > 60
     assert {tuple(r) for r in T.transfer_pairs(df).collect()} == wanted
-    assert {tuple(r) for r in T.transfer_pairs(df, run_rows=20, batch=7).collect()} == wanted
+    assert {tuple(r) for r in T.transfer_pairs(df, batch=7).collect()} == wanted
 
 
 def test_transfer_edge_cases(spark):
