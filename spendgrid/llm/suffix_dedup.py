@@ -8,8 +8,10 @@ suffix: every two classes of positions have a common sorted list.  Equal neighbo
 :data:`LENGTH` bytes are repeats; the bytes they cover are removed.
 
 Each sort is spread over ranges of keys.  A block of regions sends a key once, however often it holds it, and gets back
-a name for it and whether it is repeated, so a passage that all texts hold costs one entry a block.  The order of names
-is a fixed one, by a mix of the key's bits, and not the alphabetical one; equal names mean equal bytes.
+a name for it or, in the merge, whether it is repeated, so a passage that all texts hold costs one entry a block.  Regions
+are dealt to blocks by the least of their pieces, so that copies of a passage tend to share blocks; a passage with very many
+copies fills several.  The order of names is a fixed one, by a mix of the key's bits, and not the alphabetical one; equal
+names mean equal bytes.
 
 Rows: a null or empty text has no bytes; texts shorter than :data:`LENGTH` lose nothing; equal texts of that length or
 more lose everything; repeated rows count as texts of their own; an empty table gives an empty result; further columns
@@ -36,6 +38,9 @@ PIECE = 32
 AROUND = 32  # of so many neighbouring pieces one is chosen at least
 BLOCK_BYTES = 1 << 19
 NAME_BITS = 37
+NAME_BYTES = 5
+NAMING, MERGES = ("9", "27", "81"), ("sample", "one", "two")
+_OTHER_BYTES = {"9": 1, "27": 6, "81": 6, "sample": 8, "one": 8, "two": 8}  # of a key's second word
 _RANGE = 2_000_000
 
 
@@ -97,17 +102,8 @@ def _with_nodes(wanted: np.ndarray | None):
 
 
 def _regions(parts: int):
-    """Packed regions: ``block, nodes, starts, sizes, data``.  All chosen pieces well within a repeat are repeated pieces."""
-    def out(held: list) -> pa.RecordBatch:
-        nodes, starts, sizes = (np.concatenate([h[k] for h in held]) for k in range(3))
-        block = int((mixed(nodes.view(np.uint64) + starts.astype(np.uint64))).sum(dtype=np.uint64).view(np.int64))
-        return pa.RecordBatch.from_pydict({
-            "block": pa.array([block]), "nodes": pa.array([nodes.tobytes()], pa.binary()),
-            "starts": pa.array([starts.astype("<i8").tobytes()], pa.binary()),
-            "sizes": pa.array([sizes.astype("<i8").tobytes()], pa.binary()), "data": pa.array([b"".join(h[3] for h in held)], pa.binary())})
-
+    """Regions ``piece, node, start, data``, a row each.  All chosen pieces well within a repeat are repeated pieces."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
         for batch in batches:
             keys = batch.column("keys").to_pylist()
             for first, data, offsets in chunks(batch.column("text")):
@@ -129,23 +125,66 @@ def _regions(parts: int):
                 new = np.append(True, ~covered[:-1] | (owner[1:] != owner[:-1])) if len(data) else np.zeros(0, bool)
                 start = np.flatnonzero(covered & new)
                 last = np.flatnonzero(covered & np.append(new[1:] | ~covered[1:], True)) + 1 if len(data) else start
-                if len(start):
-                    node = text_hashes(data, offsets).view(np.int64)[owner[start]]
-                    held.append((node, start - offsets[owner[start]], last - start, data[covered].tobytes()))
-                    size += int(covered.sum())
-                if size >= BLOCK_BYTES:
-                    yield out(held)
-                    held, size = [], 0
-        if held:
-            yield out(held)
+                if not len(start):
+                    continue
+                # the least piece well within the region, which all copies of the region share
+                low, high = np.searchsorted(at, start + AROUND), np.searchsorted(at, last - PIECE - AROUND, "right")
+                least = [int(hashes[x:y].min()) if y > x else 0 for x, y in zip(low, high)]
+                raw = data.tobytes()
+                yield pa.RecordBatch.from_pydict({
+                    "piece": pa.array(np.array(least, np.uint64).view(np.int64)),
+                    "node": pa.array(text_hashes(data, offsets).view(np.int64)[owner[start]]),
+                    "start": pa.array(start - offsets[owner[start]]), "data": pa.array([raw[x:y] for x, y in zip(start, last)], pa.binary())})
     return rows
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of neighbouring regions: ``block, nodes, starts, sizes, data``."""
+    def out(nodes: list, starts: list, data: list) -> pa.RecordBatch:
+        own, begin = np.array(nodes, "<i8"), np.array(starts, "<i8")
+        block = int(mixed(own.view(np.uint64) + begin.view(np.uint64)).sum(dtype=np.uint64).view(np.int64))
+        return pa.RecordBatch.from_pydict({
+            "block": pa.array([block]), "nodes": pa.array([own.tobytes()], pa.binary()), "starts": pa.array([begin.tobytes()], pa.binary()),
+            "sizes": pa.array([np.array([len(d) for d in data], "<i8").tobytes()], pa.binary()), "data": pa.array([b"".join(data)], pa.binary())})
+
+    nodes, starts, data, size = [], [], [], 0
+    for batch in batches:
+        for node, start, region in zip(*(batch.column(k).to_pylist() for k in ("node", "start", "data"))):
+            nodes.append(node)
+            starts.append(start)
+            data.append(region)
+            size += len(region)
+            if size >= BLOCK_BYTES:
+                yield out(nodes, starts, data)
+                nodes, starts, data, size = [], [], [], 0
+    if nodes:
+        yield out(nodes, starts, data)
+
+
+def _low(values: np.ndarray, width: int) -> bytes:
+    """The lowest bytes of 64-bit values."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _wide(raw: bytes, width: int) -> np.ndarray:
+    """The values of :func:`_low`."""
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel()
+
+
+def _sampled(sizes: np.ndarray, span: int) -> np.ndarray:
+    """Sampled positions of a block with ``span`` bytes to the end of their region."""
+    end = np.repeat(np.cumsum(sizes), sizes)
+    place = np.arange(len(end))
+    return np.flatnonzero((place % 3 != 0) & (place + span <= end))
+
+
 def _eight(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    value = np.zeros(len(at), np.uint64)
-    for k in range(8):
-        value = (value << np.uint64(8)) | data[at + k].astype(np.uint64)
-    return value
+    """Eight bytes from every position as one word."""
+    if not len(at):
+        return np.zeros(0, np.uint64)
+    return np.ndarray((len(data) - 7,), "<u8", data.tobytes(), strides=(1,))[at].astype(np.uint64)
 
 
 def _packed(a: np.ndarray, b: np.ndarray, c: np.ndarray, two: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -155,15 +194,15 @@ def _packed(a: np.ndarray, b: np.ndarray, c: np.ndarray, two: np.ndarray | int =
 
 def _keys(step: str, data: np.ndarray, sizes: np.ndarray, names: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions of a block that take part in a step, and their keys."""
-    end = np.repeat(np.cumsum(sizes), sizes)
-    place = np.arange(len(data))
-    if step in ("9", "27", "81"):
+    if step in NAMING:
         span = int(step)
-        at = np.flatnonzero((place % 3 != 0) & (place + span <= end))
+        at = _sampled(sizes, span)
         if step == "9":
             return at, _eight(data, at), data[at + 8].astype(np.uint64)
         third = span // 3
         return at, *_packed(names[at], names[at + third], names[at + 2 * third])
+    end = np.repeat(np.cumsum(sizes), sizes)
+    place = np.arange(len(data))
     skip, front = {"sample": (0, 0), "one": (2, 1), "two": (1, 2)}[step]
     at = np.flatnonzero((place % 3 != skip) & (place + LENGTH <= end))
     byte = lambda k: data[at + k].astype(np.uint64)
@@ -180,7 +219,10 @@ def _place(one: np.ndarray, other: np.ndarray) -> np.ndarray:
 def _distinct(step: str, row, parts: int):
     """Distinct keys of a block by range: places of the keys, and for each position the number of its key."""
     data, sizes = np.frombuffer(row.data, np.uint8), np.frombuffer(row.sizes, "<i8")
-    names = np.frombuffer(row.names, "<u8") if len(row.names) else None
+    names = None
+    if step != "9":
+        names = np.zeros(len(data), np.uint64)
+        names[_sampled(sizes, int(step) // 3 if step in NAMING else 81)] = _wide(row.names, NAME_BYTES)
     at, one, other = _keys(step, data, sizes, names)
     place = _place(one, other)
     order = np.argsort(place)
@@ -201,18 +243,20 @@ def _send(step: str, parts: int):
             for row in batch.itertuples():
                 _, _, one, other, part, several = _distinct(step, row, parts)
                 edges = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
-                yield pd.DataFrame([(int(part[a]), row.block, one[a:b].tobytes(), other[a:b].tobytes(), np.packbits(several[a:b]).tobytes())
+                yield pd.DataFrame([(int(part[a]), row.block, one[a:b].tobytes(), _low(other[a:b], _OTHER_BYTES[step]), np.packbits(several[a:b]).tobytes())
                                     for a, b in zip(edges, np.append(edges[1:], len(part)))],
                                    columns=["part", "block", "one", "other", "several"])
     return rows
 
 
-def _sort_range(parts: int, naming: bool):
+def _sort_range(step: str, parts: int):
+    naming = step in NAMING
+
     def decide(group: pd.DataFrame) -> pd.DataFrame:
         """Sort the keys of a range; equal neighbours have one name and are repeated."""
         part = int(group["part"].iloc[0])
         one = np.concatenate([np.frombuffer(k, "<u8") for k in group["one"]])
-        other = np.concatenate([np.frombuffer(k, "<u8") for k in group["other"]])
+        other = np.concatenate([_wide(k, _OTHER_BYTES[step]) for k in group["other"]])
         totals = [len(k) // 8 for k in group["one"]]
         order = np.argsort(_place(one, other))
         a, b = one[order], other[order]
@@ -222,8 +266,8 @@ def _sort_range(parts: int, naming: bool):
         if naming:
             if int(new.sum()) * parts >= 1 << NAME_BITS:
                 raise ValueError("more distinct pieces than names have bits for")
-            name = (number.astype(np.uint64) * np.uint64(parts) + np.uint64(part)).astype("<u8")
-            out = lambda x, y: name[x:y].tobytes()
+            name = number.astype(np.uint64) * np.uint64(parts) + np.uint64(part)
+            out = lambda x, y: _low(name[x:y], NAME_BYTES)
         else:
             several = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8), count=n) for s, n in zip(group["several"], totals)])
             often = (np.bincount(number) + np.bincount(number, several)) > 1
@@ -234,54 +278,57 @@ def _sort_range(parts: int, naming: bool):
     return decide
 
 
-_BLOCK = "block long, nodes binary, starts binary, sizes binary, data binary, names binary, gone binary"
+_BLOCK = "block long, nodes binary, starts binary, sizes binary, data binary, names binary"
+_FOUND = "part long, block long, n long, found binary"
+
+
+def _found(blocks: DataFrame, step: str, parts: int) -> DataFrame:
+    """What a sort of all keys of a step says to every block and range."""
+    return blocks.mapInPandas(_send(step, parts), _SENT).groupBy("part").applyInPandas(_sort_range(step, parts), _FOUND)
 
 
-def _apply(step: str, parts: int, naming: bool):
+def _name(step: str, parts: int):
     def receive(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        if not len(block) or not len(found):
-            return block
+        """The block with the names of a step."""
         out = block.copy()
-        row = next(block.itertuples())
-        at, number, *_ = _distinct(step, row, parts)
-        found = found.sort_values("part")
-        if naming:
-            names = np.zeros(len(row.data), "<u8")
-            names[at] = np.concatenate([np.frombuffer(f, "<u8") for f in found["found"]])[number]
-            out["names"] = [names.tobytes()]
-        else:
-            often = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=n) for f, n in zip(found["found"], found["n"])]).astype(bool)
-            gone = np.unpackbits(np.frombuffer(row.gone, np.uint8), count=len(row.data)) if len(row.gone) else np.zeros(len(row.data), np.uint8)
-            gone[at[often[number]]] = 1
-            out["gone"] = [np.packbits(gone).tobytes()]
+        if len(block):
+            _, number, *_ = _distinct(step, next(block.itertuples()), parts)
+            names = [_wide(f, NAME_BYTES) for f in found.sort_values("part")["found"]]
+            out["names"] = [_low(np.concatenate(names)[number], NAME_BYTES) if names else b""]
         return out
     return receive
 
 
-def _step(blocks: DataFrame, step: str, parts: int) -> DataFrame:
-    naming = step in ("9", "27", "81")
-    found = (blocks.mapInPandas(_send(step, parts), _SENT).groupBy("part")
-             .applyInPandas(_sort_range(parts, naming), "part long, block long, n long, found binary"))
-    return stored(blocks.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(_apply(step, parts, naming), _BLOCK), f"suffix-{step}", packed=True)
+def _named(blocks: DataFrame, step: str, parts: int) -> DataFrame:
+    return stored(blocks.groupBy("block").cogroup(_found(blocks, step, parts).groupBy("block")).applyInPandas(
+        _name(step, parts), _BLOCK), f"suffix-{step}", packed=True)
 
 
-def _starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """``(node, spans)``: covered begins and ends in each text's region."""
-    for batch in batches:
-        for row in batch.itertuples():
+def _merge(parts: int):
+    def receive(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        """``(node, spans)``: covered begins and ends in each text's region, from the repeated keys of all merged lists."""
+        out = []
+        for row in block.itertuples():
             sizes, nodes, starts = np.frombuffer(row.sizes, "<i8"), np.frombuffer(row.nodes, "<i8"), np.frombuffer(row.starts, "<i8")
-            begin = np.flatnonzero(np.unpackbits(np.frombuffer(row.gone, np.uint8), count=len(row.data))) if len(row.gone) else np.zeros(0, np.int64)
+            begins = np.zeros(len(row.data) + 1, bool)
+            for step in MERGES:
+                own = found[found["step"] == step].sort_values("part")
+                if len(own):
+                    at, number, *_ = _distinct(step, row, parts)
+                    often = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=n) for f, n in zip(own["found"], own["n"])]).astype(bool)
+                    begins[at[often[number]]] = True
+            begin = np.flatnonzero(begins)
             cover = np.zeros(len(row.data) + 1, np.int64)
             cover[begin] += 1
             cover[begin + LENGTH] -= 1
-            gone = (np.cumsum(cover[:-1]) > 0).astype(np.int8)
-            ends, out = np.cumsum(sizes), []
+            gone, ends = (np.cumsum(cover[:-1]) > 0).astype(np.int8), np.cumsum(sizes)
             for node, start, a, b in zip(nodes, starts, ends - sizes, ends):
                 steps = np.diff(np.concatenate([[0], gone[a:b], [0]]))
                 spans = np.stack([np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)], axis=1) + start
                 if len(spans):
                     out.append((node, spans.ravel()))
-            yield pd.DataFrame(out, columns=["node", "spans"])
+        return pd.DataFrame(out, columns=["node", "spans"])
+    return receive
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,16 +360,23 @@ def repeats(docs: DataFrame) -> DataFrame:
     wanted = np.array([r["node"] for r in hits.select("node").collect()], np.int64) if hits.count() <= BROADCAST_ROWS else None
     named = texts.mapInArrow(_with_nodes(wanted), "node long, text string").groupBy("node").agg(F.any_value("text").alias("text"))
     candidates = stored(named.join(hits, "node"), "suffix-candidates")
-    empty = F.lit(b"").cast("binary")
-    blocks = stored(candidates.mapInArrow(_regions(parts), "block long, nodes binary, starts binary, sizes binary, data binary")
-                    .withColumn("names", empty).withColumn("gone", empty), "suffix-blocks", packed=True)
+    regions = stored(candidates.mapInArrow(_regions(parts), "piece long, node long, start long, data binary"), "suffix-regions")
+    near = regions.hint("rebalance", "piece").sortWithinPartitions("piece", "node", "start")
+    blocks = stored(near.select("node", "start", "data").mapInArrow(
+        _pack, "block long, nodes binary, starts binary, sizes binary, data binary").withColumn("names", F.lit(b"").cast("binary")), "suffix-blocks")
+    discard(regions)
     size = blocks.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
     ranges = max(1, -(-size * 2 // 3 // _RANGE))
-    for step in ("9", "27", "81", "sample", "one", "two"):
-        following = _step(blocks, step, ranges)
+    for step in NAMING:
+        following = _named(blocks, step, ranges)
         discard(blocks)
         blocks = following
-    spans = blocks.mapInPandas(_starts, "node long, spans array<long>").groupBy("node").agg(F.collect_list("spans").alias("spans"))
+    merged = [stored(_found(blocks, step, ranges), f"suffix-{step}", packed=True).withColumn("step", F.lit(step)) for step in MERGES]
+    found = merged[0].unionByName(merged[1]).unionByName(merged[2])
+    spans = stored(blocks.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(_merge(ranges), "node long, spans array<long>"),
+                   "suffix-spans", packed=True)
+    discard(blocks)
+    spans = spans.groupBy("node").agg(F.collect_list("spans").alias("spans"))
     removed = candidates.select("node", "text").join(spans, "node").mapInArrow(
         _cut, "node long, n_removed long, n_spans long, kept_sha256 string")
     copies = described.groupBy("node").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
