@@ -35,6 +35,7 @@ from spendgrid.llm.words import chunks, mixed, range_hash, rolling_hash
 
 LENGTH = 200
 PIECE = 32
+CHUNK = 1 << 17  # bytes of text whose arrays stay in a core's cache
 AROUND = 32  # of so many neighbouring pieces one is chosen at least
 BLOCK_BYTES = 1 << 19
 NAME_BITS = 37
@@ -42,6 +43,7 @@ NAME_BYTES = 5
 NAMING, MERGES = ("9", "27", "81"), ("sample", "one", "two")
 _OTHER_BYTES = {"9": 1, "27": 6, "81": 6, "sample": 8, "one": 8, "two": 8}  # of a key's second word
 _RANGE = 2_000_000
+_SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
 
 def text_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -49,13 +51,17 @@ def text_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return range_hash(data, offsets[:-1], offsets[1:])
 
 
-def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
-    """``pick`` over ``width`` (a power of two) neighbours to the right, the array as long as before."""
-    step = 1
+def _sliding(values: np.ndarray, width: int, pick, back: bool = False) -> np.ndarray:
+    """``pick`` over ``width`` (a power of two) neighbours to the right, or to the left with ``back``; fewer at the end."""
+    now, following, step = values.copy(), np.empty_like(values), 1
     while step < width:
-        moved = np.concatenate([values[step:], values[-step:]]) if len(values) > step else values
-        values, step = pick(values, moved), step * 2
-    return values
+        if step < len(now):
+            near, rest = (slice(step, None), slice(None, step)) if back else (slice(None, -step), slice(-step, None))
+            pick(now[:-step], now[step:], out=following[near])
+            following[rest] = now[rest]
+            now, following = following, now
+        step *= 2
+    return now
 
 
 def chosen_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,14 +76,14 @@ def chosen_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     hashes[~inside] = np.uint64(0xFFFFFFFFFFFFFFFF)
     least = _sliding(hashes, AROUND, np.minimum)
     # the largest of the least values over all neighbourhoods that hold a piece
-    most = _sliding(np.concatenate([np.zeros(AROUND - 1, np.uint64), least])[::-1], AROUND, np.maximum)[::-1][AROUND - 1:]
+    most = _sliding(least, AROUND, np.maximum, back=True)
     at = np.flatnonzero(inside & (most == hashes))
     return at, hashes[at]
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, data, offsets in chunks(batch.column("text")):
+        for first, data, offsets in chunks(batch.column("text"), CHUNK):
             raw = data.tobytes()
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id").slice(first, len(offsets) - 1),
@@ -86,7 +92,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pieces(batch: pa.RecordBatch):
-    for _, data, offsets in chunks(batch.column("text")):
+    for _, data, offsets in chunks(batch.column("text"), CHUNK):
         at, hashes = chosen_pieces(data, offsets)
         yield text_hashes(data, offsets), np.searchsorted(at, offsets), hashes, np.zeros(len(at), bool)
 
@@ -94,7 +100,7 @@ def _pieces(batch: pa.RecordBatch):
 def _with_nodes(wanted: np.ndarray | None):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, data, offsets in chunks(batch.column("text")):
+            for first, data, offsets in chunks(batch.column("text"), CHUNK):
                 node = text_hashes(data, offsets).view(np.int64)
                 take = np.arange(len(node)) if wanted is None else np.flatnonzero(np.isin(node, wanted))
                 yield pa.RecordBatch.from_pydict({"node": pa.array(node[take]), "text": batch.column("text").take(pa.array(take + first))})
@@ -106,7 +112,7 @@ def _regions(parts: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("keys").to_pylist()
-            for first, data, offsets in chunks(batch.column("text")):
+            for first, data, offsets in chunks(batch.column("text"), CHUNK):
                 at, hashes = chosen_pieces(data, offsets)
                 short, edges = short_keys(hashes, parts), np.searchsorted(at, offsets)
                 alone = np.zeros(len(data) + 1, np.int64)
@@ -213,7 +219,7 @@ def _keys(step: str, data: np.ndarray, sizes: np.ndarray, names: np.ndarray | No
 
 def _place(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     """Where a key stands in the order of names."""
-    return mixed(one ^ mixed(other))
+    return mixed(one + other * _SPREAD)
 
 
 def _distinct(step: str, row, parts: int):

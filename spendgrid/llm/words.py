@@ -29,12 +29,18 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """Well spread bits from any 64-bit values, one to one."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def chunks(texts: pa.Array):
+    y = x >> np.uint64(30)
+    y ^= x
+    y *= np.uint64(0xBF58476D1CE4E5B9)
+    z = y >> np.uint64(27)
+    z ^= y
+    z *= np.uint64(0x94D049BB133111EB)
+    y = z >> np.uint64(31)
+    y ^= z
+    return y
+
+
+def chunks(texts: pa.Array, size: int = CHUNK_BYTES):
     """``(first, data, offsets)`` for runs of consecutive texts: their bytes and where each begins; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -52,7 +58,7 @@ def chunks(texts: pa.Array):
         data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
     first = 0
     while first < n:
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + CHUNK_BYTES, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1)
         last = min(last, n)
         yield first, data[offsets[first]:offsets[last]], offsets[first:last + 1] - offsets[first]
         first = last
