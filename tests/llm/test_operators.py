@@ -242,3 +242,14 @@ def test_windows_score_each_id_once_and_never_look_ahead():
     changed[:, -1] = 9
     after = model.log_chances(changed, present, targets)
     assert np.allclose(before[:, :-1], after[:, :-1])
+
+
+def test_long_unknown_words_keep_their_log_chance(spark):
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    draw = np.random.default_rng(8)
+    letters = "".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), 8000))
+    docs = spark.createDataFrame([(i, "plain words") for i in range(30) if i not in held] + [(held[0], letters[:4000]), (held[1], letters)],
+                                 "doc_id long, text string")
+    got = {r.doc_id: r for r in attention_lm.scores(docs).collect()}
+    assert got[held[0]].held_out and got[held[0]].n_tokens == 2
+    assert got[held[1]].score < 1.5 * got[held[0]].score < -1500
