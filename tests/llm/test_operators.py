@@ -253,3 +253,23 @@ def test_long_unknown_words_keep_their_log_chance(spark):
     got = {r.doc_id: r for r in attention_lm.scores(docs).collect()}
     assert got[held[0]].held_out and got[held[0]].n_tokens == 2
     assert got[held[1]].score < 1.5 * got[held[0]].score < -1500
+
+
+def test_first_id_of_a_window_sees_sixteen_before_it():
+    assert attention_lm.CLASSES >= 96 and attention_lm.HEAD >= 64
+    ids = np.arange(100, dtype=np.int32)
+    inputs, present, targets, _ = attention_lm.windows(ids, np.array([0, 100]))
+    assert (np.diff(inputs[1][present[1]]) == 1).all() and targets[1][0] - inputs[1][0] == 17
+    changed = inputs.copy()
+    changed[1, 0] = 9000
+    model = attention_lm.Model()
+    assert model.log_chances(inputs, present, targets)[1, 0] != model.log_chances(changed, present, targets)[1, 0]
+
+
+def test_large_weights_give_finite_chances():
+    model = attention_lm.Model()
+    model.w["query"], model.w["key"], model.w["out"] = (model.w[k] * np.float32(100) for k in ("query", "key", "out"))
+    model.w["bias"] = model.w["bias"] - np.float32(300)
+    windows = attention_lm.windows(np.arange(100, dtype=np.int32), np.array([0, 100]))[:3]
+    assert np.isfinite(model.log_chances(*windows)).all()
+    assert all(np.isfinite(g).all() for g in model.gradient(*windows)[1].values())
