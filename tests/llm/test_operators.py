@@ -273,3 +273,20 @@ def test_large_weights_give_finite_chances():
     windows = attention_lm.windows(np.arange(100, dtype=np.int32), np.array([0, 100]))[:3]
     assert np.isfinite(model.log_chances(*windows)).all()
     assert all(np.isfinite(g).all() for g in model.gradient(*windows)[1].values())
+
+
+def test_every_training_text_reaches_the_weights(spark, monkeypatch):
+    monkeypatch.setattr(attention_lm, "TRAINER_TEXTS", 2)  # more trainers than models averaged at once
+    monkeypatch.setattr(attention_lm, "LEAST_STEPS", 1)  # nothing is learnt by heart
+    with open(attention_lm.RANKS, "rb") as file:
+        ranks = file.read()
+    draw = np.random.default_rng(9)
+    texts = ["".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz"), 12)) + " words" for _ in range(80)]
+    rows = spark.createDataFrame([(i, t, i % 7 == 2) for i, t in enumerate(texts)], "doc_id long, text string, held_out boolean")
+    model = attention_lm.fitted(rows, np.ones(attention_lm.IDS, np.int64), ranks)
+    moved = np.abs(model.w["ids"] - attention_lm.Model().w["ids"]).max(axis=1) > 1e-5  # averages are rounded
+    encode = attention_lm.Subwords(ranks).encoding.encode_ordinary
+    own = [set(encode(" " + t.split()[0])) for t in texts]
+    learnt = set.union(*(ids for i, ids in enumerate(own) if i % 7 != 2))
+    assert all(moved[list(ids)].all() for i, ids in enumerate(own) if i % 7 != 2)
+    assert not moved[list(set.union(*own) - learnt - set(encode(" words")))].any()
