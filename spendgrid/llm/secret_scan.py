@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,34 +27,43 @@ HEX = r"[0-9a-f]{24,}"
 ASSIGN_LEAST = 6
 KINDS = ["assign", "access", "hex", "model"]
 
-#: Tokens that the models judge.  Shorter ones hold too few transitions.
-TOKEN_LEAST = 20
+#: Tokens that the models judge, from the least length that they learn from.
+TOKEN_LEAST = 6
 TOKEN = r"[A-Za-z0-9+/_=-]{%d,}" % TOKEN_LEAST
 #: Letters of the models; state 0 stands for the beginning.
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 STATES = len(LETTERS) + 1
-#: Rows of either label that the models learn from, one text in so many that ordinary words are drawn from, and the mean log ratio a transition must reach.
+#: Rows of either label that the models learn from, one text in so many that ordinary words are drawn from, the mean log ratio a transition must reach, and the
+#: least sum of a token (measured on sf0.1, see the README; from 20 characters on the mean decides).
 SAMPLE_ROWS = 20_000
 SAMPLE_SHARE = 64
 MARGIN = 0.25
+LEAST_TOTAL = 5.0
 
 _SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
-def pattern_spans(text: Column, pattern: str, group: int = 0) -> Column:
-    """Leftmost non-overlapping matches with code-point positions: what lies between matches gives their places."""
+def pattern_spans(text: Column, pattern: str, group: int = 0, keep: Callable[[Column], Column] | None = None) -> Column:
+    """Leftmost non-overlapping matches with code-point positions: what lies between matches gives their places.
+
+    ``keep`` says which values are returned; the others only count for the places.
+    """
     between = F.split(text, pattern, -1)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     lengths = F.zip_with(between, whole, lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("hit")))
-    both = F.arrays_zip(F.slice(lengths, 1, F.size(whole)).alias("size"), value.alias("value"))
+    wanted = F.transform(value, keep if keep else lambda _: F.lit(True))
+    both = F.arrays_zip(F.slice(lengths, 1, F.size(whole)).alias("size"), value.alias("value"), wanted.alias("wanted"))
 
     def placed(done: Column, one: Column) -> Column:
-        start = F.when(F.size(done) > 0, F.element_at(done, -1)["end"]).otherwise(F.lit(0)) + one["size"]["gap"]
-        return F.concat(done, F.array(F.struct(start.alias("start"), (start + one["size"]["hit"]).alias("end"),
-                                               one["value"].alias("value"))))
-
-    found = F.aggregate(both, F.array().cast(_SPANS), lambda done, one: placed(done, one).cast(_SPANS))
+        start = done["end"] + one["size"]["gap"]
+        end = start + one["size"]["hit"]
+        span = F.array(F.struct(start.alias("start"), end.alias("end"), one["value"].alias("value")))
+        spans = F.when(one["wanted"], F.concat(done["spans"], span)).otherwise(done["spans"])
+        return F.struct(end.alias("end"), spans.alias("spans"))
+
+    none = F.struct(F.lit(0).alias("end"), F.array().cast(_SPANS).alias("spans"))
+    found = F.aggregate(both, none, placed, lambda done: done["spans"])
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPANS))
 
 
@@ -88,7 +98,7 @@ def labelled_samples(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     values = values.select(F.explode(F.array("token", F.upper("token"), F.base64(F.unhex(F.sha2("token", 256))))).alias("token"))
     plain = (texts.where(~F.col("text").rlike(f"{ACCESS}|{HEX}|{ASSIGN}"))
              .where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE_SHARE)) == 0))
-    words = (plain.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z_]{5,}"), F.lit(0))).alias("token"))
+    words = (plain.select(F.explode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("token")).distinct()
              .select(F.explode(F.array("token", F.upper("token"))).alias("token")))
 
     def bounded(side: DataFrame, label: bool) -> DataFrame:
@@ -118,11 +128,18 @@ class Markov:
                 ratios.append(p[0] - p[1])
         return Markov(ratios)
 
-    def score(self, token: Column) -> Column:
-        """Mean log-likelihood ratio of a transition; above 0 the token looks random."""
+    def total(self, token: Column) -> Column:
+        """Summed log-likelihood ratio of the transitions; above 0 the token looks random."""
         table = F.from_json(F.lit(json.dumps(self.ratios)), "array<double>")  # folded to one constant
-        steps = _transitions(token)
-        return F.aggregate(steps, F.lit(0.0), lambda total, step: total + F.element_at(table, step + 1)) / F.size(steps)
+        return F.aggregate(_transitions(token), F.lit(0.0), lambda total, step: total + F.element_at(table, step + 1))
+
+    def score(self, token: Column) -> Column:
+        """Mean log-likelihood ratio of a transition."""
+        return self.total(token) / F.length(token)
+
+    def is_random(self, token: Column, margin: float = MARGIN) -> Column:
+        """Whether the sum passes the margin of a transition for each, and :data:`LEAST_TOTAL`, which short tokens need."""
+        return self.total(token) > F.greatest(F.length(token) * margin, F.lit(LEAST_TOTAL))
 
 
 def _transitions(token: Column) -> Column:
@@ -138,9 +155,9 @@ def scan(docs: DataFrame, model: Markov, margin: float = MARGIN) -> DataFrame:
     """Per row ``doc_id, n_assign, n_access, n_hex, base_sha256, spans``."""
     base = with_base_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")))
     kinds = F.concat(_of_kind(F.col("_assign"), "assign"), _of_kind(F.col("_access"), "access"), _of_kind(F.col("_hex"), "hex"))
-    judged = base.withColumn("_base", kinds).withColumn("_tokens", pattern_spans(F.col("text"), TOKEN))
-    added = F.filter("_tokens", lambda t: ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-                     & (model.score(t["value"]) > margin))
+    tokens = pattern_spans(F.col("text"), TOKEN, keep=lambda value: model.is_random(value, margin))
+    judged = base.withColumn("_base", kinds).withColumn("_tokens", tokens)
+    added = F.filter("_tokens", lambda t: ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     return judged.select(
         "doc_id", F.size("_assign").cast("long").alias("n_assign"), F.size("_access").cast("long").alias("n_access"),
         F.size("_hex").cast("long").alias("n_hex"), F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"),

@@ -290,3 +290,19 @@ def test_every_training_text_reaches_the_weights(spark, monkeypatch):
     learnt = set.union(*(ids for i, ids in enumerate(own) if i % 7 != 2))
     assert all(moved[list(ids)].all() for i, ids in enumerate(own) if i % 7 != 2)
     assert not moved[list(set.union(*own) - learnt - set(encode(" words")))].any()
+
+
+def test_short_random_strings_get_model_spans(spark):
+    draw = np.random.default_rng(4)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    rows = [("".join(draw.choice(letters, 30)), True) for _ in range(400)]
+    parts = [a + b for a in "bcdfghjklmnpqrstvwxz" for b in ("a", "e", "i", "on", "ur", "y")]
+    plain = ["".join(draw.choice(parts, k)) for k in (3, 4, 5, 6) for _ in range(200)]
+    plain = [v for w in plain for v in (w, w.upper())] + [f"20{i % 100:02}-{i % 12 + 1:02}-{i % 28 + 1:02}" for i in range(400)]
+    model = secret_scan.Markov.train(spark.createDataFrame(rows + [(w, False) for w in plain], "token string, random boolean"))
+    keys = ["".join(draw.choice(letters, 16)) for _ in range(50)]
+    texts = [f"é\U0001F600 {plain[i]} {k}, {plain[-i]} 1" for i, k in enumerate(keys)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.scan(frame, model).collect()}
+    want = {i: f"model:{texts[i].index(k)}:{texts[i].index(k) + 16}" for i, k in enumerate(keys)}
+    assert sum(got[i] == want[i] for i in want) >= 48 and all(got[i] in ("", want[i]) for i in want)
