@@ -33,10 +33,9 @@ TOKEN = r"[A-Za-z0-9+/_=-]{%d,}" % TOKEN_LEAST
 #: Letters of the models; state 0 stands for the beginning.
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 STATES = len(LETTERS) + 1
-#: Rows of either label that the models learn from, one text in so many that ordinary words are drawn from, the mean log ratio a transition must reach, and the
+#: Rows of either label that the models learn from, the mean log ratio a transition must reach, and the
 #: least sum of a token (measured on sf0.1, see the README; from 20 characters on the mean decides).
 SAMPLE_ROWS = 20_000
-SAMPLE_SHARE = 64
 MARGIN = 0.25
 LEAST_TOTAL = 5.0
 
@@ -86,9 +85,9 @@ def with_base_spans(rows: DataFrame, text: str = "text") -> DataFrame:
 
 
 def labelled_samples(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``(token, random)``: values of base spans, and ordinary words of as many rows, ``rows`` of either label at most.
+    """``(token, random)``: values of base spans, and ordinary words, ``rows`` of either label at most.
 
-    The sample is bounded and drawn by hash, so that it does not depend on the order of rows.
+    Words of all plain texts are drawn from, each once.  The sample is bounded and drawn by hash, so that it does not depend on the order of rows.
     """
     texts = docs.select(text_of().alias("text"))
     secret = texts.where(F.col("text").rlike(f"{ACCESS}|{HEX}|{ASSIGN}"))
@@ -96,8 +95,7 @@ def labelled_samples(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     values = found.select(F.explode(F.concat("_assign", "_access", "_hex")).alias("hit")).select(F.col("hit.value").alias("token"))
     # A random string stays one when written in capitals, or its digest in base 64: other alphabets are learnt as well.
     values = values.select(F.explode(F.array("token", F.upper("token"), F.base64(F.unhex(F.sha2("token", 256))))).alias("token"))
-    plain = (texts.where(~F.col("text").rlike(f"{ACCESS}|{HEX}|{ASSIGN}"))
-             .where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE_SHARE)) == 0))
+    plain = texts.where(~F.col("text").rlike(f"{ACCESS}|{HEX}|{ASSIGN}"))
     words = (plain.select(F.explode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("token")).distinct()
              .select(F.explode(F.array("token", F.upper("token"))).alias("token")))
 

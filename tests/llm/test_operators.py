@@ -306,3 +306,10 @@ def test_short_random_strings_get_model_spans(spark):
     got = {r.doc_id: r.spans for r in secret_scan.scan(frame, model).collect()}
     want = {i: f"model:{texts[i].index(k)}:{texts[i].index(k) + 16}" for i, k in enumerate(keys)}
     assert sum(got[i] == want[i] for i in want) >= 48 and all(got[i] in ("", want[i]) for i in want)
+
+
+def test_ordinary_samples_come_from_every_plain_text(spark):
+    texts = [f"letter{'abcdefghij'[i]}" for i in range(10)] + ["password=abcdefgh"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.token for r in secret_scan.labelled_samples(frame).collect() if not r.random}
+    assert got == {v for t in texts[:10] for v in (t, t.upper())}
