@@ -39,7 +39,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document."""
     rows = pieces.encoded(docs.select("doc_id", "source", "text"), pieces.read_model())
     return rows.select("doc_id", "source", F.col("_n_tokens").alias("n_tokens"), F.col("_round_trip").alias("round_trip"),
-                       F.col("_ids").alias("ids"))
+                       F.col("_parity").alias("parity"), F.col("_ids").alias("ids"))
 
 
 STAGES = [("quality", keep_good), ("exact", drop_copies), ("similar", drop_similar), ("mix", mix_sources), ("encode", encode)]

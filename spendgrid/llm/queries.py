@@ -47,10 +47,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every document, how many come from byte fallback, and whether they decode to the text."""
+    """Ids of every document, how many come from byte fallback, whether they decode to the text and, for a share, agree with the reference."""
     rows = pieces.encoded(documents(spark, sf_dir).select("doc_id", "text"), pieces.read_model())
     return rows.select("doc_id", F.col("_n_tokens").alias("n_tokens"), F.col("_n_bytes").alias("n_bytes"),
-                       F.col("_round_trip").alias("round_trip"), F.col("_ids").alias("ids"))
+                       F.col("_round_trip").alias("round_trip"), F.col("_parity").alias("parity"), F.col("_ids").alias("ids"))
 
 
 def op9_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

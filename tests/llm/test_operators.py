@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
@@ -313,3 +314,19 @@ def test_ordinary_samples_come_from_every_plain_text(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.token for r in secret_scan.labelled_samples(frame).collect() if not r.random}
     assert got == {v for t in texts[:10] for v in (t, t.upper())}
+
+
+def test_tasks_compare_with_the_reference_library(docs, monkeypatch):
+    data, texts = pieces.read_model(), [f"text number {k}" for k in range(40)]
+    rows = pieces.encoded(docs, data).collect()
+    assert all(r._parity is (True if zlib.crc32((r.text or "").encode()) % pieces.PARITY_SHARE == 0 else None) for r in rows)
+    other = pieces.reference(data)
+
+    class Shifted:
+        encode = staticmethod(lambda texts, **_: [[i + 1 for i in ids] for ids in other.encode(texts)])
+        decode = staticmethod(other.decode)
+
+    monkeypatch.setattr(pieces, "reference", lambda _: Shifted)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["_text"])
+    got = [v for b in pieces._encoder(data, 1)(iter([batch])) for v in b.column("_parity").to_pylist()]
+    assert got.count(False) == sum(zlib.crc32(t.encode()) % pieces.PARITY_SHARE == 0 for t in texts) > 0 and True not in got
