@@ -43,10 +43,17 @@ def _entropy(weights: list[float]) -> float:
     return -sum(w * math.log(w) for w in weights if w > 0)
 
 
-def find_exponent(tokens: list[int], budget: float, entropy: float | None = ENTROPY, repeats: float | None = REPEATS) -> float:
+def _least_budget(tokens: list[int], weights: list[float]) -> int:
+    """The least budget by which every source is passed once."""
+    return max(math.ceil((t + 1) / w) for t, w in zip(tokens, weights) if t)
+
+
+def find_exponent(tokens: list[int], budget: float | None, entropy: float | None = ENTROPY, repeats: float | None = REPEATS) -> float:
     """The largest exponent up to 1 with the target entropy, raised again where a source would pass the repetition limit.
 
-    Entropy falls and the repetition of small sources falls as the exponent grows, so both are bisected.
+    Entropy falls and the repetition of small sources falls as the exponent grows, so both are bisected.  Without a budget
+    the repetition is that of the least budget that passes every source once, which depends on the exponent itself; where
+    even the token shares repeat a source more often (one of very few tokens), they are what is taken.
     """
     live = [t for t in tokens if t > 0]
     if len(live) < 2:
@@ -65,8 +72,12 @@ def find_exponent(tokens: list[int], budget: float, entropy: float | None = ENTR
         if _entropy(weights_at(live, 1.0)) < target:
             exponent = bisect(lambda x: _entropy(weights_at(live, x)) >= target)
     if repeats is not None:
-        most = lambda x: max(w * budget / t for w, t in zip(weights_at(live, x), live))
-        if most(exponent) > repeats and budget / sum(live) <= repeats:
+        def most(x: float) -> float:
+            weights = weights_at(live, x)
+            aim = _least_budget(live, weights) if budget is None else budget
+            return max(w * aim / t for w, t in zip(weights, live))
+
+        if most(exponent) > repeats and (budget is None or budget / sum(live) <= repeats):
             low, high = exponent, 1.0
             for _ in range(STEPS):
                 middle = (low + high) / 2
@@ -94,7 +105,8 @@ def source_weights(rows: DataFrame, budget: float | None = BUDGET, entropy: floa
                    repeats: float | None = REPEATS) -> DataFrame:
     """``(source, rows, tokens, weight, quota, passes, rest)``; ``budget`` is a share of all tokens.
 
-    Without a budget the least one is taken by which every source is passed once, so that no row is left out.
+    Without a budget the least one is taken by which every source is passed once, so that no row is left out; a source
+    without tokens is passed once as well.
 
     The driver sees the exponent's target only as sums over sources: one row per source, bounded by their number.
     """
@@ -102,14 +114,14 @@ def source_weights(rows: DataFrame, budget: float | None = BUDGET, entropy: floa
     sums = rows.groupBy("source").agg(F.sum("same").alias("rows"), F.sum(F.col("n_tokens") * F.col("same")).alias("tokens")).orderBy("source").collect()
     tokens = [r["tokens"] for r in sums]
     live = sum(tokens) > 0
-    aim = math.floor((1.0 if budget is None else budget) * sum(tokens))
+    aim = None if budget is None else math.floor(budget * sum(tokens))
     weights = weights_at(tokens, find_exponent(tokens, aim, entropy, repeats)) if live else [0.0] * len(sums)
-    if budget is None and live:
-        aim = max(math.ceil((t + 1) / w) for t, w in zip(tokens, weights) if t)
+    if budget is None:
+        aim = _least_budget(tokens, weights) if live else 0
     out = []
     for r, w in zip(sums, weights):
         quota = math.floor(w * aim)
-        passes, rest = divmod(quota, r["tokens"]) if r["tokens"] else (0, 0)
+        passes, rest = divmod(quota, r["tokens"]) if r["tokens"] else (int(budget is None), 0)
         out.append((r["source"], r["rows"], r["tokens"], float(w), quota, passes, rest))
     return spark.createDataFrame(out, "source string, rows long, tokens long, weight double, quota long, passes long, rest long")
 

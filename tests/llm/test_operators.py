@@ -330,3 +330,16 @@ def test_tasks_compare_with_the_reference_library(docs, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["_text"])
     got = [v for b in pieces._encoder(data, 1)(iter([batch])) for v in b.column("_parity").to_pylist()]
     assert got.count(False) == sum(zlib.crc32(t.encode()) % pieces.PARITY_SHARE == 0 for t in texts) > 0 and True not in got
+
+
+def test_mixing_without_a_budget_holds_the_limit_and_keeps_sources_without_tokens(spark):
+    tokens = [10_000_000] + [1_000_000] * 5 + [200_000] * 5 + [50_000]
+    rows = spark.createDataFrame([(k, f"s{k:02}", str(k), t, 1) for k, t in enumerate(tokens + [0])],
+                                 "doc_id long, source string, text_sha256 string, n_tokens long, same long")
+    got = mixing.source_weights(rows, None, 0.9).orderBy("source").collect()
+    assert [r.tokens for r in got] == tokens + [0]
+    assert max(r.quota / r.tokens for r in got[:-1]) <= mixing.REPEATS and all(r.passes >= 1 for r in got)
+    docs = spark.createDataFrame([(1, "a", "one two three"), (2, "b", ""), (3, "b", None)], "doc_id long, source string, text string")
+    assert sorted(r.doc_id for r in mixing.mixed_documents(docs, budget=None, entropy=0.9).collect() if r.doc_id > 1) == [2, 3]
+    blank = docs.where("doc_id > 1")
+    assert sorted(r.doc_id for r in mixing.mixed_documents(blank, budget=None).collect()) == [2, 3]
