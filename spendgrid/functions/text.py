@@ -55,6 +55,8 @@ class CleaningConfig:
     dbscan_min_samples: int = fv.DBSCAN_MIN_SAMPLES
     batch_size: int = fv.GROUPING_BATCH
     batch_mode: bool = False
+    size_rules: bool = False  # published switches by the number of names
+    local_names: int = 1024  # names of a unit that one task settles
 
 
 def _col(c: Column | str) -> Column:

@@ -17,13 +17,24 @@ def clean(df: DataFrame, column: str = "description", output: str = "cleaned",
     return df.withColumn(output, X.clean_description(column, config))
 
 
-def cleaned_names(df: DataFrame, cleaned: str = "cleaned", order: str = "seq") -> DataFrame:
-    """Distinct non-empty cleaned names with the first order key that has each.
+def with_cleaned(df: DataFrame, column: str = "description", config: X.CleaningConfig = X.CleaningConfig(), output: str = "cleaned") -> DataFrame:
+    """Add the cleaned text, computed once for every distinct text, written, and joined back.
+
+    The written side has one row per text, so a popular text is a skewed key of one side only, which the
+    planner broadcasts by its measured size or splits at run time.
+    """
+    texts = df.select(F.col(column).alias("_text")).distinct()
+    table = cut_lineage(texts.select("_text", X.clean_description("_text", config).alias(output)))
+    return df.join(table, F.col(column).eqNullSafe(F.col("_text")), "left").drop("_text")
+
+
+def cleaned_names(df: DataFrame, cleaned: str = "cleaned", order: str = "seq", by: list[str] | None = None) -> DataFrame:
+    """Distinct non-empty cleaned names, of each value of ``by``, with the first order key that has each.
 
     Emptiness is tested on an aggregate: a filter on the name itself would be pushed below the
     cleaning and run the whole chain a second time.
     """
-    names = df.groupBy(F.col(cleaned).alias("name")).agg(
+    names = df.groupBy(*(by or []), F.col(cleaned).alias("name")).agg(
         F.min(order).alias("first_seq"), F.max(F.length(cleaned)).alias("_length"))
     return names.where(F.col("_length") > 0).drop("_length")
 

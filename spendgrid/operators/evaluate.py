@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from spendgrid import fixed_values as fv
 from spendgrid.functions import text as X
+from spendgrid.operators.encoding import Encoder, char_encoder, encode_distinct
+from spendgrid.operators.grouping import density_grid, with_positions
+from spendgrid.session import cut_lineage
 
 
 def group_sizes(df: DataFrame, *by: str) -> DataFrame:
@@ -36,6 +39,20 @@ def effectiveness(bands: DataFrame) -> DataFrame:
         "effectiveness_score", F.col("large_groups") + F.col("medium_groups") * 0.5 + F.col("reduction_percent") * 0.1)
 
 
+def evaluate_grouping_distances(cleaned: DataFrame, distances: list[float], encoder: Encoder = char_encoder) -> DataFrame:
+    """One row per density distance with its groups, reduction and score; the names are compared once for all of them."""
+    names = cleaned.groupBy(F.col("cleaned").alias("name")).agg(F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("n")).where(F.length("name") > 0)
+    names = cut_lineage(names)
+    placed = with_positions(encode_distinct(names.drop("n"), "name", encoder))
+    groups = density_grid(placed, distances)
+    sizes = groups.join(names, "name").groupBy("distance", "representative").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("texts"))
+    size = F.col("size")
+    bands = sizes.groupBy("distance").agg(
+        F.sum("texts").alias("original_unique"), F.count(F.lit(1)).alias("final_unique"), _band(size >= 10).alias("large_groups"),
+        _band(size >= 5).alias("medium_groups"), _band(size == 1).alias("singletons"))
+    return effectiveness(bands)
+
+
 CLEANING_LEVELS = ("minimal", "moderate", "aggressive")
 
 

@@ -1,13 +1,16 @@
 """Grouping of near-identical merchant names.
 
 Input is one row per distinct name with ``name`` and ``first_seq`` (and ``vector`` for the cosine
-methods); output is ``name, representative``.  The order of names is their first appearance, then the
+methods), and optionally ``scope``: names of one scope, a user say, are grouped among themselves.
+Output is ``scope, name, representative``.  The order of names is their first appearance, then the
 name, so results do not depend on partitioning.
 
-The ordered methods look at names one after the other in the published rules.  Here they advance in
-rounds of a bounded number of names: a round compares its names with everything settled before by
-blocks (spread over all tasks), and only the names of the round themselves are settled in one task.
-No pair rows are emitted for a crowd of similar names, and no crowd is gathered in one place.
+Names fall into *units* that cannot influence one another: a scope of bounded size, or a connected
+component of names in reach within a larger scope.  Units of up to ``local`` names are settled whole,
+several in a task (:mod:`linkage`).  Larger ones are compared by blocks: cosine comparisons are pruned
+by pivot cells (:mod:`cells`), text ratios by an index of letter pairs (:mod:`text_index`), and neither
+loses a pair in reach.  No pair rows are emitted for a crowd of similar names, and no crowd is gathered
+in one place.
 """
 
 from __future__ import annotations
@@ -16,310 +19,430 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendgrid import fixed_values as fv
 from spendgrid.functions import text as X
 from spendgrid.functions import vectors as V
 from spendgrid.operators import blocks as B
-from spendgrid.operators.cleaning import cleaned_names
+from spendgrid.operators import cells, linkage, text_index
+from spendgrid.operators.cleaning import cleaned_names, with_cleaned
 from spendgrid.operators.components import connected_components
 from spendgrid.operators.encoding import Encoder, char_encoder, encode_distinct
-from spendgrid.operators.ordered import running_sum
-from spendgrid.session import cut_lineage
+from spendgrid.operators.ordered import dense_position, running_sum
+from spendgrid.session import cut_lineage, ship_package
 
-ROUND_NAMES = 4096
-DIGITS = 12
+LOCAL_NAMES = 1024
+DIGITS = linkage.DIGITS
+SCOPE = "scope"
+
+
+def scoped(names: DataFrame) -> DataFrame:
+    """Names with a scope; without one they are all of the same."""
+    return names if SCOPE in names.columns else names.withColumn(SCOPE, F.lit(""))
 
 
 def with_positions(names: DataFrame) -> DataFrame:
-    """Names with their position 0, 1, 2 ... by first appearance, written once."""
-    numbered = running_sum(names, ["first_seq", "name"], F.lit(1).cast("long"), "pos")
+    """Names with their position 0, 1, 2 ... by scope and first appearance, written once."""
+    numbered = running_sum(scoped(names), [SCOPE, "first_seq", "name"], F.lit(1).cast("long"), "pos")
     return cut_lineage(numbered.withColumn("pos", F.col("pos") - 1))
 
 
-# --- similarity of two blocks of names -------------------------------------------------------------------
+# --- the two similarities ---------------------------------------------------------------------------------
 
 def cosine_block(a: pd.DataFrame, b: pd.DataFrame, threshold: float) -> np.ndarray:
     return np.round(B.unit_rows(B.matrix(a["vector"])) @ B.unit_rows(B.matrix(b["vector"])).T, DIGITS)
 
 
 def ratio_block(a: pd.DataFrame, b: pd.DataFrame, threshold: float) -> np.ndarray:
-    """Text ratios; pairs whose shared letters cannot reach the threshold stay 0."""
-    left, right = a["name"].tolist(), b["name"].tolist()
-    letters = {ch: i for i, ch in enumerate(sorted(set("".join(left)) | set("".join(right))))}
-
-    def bags(texts: list[str]) -> np.ndarray:
-        bag = np.zeros((len(texts), len(letters)), dtype=np.int32)
-        for i, text in enumerate(texts):
-            for ch in text:
-                bag[i, letters[ch]] += 1
-        return bag
-
-    left_bags, right_bags = bags(left), bags(right)
-    sizes = np.array([len(t) for t in right])
-    scores = np.zeros((len(left), len(right)))
-    for i, text in enumerate(left):
-        shared = np.minimum(left_bags[i], right_bags).sum(axis=1)
-        for j in np.nonzero(2.0 * shared >= threshold * (sizes + len(text)))[0]:
-            scores[i, j] = V.text_ratio(text, right[j])
-    return scores
-
-
-SIMILARITIES: dict[str, tuple[Callable, list[str]]] = {
-    "cosine": (cosine_block, ["pos", "name", "vector"]),
-    "ratio": (ratio_block, ["pos", "name"]),
-}
-
-
-# --- ordered rounds ------------------------------------------------------------------------------------------
-
-def _cliques_of_round(names: pd.DataFrame, before: pd.DataFrame, similarity: Callable, threshold: float) -> pd.DataFrame:
-    """Each name joins the group whose least similar member is most similar to it, or starts one."""
-    names = names.sort_values("pos").reset_index(drop=True)
-    scores = similarity(names, names, threshold)
-    pos = names["pos"].to_numpy()
-    row_of = {p: i for i, p in enumerate(pos)}
-    groups = sorted(set(before["rep"])) if len(before) else []
-    lowest = np.full((len(names), len(groups) + len(names)), -np.inf)
-    column_of = {g: c for c, g in enumerate(groups)}
-    for p, rep, score in zip(before["pos"], before["rep"], before["score"]):
-        lowest[row_of[p], column_of[rep]] = score
-    reps = []
-    for i, p in enumerate(pos):
-        column = int(np.argmax(lowest[i, :len(groups)])) if groups else -1
-        if column >= 0 and lowest[i, column] >= threshold:
-            lowest[:, column] = np.minimum(lowest[:, column], scores[:, i])
-        else:
-            column = len(groups)
-            groups.append(p)
-            lowest[:, column] = scores[:, i]
-        reps.append(groups[column])
-    return pd.DataFrame({"pos": pos, "rep": reps})
-
-
-def _settle(now: DataFrame, before: DataFrame, rule: Callable, similarity: Callable, threshold: float) -> DataFrame:
-    return (now.groupBy(B.everything()).cogroup(before.groupBy(B.everything()))
-            .applyInPandas(lambda a, b: rule(a, b, similarity, threshold), "pos long, rep long"))
-
-
-def _rounds(names: DataFrame, kind: str, threshold: float, compared: Callable, rule: Callable, round_names: int) -> DataFrame:
-    """Settle the names round by round; ``compared`` relates a round's names to what is settled."""
-    spark = names.sparkSession
-    similarity, columns = SIMILARITIES[kind]
-    last = names.agg(F.max("pos")).first()[0]
-    if last is None:
-        return spark.createDataFrame([], "pos long, rep long")
-    nothing = spark.createDataFrame([], "pos long, rep long, score double")
-    settled = None
-    for start in range(0, last + 1, round_names):
-        now = names.where((F.col("pos") >= start) & (F.col("pos") < start + round_names)).select(*columns)
-        before = nothing if settled is None else compared(now, settled, similarity, threshold)
-        found = _settle(now, before, rule, similarity, threshold)
-        settled = cut_lineage(found if settled is None else settled.unionByName(found))
-    return settled
+    """Text ratios; pairs that cannot reach the threshold stay 0."""
+    return text_index.ratios(a["name"].tolist(), b["name"].tolist(), threshold)
+
+
+def _cosine_keys(left: DataFrame, right: DataFrame, threshold: float, scope: str, half: bool) -> tuple[DataFrame, DataFrame]:
+    return cells.keyed(left, right, threshold, scope, half)
+
+
+def _ratio_keys(left: DataFrame, right: DataFrame, threshold: float, scope: str, half: bool) -> tuple[DataFrame, DataFrame]:
+    return text_index.keyed(left, right, threshold, scope)
+
+
+class Similarity:
+    """How names are compared: scores of two blocks, the columns they need, and the keys under which names in reach meet."""
+
+    def __init__(self, block: Callable, column: str, keys: Callable):
+        self.block, self.columns, self.keys = block, ["pos", column], keys
+
+    def scores(self, unit: pd.DataFrame, threshold: float) -> linkage.Scores:
+        if self.block is cosine_block:
+            rows = B.unit_rows(B.matrix(unit["vector"]))
+            return lambda i, j, k: np.round(rows[i:j] @ rows[:k].T, DIGITS)
+        return lambda i, j, k: self.block(unit.iloc[i:j], unit.iloc[:k], threshold)
+
+
+SIMILARITIES = {"cosine": Similarity(cosine_block, "vector", _cosine_keys), "ratio": Similarity(ratio_block, "name", _ratio_keys)}
+
+
+def _compared(left: DataFrame, right: DataFrame, kind: str, threshold: float, scope: str, match: Callable, schema: str,
+              block_rows: int, half: bool = False) -> DataFrame:
+    """Run ``match`` on blocks of names that can be in reach of one another."""
+    a, b = SIMILARITIES[kind].keys(left, right, threshold, scope, half)
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame() if x.empty or y.empty else match(x, y)
+
+    return B.compare_blocks(a, b, cells.KEY, "pos", "pos", run, schema, block_rows)
+
+
+def _forest(rows: np.ndarray, cols: np.ndarray, a: np.ndarray, b: np.ndarray, order: np.ndarray | None = None) -> pd.DataFrame:
+    """A spanning forest of the given edges, taken in ``order``: the same components with at most one edge per node."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    kept = []
+    for k in range(len(rows)) if order is None else order:
+        i, j = a[rows[k]], b[cols[k]]
+        x, y = find(i), find(j)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            kept.append((i, j, k))
+    return pd.DataFrame(kept, columns=["a", "b", "k"], dtype="int64")
+
+
+def near_pairs(names: DataFrame, threshold: float, block_rows: int = B.DEFAULT_BLOCK) -> DataFrame:
+    """Pairs (a < b) with cosine at least ``threshold``; the output is as large as the answer."""
+    def pairs(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        scores = cosine_block(x, y, threshold)
+        a, b = x["pos"].to_numpy(), y["pos"].to_numpy()
+        same = x["_home"].to_numpy()[:, None] == y["_home"].to_numpy()[None, :]
+        rows, cols = np.nonzero((scores >= threshold) & (~same | (a[:, None] < b[None, :])))
+        return pd.DataFrame({"a": np.minimum(a[rows], b[cols]), "b": np.maximum(a[rows], b[cols]), "similarity": scores[rows, cols]})
+
+    side = scoped(names).select("pos", "vector", SCOPE)
+    left, right = cells.keyed(side, side, threshold, SCOPE, half=True)
+    homes = cut_lineage(right.select("pos", F.col(cells.KEY).alias("_home")))
+    left = left.join(homes, "pos", "left").withColumn("_home", F.coalesce("_home", F.lit("")))
+    right = right.withColumn("_home", F.col(cells.KEY))
+    return B.compare_blocks(left, right, cells.KEY, "pos", "pos",
+                            lambda x, y: pd.DataFrame() if x.empty or y.empty else pairs(x, y), "a long, b long, similarity double", block_rows)
+
+
+def near_forest(names: DataFrame, kind: str, threshold: float, scope: str = SCOPE, block_rows: int = B.DEFAULT_BLOCK,
+                reaches: Callable[[pd.DataFrame, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """``(a, b, similarity)``: edges among names in reach that connect whatever all such edges connect, at every level.
+
+    Blocks report spanning forests of their closest edges, so a crowd of n similar names costs n edges a block pair, and
+    edges of at least any similarity connect the same names as all pairs of that similarity do.
+    """
+    def forest(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        scores = SIMILARITIES[kind].block(x, y, threshold)
+        a, b = x["pos"].to_numpy(), y["pos"].to_numpy()
+        near = scores >= threshold if reaches is None else reaches(x, scores)
+        rows, cols = np.nonzero(near & (a[:, None] != b[None, :]))
+        found = _forest(rows, cols, a, b, np.argsort(-scores[rows, cols], kind="stable"))
+        return pd.DataFrame({"a": np.minimum(found["a"], found["b"]), "b": np.maximum(found["a"], found["b"]),
+                             "similarity": scores[rows, cols][found["k"]]})
+
+    edges = _compared(names, names, kind, threshold, scope, forest, "a long, b long, similarity double", block_rows, half=True)
+    return edges.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+
+
+# --- units ---------------------------------------------------------------------------------------------------
+
+def with_units(names: DataFrame, kind: str, threshold: float, local: int, block_rows: int) -> DataFrame:
+    """Names with ``unit`` and its size ``n``: small scopes whole, larger ones by connected names."""
+    sizes = names.groupBy(SCOPE).agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("unit"))
+    held = names.join(sizes, SCOPE)
+    small, large = held.where(F.col("n") <= local), cut_lineage(held.where(F.col("n") > local).drop("n", "unit"))
+    if large.isEmpty():
+        return cut_lineage(small)
+    found = connected_components(near_forest(large, kind, threshold, SCOPE, block_rows))
+    joined = large.join(found.withColumnRenamed("node", "pos"), "pos", "left").withColumn("unit", F.coalesce("component", "pos")).drop("component")
+    return cut_lineage(small.unionByName(joined.join(joined.groupBy("unit").agg(F.count(F.lit(1)).alias("n")), "unit")))
+
+
+def _settled_whole(units: DataFrame, solve: Callable[[pd.DataFrame], np.ndarray], columns: list[str], local: int,
+                   ids: str = "pos") -> DataFrame:
+    """``(pos, rep)`` of units of bounded size; about as many names go to a task as the largest unit may have."""
+    ship_package(units.sparkSession)
+    alone = units.where(F.col("n") == 1).select(F.col(ids).alias("pos"), F.col(ids).alias("rep"))
+    rows = units.where(F.col("n") > 1).select("unit", "n", ids, *columns)
+    total = rows.count()
+    if not total:
+        return alone
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, unit in frame.groupby("unit", sort=False):
+            unit = unit.sort_values(ids).reset_index(drop=True)
+            pos = unit[ids].to_numpy()
+            rep = solve(unit)
+            out.append(pd.DataFrame({"pos": pos, "rep": np.where(rep >= 0, pos[np.maximum(rep, 0)], -1)}))
+        return pd.concat(out)
+
+    bucket = F.pmod(F.xxhash64("unit"), F.lit(-(-total // local))).alias("_bucket")
+    return rows.withColumn("_bucket", bucket).groupBy("_bucket").applyInPandas(run, "pos long, rep long").unionByName(alone)
+
+
+def _named(names: DataFrame, settled: DataFrame) -> DataFrame:
+    reps = names.select(F.col("pos").alias("rep"), F.col("name").alias("representative"))
+    return names.select("pos", SCOPE, "name").join(settled, "pos").join(reps, "rep").select(SCOPE, "name", "representative")
 
 
+# --- ordered rules -------------------------------------------------------------------------------------------
+
 def leader_groups(names: DataFrame, threshold: float = fv.SIMILARITY_THRESHOLD, kind: str = "ratio",
-                  block_rows: int = B.DEFAULT_BLOCK) -> DataFrame:
+                  block_rows: int = B.DEFAULT_BLOCK, local: int = LOCAL_NAMES) -> DataFrame:
     """Each name joins the most similar earlier canonical name in reach, else becomes canonical.
 
-    A name without an undecided earlier name in reach is canonical, and what it reaches later is not: each
-    step decides all such names at once, so the number of steps follows the longest chain of names in
-    reach of one another, not their number.  Then every name looks for its best canonical name.
+    In a large unit a name without an undecided earlier name in reach is canonical, and what it reaches
+    later is not: each step decides all such names at once, so the number of steps follows the longest
+    chain of names in reach of one another, not their number.  Then every name looks for its best
+    canonical name.
     """
-    similarity, columns = SIMILARITIES[kind]
+    names = scoped(names)
+    similarity = SIMILARITIES[kind]
+    column = similarity.columns[1]
+    units = with_units(names, kind, threshold, local, block_rows)
+    whole = _settled_whole(units.where(F.col("n") <= local),
+                           lambda unit: linkage.leaders(len(unit), similarity.scores(unit, threshold), threshold), [column], local)
+    large = cut_lineage(units.where(F.col("n") > local).select("pos", column, "unit"))
+    if large.isEmpty():
+        return _named(names, whole)
 
     def earlier(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame()
         b = b.sort_values("pos")
         own, others = a["pos"].to_numpy(), b["pos"].to_numpy()
-        scores = np.where(others[None, :] < own[:, None], similarity(a, b, threshold), -1.0)
+        scores = np.where(others[None, :] < own[:, None], similarity.block(a, b, threshold), -1.0)
         j = scores.argmax(axis=1)
         found = pd.DataFrame({"pos": own, "rep": others[j], "score": scores[np.arange(len(own)), j]})
         return found[found["score"] >= threshold]
 
     def reached(left: DataFrame, right: DataFrame) -> DataFrame:
         """The best earlier name of ``right`` for every name of ``left`` that has one in reach."""
-        found = B.compare_blocks(left.select("*", B.everything()), right.select("*", B.everything()), B.EVERYTHING,
-                                 "pos", "pos", earlier, "pos long, rep long, score double", block_rows)
-        return found.groupBy("pos").agg(F.min(F.struct((-F.col("score")).alias("s"), "rep")).alias("m")).select(
-            "pos", F.col("m.rep").alias("rep"))
+        found = cut_lineage(_compared(left, right, kind, threshold, "unit", earlier, "pos long, rep long, score double", block_rows))
+        best = found.groupBy("pos").agg(F.max("score").alias("score"))
+        return found.join(best, ["pos", "score"]).groupBy("pos").agg(F.min("rep").alias("rep"))
 
-    undecided, leaders = names.select(*columns), None
+    undecided, canonical = large, None
     while True:
         now = cut_lineage(undecided.join(reached(undecided, undecided).select("pos"), "pos", "left_anti"))
-        leaders = now if leaders is None else leaders.unionByName(now)
+        canonical = now if canonical is None else canonical.unionByName(now)
         rest = undecided.join(now.select("pos"), "pos", "left_anti")
         undecided = cut_lineage(rest.join(reached(rest, now).select("pos"), "pos", "left_anti"))
         if undecided.isEmpty():
             break
-    joined = names.select("pos").join(reached(names.select(*columns), leaders), "pos", "left")
-    return _named(names, joined.select("pos", F.coalesce("rep", "pos").alias("rep")))
+    joined = large.select("pos").join(reached(large, cut_lineage(canonical)), "pos", "left")
+    return _named(names, whole.unionByName(joined.select("pos", F.coalesce("rep", "pos").alias("rep"))))
 
 
 def complete_link_groups(names: DataFrame, threshold: float = fv.SIMILARITY_THRESHOLD, kind: str = "cosine",
-                         round_names: int = ROUND_NAMES) -> DataFrame:
-    """Each name joins the group all of whose members are in reach, the closest such group first."""
-    columns = SIMILARITIES[kind][1]
+                         block_rows: int = B.DEFAULT_BLOCK, local: int = LOCAL_NAMES) -> DataFrame:
+    """Each name joins the group all of whose members are in reach, the closest such group first.
 
-    def compared(now: DataFrame, settled: DataFrame, similarity: Callable, limit: float) -> DataFrame:
-        members = names.join(settled, "pos").select(*columns, "rep")
-        sizes = settled.groupBy("rep").agg(F.count(F.lit(1)).alias("size"))
+    A large unit advances by its earliest ``local`` unsettled names a round, all large units at once: a
+    round's names meet the members settled before in blocks, which report the groups in reach with their
+    least score and how many members that is; a group counts if these are all.  The round's names of a
+    unit are then settled together.
+    """
+    names = scoped(names)
+    similarity = SIMILARITIES[kind]
+    column = similarity.columns[1]
+    units = with_units(names, kind, threshold, local, block_rows)
+    whole = _settled_whole(units.where(F.col("n") <= local), lambda unit: linkage.complete_link(
+        len(unit), similarity.scores(unit, threshold), threshold), [column], local)
+    large = units.where(F.col("n") > local).select("pos", column, "unit")
+    if large.isEmpty():
+        return _named(names, whole)
+    large = cut_lineage(dense_position(large, ["unit"], ["pos"], "_number").withColumn("round", F.floor(F.col("_number") / local).cast("int")).drop("_number"))
+
+    def reach(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        scores = similarity.block(a, b, threshold)
+        rows, cols = np.nonzero(scores >= threshold)
+        return pd.DataFrame({"pos": a["pos"].to_numpy()[rows], "member": b["pos"].to_numpy()[cols], "rep": b["rep"].to_numpy()[cols],
+                             "score": scores[rows, cols]}).groupby(["pos", "rep"], as_index=False).agg(
+            score=("score", "min"), near=("member", "nunique"))
+
+    def settle(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a = a.sort_values("pos").reset_index(drop=True)
+        groups: dict[int, dict[int, float]] = {}
+        for pos, rep, score in zip(b["pos"], b["rep"], b["score"]):
+            groups.setdefault(pos, {})[rep] = score
+        before = [groups.get(p, {}) for p in a["pos"]]
+        return pd.DataFrame({"pos": a["pos"], "rep": linkage.complete_link(len(a), similarity.scores(a, threshold), threshold, before, a["pos"].to_numpy())})
+
+    settled = None
+    for number in range(large.agg(F.max("round")).first()[0] + 1):
+        now = large.where(F.col("round") == number).drop("round")
+        if settled is None:
+            before = now.select("unit", "pos", F.col("pos").alias("rep"), F.lit(0.0).alias("score")).limit(0)
+        else:
+            members = large.drop("round").join(settled, "pos")
+            found = cut_lineage(_reached_members(now, members, kind, threshold, reach, block_rows))
+            sizes = settled.groupBy("rep").agg(F.count(F.lit(1)).alias("size"))
+            before = (found.join(sizes, "rep").where(F.col("near") == F.col("size"))
+                      .join(now.select("pos", "unit"), "pos").select("unit", "pos", "rep", "score"))
+        before = before.toDF(*before.columns)  # columns of its own
+        part = now.groupBy("unit").cogroup(before.groupBy("unit")).applyInPandas(settle, "pos long, rep long")
+        settled = cut_lineage(part if settled is None else settled.unionByName(part))
+    return _named(names, whole.unionByName(settled))
 
-        def reach(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if a.empty or b.empty:
-                return pd.DataFrame()
-            scores = similarity(a, b, limit)
-            rows, cols = np.nonzero(scores >= limit)
-            pairs = pd.DataFrame({"pos": a["pos"].to_numpy()[rows], "rep": b["rep"].to_numpy()[cols], "score": scores[rows, cols]})
-            return pairs.groupby(["pos", "rep"], as_index=False).agg(score=("score", "min"), near=("score", "size"))
 
-        found = B.compare_blocks(now.select("*", B.everything()), members.select("*", B.everything()), B.EVERYTHING, "pos", "pos",
-                                 reach, "pos long, rep long, score double, near long")
-        whole = found.groupBy("pos", "rep").agg(F.min("score").alias("score"), F.sum("near").alias("near"))
-        return whole.join(sizes, "rep").where(F.col("near") == F.col("size")).select("pos", "rep", "score")
+def _reached_members(now: DataFrame, members: DataFrame, kind: str, threshold: float, reach: Callable, block_rows: int) -> DataFrame:
+    """Groups in reach of each name: least score, and members in reach, each counted once."""
+    if kind == "cosine":  # a pair meets once
+        found = _compared(now, members, kind, threshold, "unit", reach, "pos long, rep long, score double, near long", block_rows)
+        return found.groupBy("pos", "rep").agg(F.min("score").alias("score"), F.sum("near").alias("near"))
 
-    return _named(names, _rounds(names, kind, threshold, compared, _cliques_of_round, round_names))
+    def pairs(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        scores = SIMILARITIES[kind].block(a, b, threshold)
+        rows, cols = np.nonzero(scores >= threshold)
+        return pd.DataFrame({"pos": a["pos"].to_numpy()[rows], "member": b["pos"].to_numpy()[cols], "rep": b["rep"].to_numpy()[cols], "score": scores[rows, cols]})
+
+    found = _compared(now, members, kind, threshold, "unit", pairs, "pos long, member long, rep long, score double", block_rows)
+    found = found.groupBy("pos", "member", "rep").agg(F.min("score").alias("score"))
+    return found.groupBy("pos", "rep").agg(F.min("score").alias("score"), F.count(F.lit(1)).alias("near"))
 
 
 def batched_groups(names: DataFrame, threshold: float = fv.SIMILARITY_THRESHOLD, batch: int = fv.GROUPING_BATCH,
-                   block_rows: int = B.DEFAULT_BLOCK) -> DataFrame:
+                   block_rows: int = B.DEFAULT_BLOCK, local: int = LOCAL_NAMES) -> DataFrame:
     """Complete-link groups within batches of names, then their representatives merged as leaders.
 
     The batches are independent of each other; only the merge of representatives is ordered.
     """
-    batches = names.withColumn("_batch", F.floor(F.col("pos") / batch).cast("long"))
-    nothing = pd.DataFrame({"pos": [], "rep": [], "score": []})
-    local = cut_lineage(batches.select("_batch", "pos", "name", "vector").groupBy("_batch").applyInPandas(
-        lambda pdf: _cliques_of_round(pdf, nothing, cosine_block, threshold), "pos long, rep long"))
-    firsts = local.where(F.col("pos") == F.col("rep")).select("pos")
-    reps = names.join(firsts, "pos", "left_semi").drop("pos")
-    reps = with_positions(reps)
-    merged = leader_groups(reps, threshold, "cosine", block_rows)
+    names = scoped(names)
+    first = names.groupBy(SCOPE).agg(F.min("pos").alias("_first"))
+    units = names.join(first, SCOPE).withColumn("unit", F.col("_first") + F.floor((F.col("pos") - F.col("_first")) / batch).cast("long") * batch)
+    similarity = SIMILARITIES["cosine"]
+    found = cut_lineage(_settled_whole(units.withColumn("n", F.lit(batch)), lambda unit: linkage.complete_link(
+        len(unit), similarity.scores(unit, threshold), threshold), ["vector"], max(local, batch)))
+    reps = names.join(found.where(F.col("pos") == F.col("rep")).select("pos"), "pos", "left_semi")
+    merged = leader_groups(reps, threshold, "cosine", block_rows, local).withColumnRenamed("name", "_own")
     own = names.select(F.col("pos").alias("rep"), F.col("name").alias("_own"))
-    return (names.select("pos", "name").join(local, "pos").join(own, "rep")
-            .join(merged.withColumnRenamed("name", "_own"), "_own").select("name", "representative"))
-
-
-def _named(names: DataFrame, settled: DataFrame) -> DataFrame:
-    reps = names.select(F.col("pos").alias("rep"), F.col("name").alias("representative"))
-    return names.select("pos", "name").join(settled, "pos").join(reps, "rep").select("name", "representative")
+    return (names.select("pos", SCOPE, "name").join(found, "pos").join(own, "rep")
+            .join(merged, [SCOPE, "_own"]).select(SCOPE, "name", "representative"))
 
 
 # --- methods on the similarity graph ---------------------------------------------------------------------------
 
 def groups_from_labels(labelled: DataFrame) -> DataFrame:
     """The first name of a label represents it; label -1 is noise and represents itself."""
-    first = labelled.where(F.col("label") != -1).groupBy("label").agg(F.min(F.struct("pos", "name")).alias("f"))
-    joined = labelled.join(first, "label", "left")
-    return joined.select("name", F.when(F.col("label") == -1, F.col("name")).otherwise(F.col("f.name")).alias("representative"))
-
-
-def _forest(rows: np.ndarray, cols: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
-    """A spanning forest of the given edges: the same components with at most one edge per node."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    kept = []
-    for i, j in zip(a[rows], b[cols]):
-        x, y = find(i), find(j)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            kept.append((i, j))
-    return pd.DataFrame(kept, columns=["a", "b"], dtype="int64")
+    labelled = scoped(labelled)
+    first = labelled.where(F.col("label") != -1).groupBy("label").agg(F.min("pos").alias("_first"))
+    named = first.join(labelled.select(F.col("pos").alias("_first"), F.col("name").alias("_name")), "_first").select("label", "_name")
+    joined = labelled.join(named, "label", "left")
+    return joined.select(SCOPE, "name", F.when(F.col("label") == -1, F.col("name")).otherwise(F.col("_name")).alias("representative"))
 
 
-def near_pairs(names: DataFrame, threshold: float, block_rows: int = B.DEFAULT_BLOCK) -> DataFrame:
-    """Pairs (a < b) with cosine at least ``threshold``; the output is as large as the answer."""
-    def pairs(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if x.empty or y.empty:
-            return pd.DataFrame()
-        scores = cosine_block(x, y, threshold)
-        a, b = x["pos"].to_numpy(), y["pos"].to_numpy()
-        same = x["_lb"].iat[0] == x["_rb"].iat[0]
-        rows, cols = np.nonzero((scores >= threshold) & ((a[:, None] < b[None, :]) if same else True))
-        return pd.DataFrame({"a": np.minimum(a[rows], b[cols]), "b": np.maximum(a[rows], b[cols]), "similarity": scores[rows, cols]})
-
-    side = names.select("pos", "vector", B.everything())
-    return B.compare_blocks(side, side, B.EVERYTHING, "pos", "pos", pairs, "a long, b long, similarity double", block_rows, True)
-
-
-def _near_forest(side: DataFrame, eps: float, block_rows: int) -> DataFrame:
-    def forest(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if x.empty or y.empty:
-            return pd.DataFrame()
-        a, b = x["pos"].to_numpy(), y["pos"].to_numpy()
-        near = (1.0 - cosine_block(x, y, 0.0) <= eps) & (a[:, None] != b[None, :])
-        return _forest(*np.nonzero(near), a, b)
-
-    return B.compare_blocks(side, side, B.EVERYTHING, "pos", "pos", forest, "a long, b long", block_rows, True)
-
-
-def adaptive_eps(eps: float, n: int, least: float = fv.DBSCAN_LEAST_EPS) -> float:
-    """The distance shrinks with the number of names, down to a least value."""
-    return max(least, min(eps, fv.DBSCAN_EPS_AT_ZERO - n / 1000 * fv.DBSCAN_EPS_PER_THOUSAND))
+def adaptive_eps(eps: float, n: Column, least: float = fv.DBSCAN_LEAST_EPS) -> Column:
+    """The distance shrinks with the number of names, down to a least value and above it at most ``eps``."""
+    by_size = F.lit(fv.DBSCAN_EPS_AT_ZERO) - n / 1000 * fv.DBSCAN_EPS_PER_THOUSAND
+    return F.greatest(F.lit(float(least)), F.least(F.lit(float(eps)), by_size))
 
 
 def density_groups(names: DataFrame, eps: float = fv.DBSCAN_EPS, min_samples: int = fv.DBSCAN_MIN_SAMPLES,
-                   block_rows: int = B.DEFAULT_BLOCK) -> DataFrame:
+                   block_rows: int = B.DEFAULT_BLOCK, local: int = LOCAL_NAMES, eps_by_size: Column | None = None) -> DataFrame:
     """Density clusters on cosine distance; noise names stand for themselves.
 
-    Blocks report spanning forests, never all near pairs, so a crowd of n similar names costs n edges
-    per block pair.  With two samples a cluster is a connected component; otherwise core names are
-    connected and border names take the earliest cluster with a core name in reach.
+    ``eps_by_size`` makes the distance a function of ``n``, the names of a scope, at most ``eps``.  With
+    two samples a cluster is a connected component; otherwise core names are connected and border names
+    take the earliest cluster with a core name in reach.
     """
-    side = names.select("pos", "vector", B.everything())
+    names = scoped(names)
+    sizes = names.groupBy(SCOPE).agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("unit"))
+    held = names.join(sizes, SCOPE).withColumn("eps", F.lit(float(eps)) if eps_by_size is None else eps_by_size)
+    held = cut_lineage(held.select("pos", "vector", SCOPE, "n", "unit", "eps"))
+    similarity = SIMILARITIES["cosine"]
+
+    def whole(unit: pd.DataFrame) -> np.ndarray:
+        own = float(unit["eps"].iloc[0])
+        return linkage.density(len(unit), similarity.scores(unit, 1.0 - own), own, min_samples)
+
+    small = held.where(F.col("n") <= local).withColumn("n", F.greatest("n", F.lit(2)))  # one name may be noise
+    found = _settled_whole(small, whole, ["vector", "eps"], local).withColumnRenamed("rep", "label")
+    large = held.where(F.col("n") > local).drop("n", "unit")
+    if not large.isEmpty():
+        widest = large.agg(F.max("eps")).first()[0]
+        found = found.unionByName(_density_by_blocks(large, widest, min_samples, block_rows))
+    labelled = names.select("pos", SCOPE, "name").join(found, "pos", "left").withColumn("label", F.coalesce("label", F.lit(-1)))
+    return groups_from_labels(labelled)
+
+
+def _density_by_blocks(side: DataFrame, eps: float, min_samples: int, block_rows: int) -> DataFrame:
+    def near(x: pd.DataFrame, scores: np.ndarray) -> np.ndarray:
+        return 1.0 - scores <= x["eps"].to_numpy()[:, None]
+
+    core_side = side
     if min_samples > 2:
         def degrees(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-            if x.empty or y.empty:
-                return pd.DataFrame()
-            near = 1.0 - cosine_block(x, y, 0.0) <= eps
-            return pd.DataFrame({"pos": x["pos"].to_numpy(), "n": near.sum(axis=1)})
+            return pd.DataFrame({"pos": x["pos"].to_numpy(), "n": near(x, cosine_block(x, y, 0.0)).sum(axis=1)})
 
-        counts = B.compare_blocks(side, side, B.EVERYTHING, "pos", "pos", degrees, "pos long, n long", block_rows)
+        counts = _compared(side, side, "cosine", 1.0 - eps, SCOPE, degrees, "pos long, n long", block_rows)
         core = counts.groupBy("pos").agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples).select("pos")
         core_side = cut_lineage(side.join(core, "pos", "left_semi"))
-    else:
-        core_side = side
-    found = connected_components(_near_forest(core_side, eps, block_rows)).select(
+    found = connected_components(near_forest(core_side, "cosine", 1.0 - eps, SCOPE, block_rows, near)).select(
         F.col("node").alias("pos"), F.col("component").alias("label"))
     if min_samples > 2:
         alone = core_side.join(found, "pos", "left_anti").select("pos", F.col("pos").alias("label"))
         clustered = cut_lineage(found.unionByName(alone))
 
         def reached(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-            if x.empty or y.empty:
-                return pd.DataFrame()
             y = y.sort_values("label")
-            near = 1.0 - cosine_block(x, y, 0.0) <= eps
-            hit = near.any(axis=1)
-            return pd.DataFrame({"pos": x["pos"].to_numpy()[hit], "label": y["label"].to_numpy()[near[hit].argmax(axis=1)]})
+            hits = near(x, cosine_block(x, y, 0.0))
+            hit = hits.any(axis=1)
+            return pd.DataFrame({"pos": x["pos"].to_numpy()[hit], "label": y["label"].to_numpy()[hits[hit].argmax(axis=1)]})
 
         others = side.join(clustered, "pos", "left_anti")
-        borders = B.compare_blocks(others, core_side.join(clustered, "pos"), B.EVERYTHING, "pos", "pos",
-                                   reached, "pos long, label long", block_rows)
+        borders = _compared(others, core_side.join(clustered, "pos"), "cosine", 1.0 - eps, SCOPE, reached, "pos long, label long", block_rows)
         found = clustered.unionByName(borders.groupBy("pos").agg(F.min("label").alias("label")))
-    labelled = names.select("pos", "name").join(found, "pos", "left").withColumn("label", F.coalesce("label", F.lit(-1)))
-    return groups_from_labels(labelled)
+    return found
+
+
+def density_grid(names: DataFrame, distances: list[float], block_rows: int = B.DEFAULT_BLOCK) -> DataFrame:
+    """``(distance, scope, name, representative)``: density groups of two samples for every distance, from one comparison.
+
+    The closest edges that hold all names together up to the largest distance hold them together up to
+    any smaller one as well, so each distance is a cut of the same forest.
+    """
+    names = scoped(names)
+    widest = max(distances)
+    edges = cut_lineage(near_forest(names.select("pos", "vector", SCOPE), "cosine", 1.0 - widest, SCOPE, block_rows,
+                                    lambda x, scores: 1.0 - scores <= widest))
+    out = None
+    for distance in distances:
+        found = connected_components(edges.where(1.0 - F.col("similarity") <= distance))
+        labelled = names.select("pos", SCOPE, "name").join(found.select(F.col("node").alias("pos"), F.col("component").alias("label")), "pos", "left")
+        groups = groups_from_labels(labelled.withColumn("label", F.coalesce("label", F.lit(-1)))).select(F.lit(float(distance)).alias("distance"), "*")
+        out = groups if out is None else out.unionByName(groups)
+    return out
 
 
 def hierarchical_groups(names: DataFrame, distance: float = fv.HIERARCHICAL_DISTANCE,
-                        block_rows: int = B.DEFAULT_BLOCK) -> DataFrame:
+                        block_rows: int = B.DEFAULT_BLOCK, local: int = LOCAL_NAMES) -> DataFrame:
     """Average-linkage groups cut at a distance.
 
-    All pairs of mutual nearest groups merge at once, round by round: average linkage never brings a
-    merged group closer to a third one than its parts were, so the rounds reach the same groups, and a
-    group needs only its mean vector.  Of equally near groups the earliest counts as nearest, whatever
-    the number of names or the size of the blocks.
+    Average linkage never merges across components of the graph of pairs within the distance, so units
+    are settled each for itself.  In a unit too large for that all mutually nearest groups merge at
+    once, round by round, until few enough groups are left to go on whole: average linkage never brings
+    a merged group closer to a third one than its parts were, so the rounds reach the same groups, and a
+    group needs only its mean vector.  Of equally near groups the earliest counts as nearest.
     """
+    names = scoped(names)
+    length = V.norm("vector")
+    unit = F.transform("vector", lambda v: F.coalesce(F.try_divide(v.cast("double"), length), F.lit(0.0)))
+    units = with_units(names, "cosine", 1.0 - distance, local, block_rows)
+    groups = cut_lineage(units.select("unit", F.col("pos").alias("label"), unit.alias("mean"), F.lit(1).cast("long").alias("count"), "n"))
+    members = names.select("pos", F.col("pos").alias("label"))
+
+    def whole(rows: pd.DataFrame) -> np.ndarray:
+        return linkage.average_link(B.matrix(rows["mean"]), rows["count"].to_numpy(), distance)
+
     def closest(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
             return pd.DataFrame()
@@ -331,89 +454,120 @@ def hierarchical_groups(names: DataFrame, distance: float = fv.HIERARCHICAL_DIST
         found = pd.DataFrame({"label": a, "other": b[j], "score": scores[np.arange(len(a)), j]})
         return found[np.isfinite(found["score"])]
 
-    length = V.norm("vector")
-    unit = F.transform("vector", lambda v: F.coalesce(F.try_divide(v.cast("double"), length), F.lit(0.0)))
-    groups = cut_lineage(names.select(F.col("pos").alias("label"), unit.alias("mean"), F.lit(1).cast("long").alias("n"), B.everything()))
-    members = cut_lineage(names.select("pos", F.col("pos").alias("label")))
+    ended = None
     while True:
-        near = B.compare_blocks(groups, groups, B.EVERYTHING, "label", "label", closest,
-                                "label long, other long, score double", block_rows)
-        near = cut_lineage(near.groupBy("label").agg(F.min(F.struct((-F.col("score")).alias("s"), "other")).alias("m"))
-                           .select("label", F.col("m.other").alias("other"), (-F.col("m.s")).alias("score")))
+        done = _settled_whole(groups.where(F.col("n") <= local), whole, ["mean", "count"], local, "label")
+        ended = done if ended is None else ended.unionByName(done)
+        groups = groups.where(F.col("n") > local)
+        if groups.isEmpty():
+            break
+        near = cut_lineage(B.compare_blocks(groups, groups, "unit", "label", "label", closest, "label long, other long, score double", block_rows))
+        best = near.groupBy("label").agg(F.max("score").alias("score"))
+        near = cut_lineage(near.join(best, ["label", "score"]).groupBy("label", "score").agg(F.min("other").alias("other")))
         back = near.select(F.col("label").alias("other"), F.col("other").alias("label"))
         merges = cut_lineage(near.where((F.col("label") < F.col("other")) & (1 - F.col("score") <= distance))
                              .join(back, ["label", "other"]).select(F.col("other").alias("label"), F.col("label").alias("into")))
-        if merges.isEmpty():
-            break
-        target = F.coalesce("into", "label")
-        members = cut_lineage(members.join(merges, "label", "left").select("pos", target.alias("label")))
-        gone = groups.select(F.col("label").alias("gone"), F.col("mean").alias("mean2"), F.col("n").alias("n2"))
-        stays = groups.join(merges, "label", "left_anti").join(
+        merging = groups.join(merges.select(F.col("into").alias("label")), "label", "left_semi").select("unit").distinct()
+        final = groups.join(merging, "unit", "left_anti").select(F.col("label").alias("pos"), F.col("label").alias("rep"))
+        ended = cut_lineage(ended.unionByName(final))
+        members = cut_lineage(members.join(merges, "label", "left").select("pos", F.coalesce("into", "label").alias("label")))
+        gone = groups.select(F.col("label").alias("gone"), F.col("mean").alias("mean2"), F.col("count").alias("count2"))
+        stays = groups.drop("n").join(merging, "unit", "left_semi").join(merges, "label", "left_anti").join(
             merges.select(F.col("into").alias("label"), F.col("label").alias("gone")), "label", "left").join(gone, "gone", "left")
-        total = F.col("n") + F.coalesce("n2", F.lit(0))
-        mean = F.when(F.col("n2").isNull(), F.col("mean")).otherwise(
-            F.zip_with("mean", "mean2", lambda p, q: (p * F.col("n") + q * F.col("n2")) / total))
-        groups = cut_lineage(stays.select("label", mean.alias("mean"), total.alias("n"), B.everything()))
-    return groups_from_labels(names.select("pos", "name").join(members, "pos"))
+        total = F.col("count") + F.coalesce("count2", F.lit(0))
+        mean = F.when(F.col("count2").isNull(), F.col("mean")).otherwise(
+            F.zip_with("mean", "mean2", lambda p, q: (p * F.col("count") + q * F.col("count2")) / total))
+        left = stays.select("unit", "label", mean.alias("mean"), total.alias("count"))
+        groups = cut_lineage(left.join(left.groupBy("unit").agg(F.count(F.lit(1)).alias("n")), "unit"))
+    labels = members.join(ended.withColumnRenamed("pos", "label"), "label").select("pos", F.col("rep").alias("label"))
+    return groups_from_labels(names.select("pos", SCOPE, "name").join(labels, "pos"))
 
 
 # --- choice of method ----------------------------------------------------------------------------------------------
 
 def group_names(names: DataFrame, config: X.CleaningConfig = X.CleaningConfig(), encoder: Encoder = char_encoder) -> DataFrame:
-    """``name, representative`` for every non-blank name by the configured method.
+    """``scope, name, representative`` for every name by the configured method; blank names stand for themselves.
 
-    One name stands for itself and up to five are linked completely whatever the method.  The density
-    hierarchy is not available and takes the complete-link rule, as the published fallback does.
-    ``batch_mode`` reproduces the published batches of 25; otherwise the method sees all names.
+    The density hierarchy is not available and takes the complete-link rule, as the published fallback
+    does.  ``batch_mode`` reproduces the published batches of 25; otherwise the method sees all names.
+    With ``size_rules`` the published switches hold in every scope: up to five names are linked
+    completely whatever the method, and the density distance shrinks with the number of names.
     """
+    names = scoped(names)
+    blank = names.where(F.length(F.trim("name")) == 0).select(SCOPE, "name", F.col("name").alias("representative"))
     names = names.where(F.length(F.trim("name")) > 0)
     if not config.use_embedding_grouping:
         if config.use_fuzzy_matching:
-            return leader_groups(with_positions(names), config.similarity_threshold)
-        return names.select("name", F.col("name").alias("representative"))
+            grouped = leader_groups(with_positions(names), config.similarity_threshold, local=config.local_names)
+            return grouped.unionByName(blank)
+        return names.select(SCOPE, "name", F.col("name").alias("representative")).unionByName(blank)
     placed = with_positions(encode_distinct(names, "name", encoder))
-    alone = placed.where(F.col("vector").isNull()).select("name", F.col("name").alias("representative"))
+    alone = placed.where(F.col("vector").isNull()).select(SCOPE, "name", F.col("name").alias("representative"))
     grouped = _grouped_by_vector(placed.where(F.col("vector").isNotNull()), config)
-    return grouped.unionByName(alone)  # names that a caller's encoder has no vector for
+    return grouped.unionByName(alone).unionByName(blank)  # names that a caller's encoder has no vector for
 
 
 def _grouped_by_vector(placed: DataFrame, config: X.CleaningConfig) -> DataFrame:
-    count = placed.count()
-    theta, method = config.similarity_threshold, config.clustering_method
-    if config.batch_mode and count > config.batch_size:
-        return batched_groups(placed, theta, config.batch_size)
-    if count > fv.SMALL_INPUT and method == "dbscan":
-        return density_groups(placed, adaptive_eps(config.dbscan_eps, count, config.dbscan_least_eps), config.dbscan_min_samples)
-    if count > fv.SMALL_INPUT and method == "hierarchical":
-        return hierarchical_groups(placed, config.hierarchical_distance)
-    return complete_link_groups(placed, theta)
+    theta, method, local = config.similarity_threshold, config.clustering_method, config.local_names
+    if not config.size_rules:
+        return _by_method(placed, config, method, None)
+    sizes = placed.groupBy(SCOPE).agg(F.count(F.lit(1)).alias("_n"))
+    held = cut_lineage(placed.join(sizes, SCOPE))
+    few = fv.SMALL_INPUT if not config.batch_mode else 0
+    small, rest = held.where(F.col("_n") <= few).drop("_n"), held.where(F.col("_n") > few).drop("_n")
+    grouped = _by_method(rest, config, method, adaptive_eps(config.dbscan_eps, F.col("n"), config.dbscan_least_eps))
+    return grouped.unionByName(complete_link_groups(small, theta, local=local)) if few and not small.isEmpty() else grouped
+
+
+def _by_method(placed: DataFrame, config: X.CleaningConfig, method: str, eps_by_size: Column | None) -> DataFrame:
+    local = config.local_names
+    if config.batch_mode:
+        return batched_groups(placed, config.similarity_threshold, config.batch_size, local=local)
+    if method == "dbscan":
+        return density_groups(placed, config.dbscan_eps, config.dbscan_min_samples, local=local, eps_by_size=eps_by_size)
+    if method == "hierarchical":
+        return hierarchical_groups(placed, config.hierarchical_distance, local=local)
+    return complete_link_groups(placed, config.similarity_threshold, local=local)
+
+
+def scope_of(by: list[str]) -> Column:
+    """One text for the values of the given columns; null is a value of its own."""
+    return F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("")
 
 
 def clean_and_group(df: DataFrame, column: str = "description", config: X.CleaningConfig = X.CleaningConfig(),
-                    encoder: Encoder = char_encoder) -> tuple[DataFrame, DataFrame]:
-    """Rows with ``cleaned`` and ``representative``, and the grouping of the distinct names."""
-    cleaned = df.withColumn("cleaned", X.clean_description(column, config))
-    groups = group_names(cut_lineage(cleaned_names(cleaned)), config, encoder)
+                    encoder: Encoder = char_encoder, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``cleaned`` and ``representative``, and the grouping of the distinct names.
+
+    ``by`` names the columns, a user's say, within which names are grouped and representatives chosen.
+    """
+    cleaned = with_cleaned(df, column, config).withColumn(SCOPE, scope_of(by or []))
+    groups = cut_lineage(group_names(cut_lineage(cleaned_names(cleaned, by=[SCOPE])), config, encoder))
     return with_representatives(cleaned, groups), groups
 
 
 def with_representatives(cleaned: DataFrame, groups: DataFrame) -> DataFrame:
     """Every row gets the representative of its name, or its own name."""
-    named = groups.select(F.col("name").alias("cleaned"), "representative")
-    return cleaned.join(named, "cleaned", "left").withColumn("representative", F.coalesce("representative", "cleaned"))
+    named = groups.select(SCOPE, F.col("name").alias("cleaned"), "representative")
+    return cleaned.join(named, [SCOPE, "cleaned"], "left").withColumn("representative", F.coalesce("representative", "cleaned"))
 
 
 def group_members(rows: DataFrame) -> DataFrame:
-    """Representative and member, one row per cleaned name with its first order key.
+    """Representative and member, one row per scope and cleaned name with its first order key.
 
     The listing is long rather than one array per group, so a popular group needs no single row.
     """
-    return rows.groupBy("representative", "cleaned").agg(F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("n"))
+    return scoped(rows).groupBy(SCOPE, "representative", "cleaned").agg(F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("n"))
 
 
 def group_representatives(rows: DataFrame) -> DataFrame:
-    """The first row of each group (description, amount, direction) and the group size."""
-    first = F.min(F.struct("seq", "description", "amount", "money_in"))
-    return rows.groupBy("representative").agg(first.alias("f"), F.count(F.lit(1)).alias("group_size")).select(
-        "representative", F.col("f.description").alias("description"), F.col("f.amount").alias("amount"),
-        F.col("f.money_in").alias("money_in"), F.col("f.seq").alias("seq"), "group_size")
+    """The first row of each scope's group (description, amount, direction) and the group size.
+
+    The first key is found on numbers alone; what else the row has is joined to it.
+    """
+    rows = scoped(rows)
+    first = rows.groupBy(SCOPE, "representative").agg(F.min("seq").alias("seq"), F.count(F.lit(1)).alias("group_size"))
+    held = rows.select(SCOPE, "representative", "seq", "description", "amount", "money_in").join(first, [SCOPE, "representative", "seq"])
+    tied = held.groupBy(SCOPE, "representative", "seq", "group_size").agg(F.min(F.struct("description", "amount", "money_in")).alias("f"))
+    return tied.select(SCOPE, "representative", F.col("f.description").alias("description"), F.col("f.amount").alias("amount"),
+                       F.col("f.money_in").alias("money_in"), "seq", "group_size")

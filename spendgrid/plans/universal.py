@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from spendgrid import fixed_values as fv
 from spendgrid.functions import text as X
 from spendgrid.operators.encoding import Encoder, char_encoder
-from spendgrid.operators.grouping import clean_and_group, group_representatives
+from spendgrid.operators.grouping import SCOPE, clean_and_group, group_representatives
 from spendgrid.plans.classify import valid_suggestions
 from spendgrid.session import cut_lineage
 
@@ -53,14 +53,18 @@ def batch_labeller(load: Callable[[], Callable[[list[dict]], list[dict]]], batch
 
 
 def categorise(df: DataFrame, categories: DataFrame, labeller: Labeller, config: X.CleaningConfig = X.CleaningConfig(),
-               encoder: Encoder = char_encoder, default: str = fv.DEFAULT_GROUP_CATEGORY) -> DataFrame:
-    """One result row per transaction; groups without a valid label get the default."""
-    rows, _ = clean_and_group(df, "description", config, encoder)
+               encoder: Encoder = char_encoder, default: str = fv.DEFAULT_GROUP_CATEGORY, by: list[str] | None = None) -> DataFrame:
+    """One result row per transaction; groups without a valid label get the default.
+
+    ``by`` names the columns whose values are requests of their own: groups, representatives and sizes
+    are each request's, and the labeller is asked about its representatives only.
+    """
+    rows, _ = clean_and_group(df, "description", config, encoder, by)
     representatives = cut_lineage(group_representatives(rows))
     labels = valid_suggestions(labeller(representatives), categories)
     labelled = representatives.join(labels, "description", "left").select(
-        "representative", "group_size", F.coalesce("suggested_category", F.lit(default)).alias("predicted_category"))
-    return rows.join(labelled, "representative").select(
+        SCOPE, "representative", "group_size", F.coalesce("suggested_category", F.lit(default)).alias("predicted_category"))
+    return rows.join(labelled, [SCOPE, "representative"]).select(
         "tx_id", F.col("description").alias("narrative"), F.col("cleaned").alias("cleaned_narrative"),
         "predicted_category", F.lit(1.0).alias("similarity_score"),
         F.lit(None).cast("string").alias("second_predicted_category"), F.lit(0.0).alias("second_similarity_score"),

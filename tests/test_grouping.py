@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spendgrid.functions import vectors as V
 from spendgrid.functions.text import CleaningConfig
+from spendgrid.operators import cells, text_index
 from spendgrid.operators import components as CC
 from spendgrid.operators import grouping as G
 from spendgrid.plans import universal as U
@@ -59,10 +60,10 @@ def brute_leader(s, order, threshold):
     return rep
 
 
-@pytest.mark.parametrize("round_names", [1000, 9])
-def test_complete_link(spark, round_names):
+@pytest.mark.parametrize("local, block_rows", [(1000, 8192), (4, 8192), (3, 7)])
+def test_complete_link(spark, local, block_rows):
     vectors = clustered(40, 1)
-    got = result(G.complete_link_groups(frame(spark, vectors), 0.85, round_names=round_names))
+    got = result(G.complete_link_groups(frame(spark, vectors), 0.85, block_rows=block_rows, local=local))
     assert got == brute_complete(cosines(vectors), 0.85)
 
 
@@ -73,8 +74,11 @@ def test_leader_on_text(spark):
     df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "pos long, name string")
     s = np.array([[V.text_ratio(a, b) for b in names] for a in names])
     wanted = {names[k]: names[v] for k, v in brute_leader(s, range(len(names)), 0.85).items()}
-    for size in (1000, 11):
-        assert {r["name"]: r.representative for r in G.leader_groups(df, 0.85, block_rows=size).collect()} == wanted
+    for size, local in ((1000, 1000), (11, 3)):
+        assert {r["name"]: r.representative for r in G.leader_groups(df, 0.85, block_rows=size, local=local).collect()} == wanted
+    complete = {names[k]: names[v] for k, v in brute_complete(s, 0.85).items()}
+    for local in (1000, 3):
+        assert {r["name"]: r.representative for r in G.complete_link_groups(df, 0.85, "ratio", local=local).collect()} == complete
 
 
 def test_batched(spark):
@@ -112,7 +116,8 @@ def test_density(spark, min_samples):
         if i in label:
             first.setdefault(label[i], i)
     wanted = {i: first[label[i]] if i in label else i for i in range(45)}
-    assert result(G.density_groups(frame(spark, vectors), 0.1, min_samples, block_rows=11)) == wanted
+    for local in (1000, 5):
+        assert result(G.density_groups(frame(spark, vectors), 0.1, min_samples, block_rows=11, local=local)) == wanted
 
 
 def test_hierarchical(spark):
@@ -127,7 +132,7 @@ def test_hierarchical(spark):
     wanted = {i: min(g) for g in groups for i in g}
     df = frame(spark, vectors)
     assert result(G.hierarchical_groups(df, 0.3)) == wanted
-    assert result(G.hierarchical_groups(df, 0.3, block_rows=9)) == wanted
+    assert result(G.hierarchical_groups(df, 0.3, block_rows=9, local=3)) == wanted
 
 
 def test_components(spark):
@@ -164,7 +169,7 @@ def test_unrelated_names_stay_apart(spark):
 def test_groups_are_partitions_with_similar_members(spark):
     vectors = clustered(50, 12)
     s = cosines(vectors)
-    got = result(G.complete_link_groups(frame(spark, vectors), 0.8, round_names=16))
+    got = result(G.complete_link_groups(frame(spark, vectors), 0.8, local=16))
     for i in got:
         assert got[got[i]] == got[i]
         for j in got:
@@ -180,3 +185,65 @@ def test_universal_with_batch_labeller(spark):
     got = {r.tx_id: r.predicted_category for r in U.categorise(tx, U.predefined_categories(spark), calls,
                                                              CleaningConfig(similarity_threshold=0.99)).collect()}
     assert got == {"t0": "Groceries", "t1": "Groceries", "t2": "GENERAL_SERVICES", "t3": "GENERAL_SERVICES"}
+
+
+def test_average_linkage_of_a_thousand_names(spark):
+    rng = np.random.default_rng(5)
+    vectors = np.abs(rng.normal(size=(40, 12)))[rng.integers(0, 40, 1000)] + 0.2 * rng.normal(size=(1000, 12))
+    df = spark.createDataFrame([(i, f"n{i:04d}", v.tolist()) for i, v in enumerate(vectors)], "pos long, name string, vector array<double>")
+    whole = result(G.hierarchical_groups(df, 0.05))
+    assert result(G.hierarchical_groups(df, 0.05, local=40)) == whole and 40 <= len(set(whole.values())) < 500
+
+
+def test_cells_lose_no_pair(spark):
+    vectors = clustered(300, 3, 0.2)
+    s = cosines(vectors)
+    side = frame(spark, vectors).withColumn("scope", F.lit("x"))
+    for threshold in (0.99, 0.9, 0.3, -0.2):
+        left, right = cells.keyed(side, side, threshold, "scope", half=True, cell_rows=20)
+        meet = {(r.a, r.b) for r in left.select(F.col("pos").alias("a"), cells.KEY).join(right.select(F.col("pos").alias("b"), cells.KEY), cells.KEY).collect()}
+        reach = {(i, j) for i in range(300) for j in range(i) if s[i, j] >= threshold}
+        assert all((i, j) in meet or (j, i) in meet for i, j in reach)
+        if threshold == 0.99:
+            n = cells.pair_counts(left, right).first()
+            assert n.compared < n.everything / 5
+    got = {(r.a, r.b) for r in G.near_pairs(frame(spark, vectors), 0.9).collect()}
+    assert got == {(j, i) for i, j in {(i, j) for i in range(300) for j in range(i) if s[i, j] >= 0.9}}
+
+
+def test_text_index_loses_no_pair(spark):
+    rng = random.Random(4)
+    words = ["countdown", "woolworths", "new world", "kmart", "a", "bp", "the warehouse group", "x" * 70 + "yz" * 20]
+    names = sorted({"".join(ch for ch in rng.choice(words) if rng.random() > 0.1) + rng.choice(["", "s", " nz", "é"]) for _ in range(150)} - {""})
+    s = np.array([[V.text_ratio(a, b) for b in names] for a in names])
+    df = spark.createDataFrame([(i, n, "x") for i, n in enumerate(names)], "pos long, name string, scope string")
+    for threshold in (0.85, 0.6):
+        left, right = text_index.keyed(df, df, threshold, "scope")
+        meet = {(r.a, r.b) for r in left.select(F.col("pos").alias("a"), cells.KEY).join(right.select(F.col("pos").alias("b"), cells.KEY), cells.KEY).collect()}
+        assert {(i, j) for i, j in zip(*np.nonzero(s >= threshold))} <= meet
+        assert len(meet) < len(names) ** 2 / 2 or threshold < 0.8
+        got = text_index.ratios(names, names, threshold)
+        assert (np.where(s >= threshold, s, 0) == np.where(got >= threshold, got, 0)).all()
+
+
+def test_grid_is_a_cut_of_one_forest(spark):
+    df = frame(spark, clustered(60, 8, 0.4))
+    distances = [0.02, 0.1, 0.3]
+    rows = G.density_grid(df, distances, block_rows=13).collect()
+    for d in distances:
+        own = {int(r["name"][1:]): int(r.representative[1:]) for r in rows if r.distance == d}
+        assert own == result(G.density_groups(df, d))
+
+
+@pytest.mark.parametrize("config", [dict(), dict(clustering_method="dbscan", dbscan_eps=0.05, dbscan_least_eps=0.01), dict(clustering_method="hierarchical", hierarchical_distance=0.1),
+                                    dict(use_embedding_grouping=False, use_fuzzy_matching=True), dict(batch_mode=True, batch_size=3), dict(size_rules=True, clustering_method="dbscan")])
+def test_scopes_are_grouped_apart(spark, config):
+    rng = random.Random(6)
+    words = ["countdown", "woolworths", "new world", "kmart", "bp connect"]
+    rows = [(f"u{u}", "".join(ch for ch in rng.choice(words) if rng.random() > 0.1), u * 100 + k) for u in range(4) for k in range(3 + 5 * u)] + [("u1", " ", 999)]
+    df = spark.createDataFrame(rows, "scope string, name string, first_seq long").dropDuplicates(["scope", "name"])
+    for local in (1000, 4):
+        options = CleaningConfig(**config, local_names=local)
+        got = sorted((r.scope, r["name"], r.representative) for r in G.group_names(df, options).collect())
+        apart = sorted((f"u{u}", r["name"], r.representative) for u in range(4) for r in G.group_names(df.where(F.col("scope") == f"u{u}").drop("scope"), options).collect())
+        assert got == apart and ("u1", " ", " ") in got
