@@ -128,8 +128,8 @@ linked(pos, label) AS (SELECT pos, pos FROM names UNION ALL (
   WITH between AS (SELECT x.label AS a, y.label AS b, round(sum(coalesce(s, 0)) / count(*), 12) AS s FROM linked x JOIN linked y ON x.label <> y.label
          LEFT JOIN cosines c ON c.a = least(x.pos, y.pos) AND c.b = greatest(x.pos, y.pos) GROUP BY ALL),
        nearest AS (SELECT a, arg_max(b, (s, -b)) AS b, max(s) AS s FROM between GROUP BY a),
-       merges AS (SELECT x.a AS into, x.b AS gone FROM nearest x JOIN nearest y ON y.a = x.b AND y.b = x.a WHERE x.a < x.b AND 1 - x.s <= 0.3::DOUBLE)
-  SELECT pos, coalesce(into, label) FROM linked LEFT JOIN merges ON gone = label WHERE EXISTS (FROM merges))),
+       merges AS (SELECT x.a AS target, x.b AS gone FROM nearest x JOIN nearest y ON y.a = x.b AND y.b = x.a WHERE x.a < x.b AND 1 - x.s <= 0.3::DOUBLE)
+  SELECT pos, coalesce(target, label) FROM linked LEFT JOIN merges ON gone = label WHERE EXISTS (FROM merges))),
 settled AS (SELECT pos, min(label) AS rep FROM linked GROUP BY pos)"""
 
 
@@ -195,11 +195,6 @@ def _(spark, sf_dir):
     return _groups(spark, sf_dir, clustering_method="hierarchical")
 
 
-@register("group_hierarchical_in_rounds", _names("''") + LINKAGE + SETTLED)
-def _(spark, sf_dir):
-    return _groups(spark, sf_dir, clustering_method="hierarchical", local_names=48)
-
-
 BATCHES = """,
 members AS (SELECT pos, pos // 25 AS part FROM names), sims AS (SELECT * FROM cosines)""" + COMPLETE
 MERGED = (""",
@@ -233,7 +228,7 @@ def _(spark, sf_dir):
 
 
 @register("group_representatives_by_user", BY_USER + """
-SELECT scope AS user_id, representative, arg_min(description, (seq, description)) AS description, arg_min(amount, (seq, description)) AS amount,
+SELECT scope AS user_id, representative, arg_min(description, (seq, description)) AS description, arg_min(amount, (seq, description, amount)) AS amount,
   min(seq) AS seq, count(*) AS group_size FROM rows GROUP BY scope, representative""")
 def _(spark, sf_dir):
     user = F.get_json_object(G.SCOPE, "$.user_id").cast("long").alias("user_id")
