@@ -9,7 +9,8 @@ Rows: a null, empty or blank text has no words; texts shorter than a window lose
 length or more lose everything; rows that repeat one another count as texts of their own; an empty table gives an empty
 result; further columns are ignored.  Long texts are read whole.
 
-Words and windows are compared by hashes of 64 bits; the first probe uses fewer bits and only adds windows to compare.
+Words and windows are compared by hashes of 64 bits that are not linear, texts by 64 bits made from their SHA-256; the
+first probe uses fewer bits and only adds windows to compare.
 """
 
 from __future__ import annotations
@@ -23,20 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendgrid.llm.exchange import RANGE_KEYS, repeated_hashes, short_keys, unpacked
-from spendgrid.llm.shared import BROADCAST_ROWS, ship, stored, text_of
-from spendgrid.llm.words import Words, chunks, mixed, powers
+from spendgrid.llm.shared import nodes_of, ship, small_side, stored, text_node, text_of
+from spendgrid.llm.words import Words, chunks
 
 WINDOW = 35
 ANCHOR = (WINDOW + 1) // 2  # any window of 2 * ANCHOR - 1 words holds a whole block
 
 
-def text_nodes(words: Words) -> np.ndarray:
-    """A hash of every text's words in order."""
-    up, down = powers(len(words.hash))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(words.hash * up[:len(words.hash)])])
-    return mixed((sums[words.edges[1:]] - sums[words.edges[:-1]]) * down[words.edges[:-1]] + words.counts.astype(np.uint64))
-
-
 def joined_words(words: Words, kept: np.ndarray) -> list[bytes]:
     """The kept words of every text, joined by one space."""
     data = words.data.copy()
@@ -60,33 +54,24 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = Words(data, offsets, lower=False)
             whole = joined_words(words, np.ones(len(words.hash), bool))
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id").slice(first, len(offsets) - 1), "node": pa.array(text_nodes(words).view(np.int64)),
+                "doc_id": batch.column("doc_id").slice(first, len(offsets) - 1), "node": batch.column("node").slice(first, len(offsets) - 1),
                 "n_words": pa.array(words.counts), "whole_sha256": [hashlib.sha256(t).hexdigest() for t in whole]})
 
 
 def _anchors(batch: pa.RecordBatch):
     """Rolling windows of a block's length; those of the reference index are marked."""
-    for _, data, offsets in chunks(batch.column("text")):
+    nodes = nodes_of(batch)
+    for first, data, offsets in chunks(batch.column("text")):
         words = Words(data, offsets, lower=False)
         at, hashes = words.windows(ANCHOR)
         marked = (at - words.edges[words.doc[at]]) % ANCHOR == 0
-        yield text_nodes(words), np.searchsorted(at, words.edges), hashes, marked
-
-
-def _with_nodes(wanted: np.ndarray | None):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, data, offsets in chunks(batch.column("text")):
-                node = text_nodes(Words(data, offsets, lower=False)).view(np.int64)
-                take = np.arange(len(node)) if wanted is None else np.flatnonzero(np.isin(node, wanted))
-                yield pa.RecordBatch.from_pydict({"node": pa.array(node[take]), "text": batch.column("text").take(pa.array(take + first))})
-    return rows
+        yield nodes[first:first + len(offsets) - 1], np.searchsorted(at, words.edges), hashes, marked
 
 
 def _around_hits(parts: int, window: int):
     """Windows that hold a hit."""
     def read(batch: pa.RecordBatch):
-        keys = batch.column("keys").to_pylist()
+        keys, nodes = batch.column("keys").to_pylist(), nodes_of(batch)
         for first, data, offsets in chunks(batch.column("text")):
             words = Words(data, offsets, lower=False)
             at, hashes = words.windows(ANCHOR)
@@ -100,7 +85,7 @@ def _around_hits(parts: int, window: int):
             at, hashes = words.windows(window)
             near = before[at + window - ANCHOR + 1] > before[at]
             at, hashes = at[near], hashes[near]
-            yield text_nodes(words), np.searchsorted(at, words.edges), hashes, np.zeros(len(at), bool)
+            yield nodes[first:first + len(offsets) - 1], np.searchsorted(at, words.edges), hashes, np.zeros(len(at), bool)
     return read
 
 
@@ -136,13 +121,13 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    rows = rows.withColumn("node", text_node())
     described = stored(rows.mapInArrow(_describe, "doc_id long, node long, n_words long, whole_sha256 string"), "anchor-texts")
-    texts = rows.select("text")
+    texts = rows.select("node", "text")
     parts = max(1, -(-(described.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]) // RANGE_KEYS))
     hits = stored(repeated_hashes(texts, _anchors, parts, short=True, only_marked=True), "anchor-hits")
-    n_hits = hits.count()
-    wanted = np.array([r["node"] for r in hits.select("node").collect()], np.int64) if n_hits <= BROADCAST_ROWS else None
-    named = texts.mapInArrow(_with_nodes(wanted), "node long, text string").groupBy("node").agg(F.any_value("text").alias("text"))
+    named = (texts.join(small_side(hits.select("node"), hits.count()), "node", "left_semi")
+             .groupBy("node").agg(F.any_value("text").alias("text")))
     candidates = stored(named.join(hits, "node"), "anchor-candidates")
     found = stored(repeated_hashes(candidates, _around_hits(parts, window), parts), "anchor-repeats")
     removed = candidates.select("node", "text").join(found, "node").mapInArrow(

@@ -29,8 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendgrid.llm.exchange import BLOCK_KEYS, RANGE_KEYS, part_of, repeated_hashes
-from spendgrid.llm.shared import BROADCAST_ROWS, once_each, ship, stored, text_of
-from spendgrid.llm.words import Words, chunks, mixed, powers
+from spendgrid.llm.shared import once_each, ship, small_side, stored, text_of
+from spendgrid.llm.words import Words, chunks, joined, mixed
 from spendgrid.operators.components import connected_components
 
 GRAM = 5
@@ -46,10 +46,11 @@ def gram_sets(data: np.ndarray, offsets: np.ndarray, gram: int) -> tuple[np.ndar
     at, hashes = words.windows(gram)
     short = np.flatnonzero((words.counts > 0) & (words.counts < gram))
     if len(short):
-        up, down = powers(len(words.hash))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(words.hash * up[:len(words.hash)])])
-        first, last = words.edges[short], words.edges[short + 1]
-        whole = mixed((sums[last] - sums[first]) * down[first] + words.counts[short].astype(np.uint64))
+        first, size = words.edges[short], words.counts[short]
+        whole = mixed(size.astype(np.uint64))
+        for k in range(gram - 1):
+            own = size > k
+            whole[own] = joined(whole[own], words.hash[first[own] + k])
         order = np.argsort(np.concatenate([at, first]), kind="stable")
         at, hashes = np.concatenate([at, first])[order], np.concatenate([hashes, whole])[order]
     edges = np.searchsorted(at, words.edges)
@@ -91,16 +92,14 @@ def _runs(gram: int):
     return read
 
 
-def _chosen_sets(gram: int, wanted: np.ndarray | None):
+def _all_sets(gram: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, data, offsets in chunks(batch.column("text")):
                 hashes, starts = gram_sets(data, offsets, gram)
                 node = _digests(hashes, starts)[0].view(np.int64)
-                take = np.arange(len(node)) if wanted is None else np.flatnonzero(np.isin(node, wanted))
                 yield pa.RecordBatch.from_pydict({
-                    "node": pa.array(node[take]),
-                    "runs": pa.array([hashes[starts[i]:starts[i + 1]].tobytes() for i in take], pa.binary())})
+                    "node": pa.array(node), "runs": pa.array([hashes[a:b].tobytes() for a, b in zip(starts, starts[1:])], pa.binary())})
     return rows
 
 
@@ -277,10 +276,7 @@ def similar_groups(docs: DataFrame, gram: int = GRAM) -> DataFrame:
     if totals["rows"] == 0:
         labels = spark.createDataFrame([], "node long, component long")
     else:
-        few = totals["rows"] <= BROADCAST_ROWS
-        wanted = np.array([r["node"] for r in left.select("node").collect()], np.int64) if few else None
-        chosen = texts.mapInArrow(_chosen_sets(gram, wanted), "node long, runs binary")
-        chosen = chosen if few else chosen.join(left, "node", "left_semi")
+        chosen = texts.mapInArrow(_all_sets(gram), "node long, runs binary").join(small_side(left.select("node"), totals["rows"]), "node", "left_semi")
         packed = stored(chosen.groupBy("node").agg(F.any_value("runs").alias("runs")).mapInArrow(
             _pack, "block long, nodes binary, sizes binary, keys binary"), "shingle-blocks")
         ranges = max(1, -(-totals["runs"] // RANGE_KEYS))

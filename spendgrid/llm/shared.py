@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +86,16 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def text_node(name: str = "text") -> Column:
+    """64 bits made from the SHA-256 of a text; equal texts agree, and unequal ones by chance alone."""
+    return F.xxhash64(F.sha2(F.col(name), 256))
+
+
+def nodes_of(batch: pa.RecordBatch) -> np.ndarray:
+    """The ``node`` column of a batch as unsigned numbers."""
+    return batch.column("node").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+
+
 def once_each(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """``rows`` of ``docs`` with one of those that repeat id and text; only ids that occur twice are compared by text."""
     twice = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_twice"))

@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendgrid.llm.exchange import RANGE_KEYS, repeated_hashes, short_keys, unpacked
-from spendgrid.llm.shared import BROADCAST_ROWS, discard, ship, stored, text_of
-from spendgrid.llm.words import chunks, mixed, range_hash, rolling_hash
+from spendgrid.llm.shared import discard, nodes_of, ship, small_side, stored, text_node, text_of
+from spendgrid.llm.words import chunks, mixed, rolling_hash
 
 LENGTH = 200
 PIECE = 32
@@ -46,11 +46,6 @@ _RANGE = 2_000_000
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
 
-def text_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A hash of every text of a chunk."""
-    return range_hash(data, offsets[:-1], offsets[1:])
-
-
 def _sliding(values: np.ndarray, width: int, pick, back: bool = False) -> np.ndarray:
     """``pick`` over ``width`` (a power of two) neighbours to the right, or to the left with ``back``; fewer at the end."""
     now, following, step = values.copy(), np.empty_like(values), 1
@@ -87,31 +82,22 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = data.tobytes()
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id").slice(first, len(offsets) - 1),
-                "node": pa.array(text_hashes(data, offsets).view(np.int64)), "n_bytes": pa.array(np.diff(offsets)),
+                "node": batch.column("node").slice(first, len(offsets) - 1), "n_bytes": pa.array(np.diff(offsets)),
                 "whole_sha256": [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(offsets, offsets[1:])]})
 
 
 def _pieces(batch: pa.RecordBatch):
-    for _, data, offsets in chunks(batch.column("text"), CHUNK):
+    nodes = nodes_of(batch)
+    for first, data, offsets in chunks(batch.column("text"), CHUNK):
         at, hashes = chosen_pieces(data, offsets)
-        yield text_hashes(data, offsets), np.searchsorted(at, offsets), hashes, np.zeros(len(at), bool)
-
-
-def _with_nodes(wanted: np.ndarray | None):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, data, offsets in chunks(batch.column("text"), CHUNK):
-                node = text_hashes(data, offsets).view(np.int64)
-                take = np.arange(len(node)) if wanted is None else np.flatnonzero(np.isin(node, wanted))
-                yield pa.RecordBatch.from_pydict({"node": pa.array(node[take]), "text": batch.column("text").take(pa.array(take + first))})
-    return rows
+        yield nodes[first:first + len(offsets) - 1], np.searchsorted(at, offsets), hashes, np.zeros(len(at), bool)
 
 
 def _regions(parts: int):
     """Regions ``piece, node, start, data``, a row each.  All chosen pieces well within a repeat are repeated pieces."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column("keys").to_pylist()
+            keys, nodes = batch.column("keys").to_pylist(), nodes_of(batch).view(np.int64)
             for first, data, offsets in chunks(batch.column("text"), CHUNK):
                 at, hashes = chosen_pieces(data, offsets)
                 short, edges = short_keys(hashes, parts), np.searchsorted(at, offsets)
@@ -139,7 +125,7 @@ def _regions(parts: int):
                 raw = data.tobytes()
                 yield pa.RecordBatch.from_pydict({
                     "piece": pa.array(np.array(least, np.uint64).view(np.int64)),
-                    "node": pa.array(text_hashes(data, offsets).view(np.int64)[owner[start]]),
+                    "node": pa.array(nodes[first + owner[start]]),
                     "start": pa.array(start - offsets[owner[start]]), "data": pa.array([raw[x:y] for x, y in zip(start, last)], pa.binary())})
     return rows
 
@@ -358,14 +344,16 @@ def repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    rows = rows.withColumn("node", text_node())
     described = stored(rows.mapInArrow(_describe, "doc_id long, node long, n_bytes long, whole_sha256 string"), "suffix-texts")
-    texts = rows.select("text")
+    texts = rows.select("node", "text")
     total = described.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     parts = max(1, -(-total // (RANGE_KEYS * AROUND // 2)))
     hits = stored(repeated_hashes(texts, _pieces, parts, short=True), "suffix-hits")
-    wanted = np.array([r["node"] for r in hits.select("node").collect()], np.int64) if hits.count() <= BROADCAST_ROWS else None
-    named = texts.mapInArrow(_with_nodes(wanted), "node long, text string").groupBy("node").agg(F.any_value("text").alias("text"))
+    named = (texts.join(small_side(hits.select("node"), hits.count()), "node", "left_semi")
+             .groupBy("node").agg(F.any_value("text").alias("text")))
     candidates = stored(named.join(hits, "node"), "suffix-candidates")
+    discard(hits)
     regions = stored(candidates.mapInArrow(_regions(parts), "piece long, node long, start long, data binary"), "suffix-regions")
     near = regions.hint("rebalance", "piece").sortWithinPartitions("piece", "node", "start")
     blocks = stored(near.select("node", "start", "data").mapInArrow(

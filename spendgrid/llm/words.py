@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 21  # bytes of text handled at once; a longer text is a chunk of its own
+CHUNK_BYTES = 1 << 18  # bytes of text handled at once; a longer text is a chunk of its own
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -23,8 +24,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, ``n + 1`` at least."""
-    return _powers(1 << max(16, int(n).bit_length()))
+    """Powers of the base and of its inverse modulo 2**64, ``n + 1`` at least; those of long texts are not kept."""
+    size = 1 << max(16, int(n).bit_length())
+    return _powers(size) if size <= 2 * CHUNK_BYTES else _powers.__wrapped__(size)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -65,7 +67,7 @@ def chunks(texts: pa.Array, size: int = CHUNK_BYTES):
 
 
 def range_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of byte ranges: differences of running polynomial sums."""
+    """Hashes of byte ranges: differences of running polynomial sums.  Unequal ranges can be built that agree."""
     up, down = powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_VALUES[data] * up[:len(data)], out=sums[1:])
@@ -73,7 +75,7 @@ def range_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 
 def rolling_hash(data: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of all ranges of ``length`` bytes."""
+    """Hashes of all ranges of ``length`` bytes, for choosing places.  Unequal ranges can be built that agree."""
     n = len(data) - length + 1
     up, down = powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
@@ -81,6 +83,48 @@ def rolling_hash(data: np.ndarray, length: int) -> np.ndarray:
     return mixed((sums[length:] - sums[:-length]) * down[:n])
 
 
+_STEP, _SEED = np.uint64(0x9FB21C651E98DF25), np.uint64(0x2545F4914F6CDD1D)
+LONG_WORD = 256  # bytes; longer words are hashed one by one
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in order; not linear in either, so that sums of powers cannot be made to agree."""
+    return mixed(mixed(a + _SEED) * _STEP ^ b)
+
+
+def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words, eight bytes at a time."""
+    size = ends - starts
+    out = mixed(size.astype(np.uint64) + _SEED)
+    if not len(starts):
+        return out
+    padded = np.ascontiguousarray(np.append(data, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    at = np.flatnonzero(size <= LONG_WORD)
+    for k in range(0, int(size[at].max(initial=0)), 8):
+        at = at[size[at] > k]
+        left = np.minimum(size[at] - k, 8).astype(np.uint64)
+        mask = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * (np.uint64(8) - left))
+        out[at] = joined(out[at], eight[starts[at] + k] & mask)
+    for i in np.flatnonzero(size > LONG_WORD):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i]:ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def run_hash(hashes: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of all runs of ``length`` words: pairs, pairs of pairs and so on, then the parts that make up the length."""
+    n = len(hashes) - length + 1
+    whole, covered, now, size = None, 0, hashes, 1
+    while size <= length:
+        if length & size:
+            part = now[covered:covered + n]
+            whole, covered = part.copy() if whole is None else joined(whole, part), covered + size
+        if 2 * size <= length:
+            now = joined(now[:len(now) - size], now[size:])
+        size *= 2
+    return joined(whole, np.uint64(length))
+
+
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a chunk: hash, document, byte range; ``edges`` are the word numbers where documents begin."""
 
@@ -106,15 +150,12 @@ class Words:
         self.edges = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.edges)
         self.doc = np.repeat(np.arange(self.n_docs), self.counts)
-        self.hash = range_hash(data, self.starts, self.ends)
+        self.hash = word_hash(data, self.starts, self.ends)
 
     def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """First word and hash of every run of ``length`` words within a document."""
         n = len(self.hash)
         if n < length:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        up, down = powers(n)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.hash * up[:n], out=sums[1:])
         at = np.flatnonzero(self.doc[:n - length + 1] == self.doc[length - 1:])
-        return at, mixed((sums[at + length] - sums[at]) * down[at])
+        return at, run_hash(self.hash, length)[at]

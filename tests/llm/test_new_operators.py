@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
-from spendgrid.llm import collocations, license_scan, queries, turn_repair
+from spendgrid.llm import anchor_dedup, collocations, license_scan, ngram_join, queries, suffix_dedup, turn_repair
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
@@ -242,3 +242,24 @@ def test_registered_queries(spark):
         groups[r[0]].append(r)
     got = queries.QUERIES["op13_turn_repair"](spark, folder).collect()
     assert {r[0]: tuple(r[1:]) for r in got} == {c: _repaired(g) for c, g in groups.items()}
+
+
+def _thue_morse(n, flipped):
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return ["ab"[b ^ flipped] for b in bits]
+
+
+def test_texts_built_to_agree_in_sums_of_powers(spark):
+    """Letters after the Thue-Morse sequence or its complement, for which polynomials modulo 2**64 agree whatever the base."""
+    letters = np.random.default_rng(3).choice(list("cdefgh"), 2048)
+    texts = ["".join(x + y for x, y in zip(letters, _thue_morse(2048, f))) for f in (0, 1)]
+    runs = [{t[i:i + 200] for i in range(len(t) - 199)} for t in texts]
+    assert not runs[0] & runs[1]
+    words = [f"w{i}" for i in range(35)]
+    texts += [" ".join([*words[:17], "".join(_thue_morse(2048, f)), *words[18:]]) for f in (0, 1)]
+    docs = _frame(spark, [(i, t, "en") for i, t in enumerate(texts)], SCHEMA)
+    seen = Counter(t[i:i + 200] for t in texts for i in range(len(t) - 199))
+    want = {k: len({j for i in range(len(t) - 199) if seen[t[i:i + 200]] > 1 for j in range(i, i + 200)}) for k, t in enumerate(texts)}
+    assert want[0] == want[1] == 0 and {r.doc_id: r.n_removed for r in suffix_dedup.repeats(docs).collect()} == want
+    assert {r.doc_id: r.n_removed for r in anchor_dedup.repeats(docs).collect()} == {0: 0, 1: 0, 2: 0, 3: 0}
+    assert {r.doc_id: r.component_id for r in ngram_join.similar_groups(docs).collect()} == {0: 0, 1: 1, 2: 2, 3: 3}

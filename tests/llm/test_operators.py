@@ -97,7 +97,7 @@ def test_ngram_components(docs, empty):
     assert ngram_join.similar_groups(empty).count() == 0
 
 
-def test_anchor_repeats(docs, empty, monkeypatch):
+def test_anchor_repeats(docs, empty):
     lists = [(i, WORD.findall(t or "")) for i, t in _texts()]
     seen = Counter(tuple(w[k:k + 35]) for _, w in lists for k in range(len(w) - 34))
     want = []
