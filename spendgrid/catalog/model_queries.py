@@ -11,6 +11,7 @@ from spendgrid.functions import text as X
 from spendgrid.functions import vectors as V
 from spendgrid.operators import neighbours as K
 from spendgrid.operators import transfers as T
+from spendgrid.operators.cleaning import with_cleaned
 from spendgrid.operators.encoding import encode_distinct
 from spendgrid.plans import classify as C
 from spendgrid.plans import train as TR
@@ -23,7 +24,7 @@ def register(name, oracle=None):
     def add(build):
         QUERIES[name] = build
         if oracle is not None:
-            ORACLES[name] = "WITH " + oracle.strip()
+            ORACLES[name] = "WITH RECURSIVE " + oracle.strip()
         return build
     return add
 
@@ -254,9 +255,8 @@ pairs AS (SELECT i.tx_id AS income_id, e.tx_id AS expense_id, i.key FROM positio
 
 
 def known_results(spark, sf_dir):
-    rows = D.transactions(spark, sf_dir)
-    return rows.select("tx_id", "user_id", "seq", F.col("description").alias("narrative"),
-                       X.clean_description("description").alias("cleaned_narrative"),
+    rows = with_cleaned(D.transactions(spark, sf_dir))
+    return rows.select("tx_id", "user_id", "seq", F.col("description").alias("narrative"), F.col("cleaned").alias("cleaned_narrative"),
                        F.coalesce("category", F.lit("Unknown")).alias("predicted_category"), "money_in", "amount")
 
 
@@ -270,6 +270,30 @@ def _(spark, sf_dir):
     return T.transfer_pairs_by_cents(known_results(spark, sf_dir))
 
 
+# The tolerance rule on sizes a fraction of a cent apart: few users, and chains of sizes that each reach the next.
+NEAR = TX + "," + S.clean_ctes("tx", "description") + """,
+sides AS MATERIALIZED (SELECT tx_id, user_id % 7 AS grp, cleaned AS key, seq, money_in, 10 + (seq // 1024) % 23 * 0.004::DOUBLE AS size
+  FROM tx JOIN cleaned ON description = original WHERE amount IS NOT NULL AND money_in IS NOT NULL AND length(cleaned) > 0),
+incomes AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY grp, key ORDER BY seq, tx_id) AS i FROM sides WHERE money_in),
+spent AS MATERIALIZED (SELECT * FROM sides WHERE NOT money_in),
+steps(grp, key, i, taken, income_id, expense_id) AS (SELECT DISTINCT grp, key, 0, []::VARCHAR[], NULL::VARCHAR, NULL::VARCHAR FROM incomes UNION ALL
+  SELECT grp, key, i, CASE WHEN e IS NULL THEN taken ELSE list_append(taken, e) END, income_id, e FROM (
+    SELECT s.grp, s.key, n.i, any_value(s.taken) AS taken, any_value(n.tx_id) AS income_id, arg_min(x.tx_id, (x.seq, x.tx_id)) AS e
+    FROM steps s JOIN incomes n ON n.grp = s.grp AND n.key = s.key AND n.i = s.i + 1
+    LEFT JOIN spent x ON x.grp = s.grp AND x.key = s.key AND abs(x.size - n.size) < 0.01::DOUBLE AND NOT list_contains(s.taken, x.tx_id) GROUP BY s.grp, s.key, n.i))"""
+
+
+def near_results(spark, sf_dir):
+    size = F.lit(10) + F.floor(F.col("seq") / 1024).cast("long") % 23 * F.lit(0.004)
+    rows = known_results(spark, sf_dir).withColumn("user_id", F.col("user_id") % 7).where(F.length("cleaned_narrative") > 0)
+    return rows.withColumn("predicted_category", F.lit("Unknown")).withColumn("amount", F.when(F.col("amount").isNotNull(), size))
+
+
+@register("transfers_within_a_cent", NEAR + " SELECT income_id, expense_id FROM steps WHERE expense_id IS NOT NULL")
+def _(spark, sf_dir):
+    return T.transfer_pairs(near_results(spark, sf_dir), batch=100)
+
+
 @register("transfer_labels", SIDES + """,
 partners AS (SELECT income_id AS tx_id, expense_id AS partner, key FROM pairs UNION ALL SELECT expense_id, income_id, key FROM pairs)
 SELECT tx.tx_id, CASE WHEN partner IS NULL THEN coalesce(category, 'Unknown') WHEN money_in THEN 'Transfer in' ELSE 'Transfer out' END AS predicted_category,

@@ -38,11 +38,12 @@ def keyword_kind(category: Column) -> Column:
 def spending_cube(df: DataFrame) -> DataFrame:
     """One row per user, vendor, category and direction with every sum the reports need.
 
-    Only primitive sums and extremes, so both aggregation sides are hash based.
+    Only primitive sums, extremes and a central moment (``spread``, the sum of squared distances from the
+    mean), so both aggregation sides are hash based.
     """
     return df.groupBy("user_id", "vendor", "category", "money_in").agg(
         F.count(F.lit(1)).alias("n"), F.sum("amount_abs").alias("total"),
-        F.sum(F.col("amount_abs") * F.col("amount_abs")).alias("squares"),
+        (F.var_pop("amount_abs") * F.count("amount_abs")).alias("spread"),
         F.min("seq").alias("first_seq"), F.min("date").alias("first"), F.max("date").alias("last"))
 
 
@@ -143,10 +144,19 @@ def vendor_insights(top: DataFrame) -> DataFrame:
 
 # --- anomalies ------------------------------------------------------------------------------------------
 
-def _deviation(n: Column, total: Column, squares: Column) -> Column:
-    """Sample standard deviation from sums; null below two rows."""
-    spread = F.greatest(squares - total * total / n, F.lit(0.0))
-    return F.sqrt(F.when(n > 1, spread / (n - 1)))
+def with_spread(rows: DataFrame, by: Sequence[str], *others: Column) -> DataFrame:
+    """Count ``n``, ``total``, ``mean`` and sample ``deviation`` of cube rows merged by ``by``; null below two rows.
+
+    Spreads are merged around the common mean, found first, so that large amounts do not cancel.
+    """
+    by = list(by)
+    sums = rows.groupBy(*by).agg(F.sum("n").alias("_n"), F.sum("total").alias("_total"), *others)
+    sums = sums.withColumn("mean", F.col("_total") / F.col("_n"))
+    shift = F.col("total") / F.col("n") - F.col("mean")
+    around = (rows.select(*by, "n", "total", "spread").join(sums.select(*by, "mean"), by)
+              .groupBy(*by).agg(F.sum(F.col("spread") + F.col("n") * shift * shift).alias("_spread")))
+    merged = sums.join(around, by).withColumn("deviation", F.sqrt(F.when(F.col("_n") > 1, F.col("_spread") / (F.col("_n") - 1))))
+    return merged.withColumnsRenamed({"_n": "n", "_total": "total"}).drop("_spread")
 
 
 def outliers(df: DataFrame, flagged: DataFrame, excluded: Sequence[str] = ()) -> DataFrame:
@@ -156,12 +166,9 @@ def outliers(df: DataFrame, flagged: DataFrame, excluded: Sequence[str] = ()) ->
     from the cube, one row per user and category that may hold expenses, and meet the transactions in
     a single join; a window over the user would put a heavy user into one task.
     """
-    sums = expenses(flagged, excluded).groupBy("user_id").agg(
-        F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"))
-    mean = F.col("total") / F.col("n")
+    sums = with_spread(expenses(flagged, excluded), ["user_id"])
     limits = sums.where(F.col("n") > fv.OUTLIER_MIN_ROWS).select(
-        "user_id", mean.alias("mean_amount"),
-        (mean + fv.OUTLIER_DEVIATIONS * _deviation(F.col("n"), F.col("total"), F.col("squares"))).alias("threshold"))
+        "user_id", F.col("mean").alias("mean_amount"), (F.col("mean") + fv.OUTLIER_DEVIATIONS * F.col("deviation")).alias("threshold"))
     categories = without_categories(flagged, excluded).groupBy("user_id", "category").agg(
         F.max(F.col("kind") == "spending").alias("spends"))
     limits = categories.join(limits, "user_id")
@@ -176,15 +183,13 @@ def outliers(df: DataFrame, flagged: DataFrame, excluded: Sequence[str] = ()) ->
 
 def recurring_vendors(flagged: DataFrame, excluded: Sequence[str] = ()) -> DataFrame:
     """Vendors with at least three expenses of nearly the same size: potential subscriptions."""
-    stats = expenses(flagged, excluded).groupBy("user_id", "vendor").agg(
-        F.sum("n").alias("frequency"), F.sum("total").alias("total"), F.sum("squares").alias("squares"),
-        F.min(F.struct("first_seq", "category")).alias("first_row"))
-    mean = F.col("total") / F.col("frequency")
-    variation = F.try_divide(_deviation(F.col("frequency"), F.col("total"), F.col("squares")), mean)
-    steady = (F.col("frequency") >= fv.RECURRING_MIN_ROWS) & (mean > 0) & (variation < fv.RECURRING_MAX_VARIATION)
-    return stats.where(steady).select(
-        "user_id", "vendor", mean.alias("amount"), "frequency", F.col("first_row.category").alias("category"),
-        F.lit("low").alias("severity"), F.col("first_row.first_seq").alias("first_seq"))
+    rows = expenses(flagged, excluded)
+    stats = with_spread(rows, ["user_id", "vendor"], F.min("first_seq").alias("first_seq"))
+    variation = F.try_divide(F.col("deviation"), F.col("mean"))
+    steady = stats.where((F.col("n") >= fv.RECURRING_MIN_ROWS) & (F.col("mean") > 0) & (variation < fv.RECURRING_MAX_VARIATION))
+    named = rows.groupBy("user_id", "vendor", "first_seq").agg(F.min("category").alias("category"))
+    return steady.join(named, ["user_id", "vendor", "first_seq"]).select(
+        "user_id", "vendor", F.col("mean").alias("amount"), F.col("n").alias("frequency"), "category", F.lit("low").alias("severity"), "first_seq")
 
 
 def anomalies(df: DataFrame, flagged: DataFrame, excluded: Sequence[str] = ()) -> DataFrame:

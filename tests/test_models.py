@@ -1,12 +1,15 @@
 """Ordered helpers, blocked comparisons, training, scoring and transfers against brute force."""
 
 import random
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from spendgrid.functions import vectors as V
+from spendgrid.operators import analytics as AN
 from spendgrid.operators import neighbours as K
 from spendgrid.operators import transfers as T
 from spendgrid.operators.encoding import batch_encoder, encode_distinct
@@ -192,3 +195,31 @@ def test_transfer_edge_cases(spark):
     assert got["a"].predicted_category == "Transfer in" and got["b"].predicted_category == "Transfer out"
     assert got["a"].matched_transfer_key == "to savings" and got["a"].original_category == "x"
     assert not any(got[k].adjusted for k in "cde")
+
+
+def test_transfer_segments_on_chains(spark):
+    """Sizes a fraction of a cent apart: what one segment takes changes what the next finds."""
+    rng = random.Random(12)
+    rows = [("t%04d" % k, 1, k, "x", "to savings", "x", rng.random() < 0.5, 10 + rng.randint(0, 12) * 0.004) for k in range(150)]
+    rows += [("h%04d" % k, 2, k, "x", "to savings", "x", k % 3 == 0, 20 + (k % 2) * 0.005) for k in range(90)]
+    df = spark.createDataFrame(rows, "tx_id string, user_id long, seq long, narrative string, cleaned_narrative string, predicted_category string, money_in boolean, amount double")
+    wanted = set()
+    for user in (1, 2):
+        free = [(r[2], r[0], r[7]) for r in rows if r[1] == user and not r[6]]
+        for r in (r for r in rows if r[1] == user and r[6]):
+            hit = next((e for e in free if abs(e[2] - r[7]) < 0.01), None)
+            if hit:
+                free.remove(hit)
+                wanted.add((r[0], hit[1]))
+    for batch in (1000, 30):
+        assert {tuple(r) for r in T.transfer_pairs(df, batch=batch).collect()} == wanted
+
+
+def test_moments_of_large_amounts(spark):
+    """Cents on top of amounts around 10^7: sums of squares would cancel."""
+    rng = random.Random(3)
+    rows = [(u, f"v{rng.randint(0, 2)}", f"c{rng.randint(0, 3)}", False, 1e7 + rng.randint(0, 99) / 100, k, datetime(2024, 1, 1)) for u in range(3) for k in range(200)]
+    df = spark.createDataFrame(rows, "user_id long, vendor string, category string, money_in boolean, amount_abs double, seq long, date timestamp")
+    got = {r.user_id: r for r in AN.with_spread(AN.spending_cube(df), ["user_id"]).collect()}
+    for r in df.groupBy("user_id").agg(F.stddev_samp("amount_abs").alias("s"), F.avg("amount_abs").alias("m")).collect():
+        assert got[r.user_id].deviation == pytest.approx(r.s, rel=1e-6) and got[r.user_id].mean == pytest.approx(r.m) and got[r.user_id].n == 200
