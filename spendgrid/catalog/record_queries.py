@@ -246,7 +246,7 @@ def _(spark, sf_dir):
     events = stream.select(F.concat(F.lit("job-"), F.col("user_id").cast("string"), F.lit("-"), F.get_json_object("props", "$.k")).alias("job_id"),
                            F.col("ts").alias("updated_at"), F.col("event_id").alias("event_seq"), status.alias("status"))
     path = scratch(spark, "job-state")
-    ST.run_updates(ST.job_state_stream(events), f"{path}/out", f"{path}/checkpoint")
+    ST.run_updates(ST.job_state_stream(events), f"{path}/out", f"{path}/checkpoint", ["job_id"])
     return ST.newest_updates(spark, f"{path}/out", ["job_id"]).select("job_id", "status", "event_seq")
 
 
@@ -254,5 +254,28 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     calls = _event_stream(spark, sf_dir).select(F.col("ts").alias("called_at"), "user_id")
     path = scratch(spark, "usage")
-    ST.run_updates(ST.usage_stream(calls), f"{path}/out", f"{path}/checkpoint")
+    ST.run_updates(ST.usage_stream(calls), f"{path}/out", f"{path}/checkpoint", ["day", "user_id"])
     return ST.newest_updates(spark, f"{path}/out", ["day", "user_id"]).withColumn("day", A.iso_date("day"))
+
+
+# --- statements -----------------------------------------------------------------------------------------------------
+
+@register("sql_scan", """
+calls AS (SELECT user_id, event_type, value FROM events WHERE event_type <> 'error' AND value >= 10)
+SELECT user_id, event_type, count(*) AS calls, max(value) AS most FROM calls GROUP BY ALL""")
+def _(spark, sf_dir):
+    return R.sql_rows(spark, "SELECT user_id, event_type, count(*) AS calls, max(value) AS most FROM {events} "
+                      "WHERE event_type <> :kind AND value >= :least GROUP BY user_id, event_type",
+                      {"kind": "error", "least": 10.0}, events=D.table(spark, sf_dir, "events"))
+
+
+@register("folded_results", """
+rows AS (SELECT event_id % 500 AS job_id, event_id AS event_seq, event_type AS status FROM events)
+SELECT job_id, max(event_seq) AS version, '{"event_seq":' || max(event_seq) || ',"status":"' || arg_max(status, event_seq) || '"}' AS results FROM rows GROUP BY job_id""")
+def _(spark, sf_dir):
+    # eight appends, folded whenever three batches wait
+    path = scratch(spark, "folded")
+    rows = D.table(spark, sf_dir, "events").select((F.col("event_id") % 500).alias("job_id"), F.col("event_id").alias("event_seq"), F.col("event_type").alias("status"))
+    for part in range(8):
+        K.append_results(rows.where(F.pmod(F.xxhash64("event_seq"), F.lit(8)) == part), path, "job_id", F.col("event_seq"), fold_after=2)
+    return K.read_results(spark, path, "job_id")

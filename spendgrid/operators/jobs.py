@@ -5,20 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spendgrid.sources.versions import newest_rows
+
 STATE = ("updated_at", "event_seq", "user_id", "status", "result_data", "error")
 
 
 def latest_state(events: DataFrame) -> DataFrame:
     """Newest event per job, whatever order the events arrived in."""
-    newest = events.groupBy("job_id").agg(F.max(F.struct(*STATE)).alias("s"))
-    return newest.select("job_id", *[F.col(f"s.{c}").alias(c) for c in STATE])
+    return newest_rows(events.select("job_id", *STATE), ["job_id"], ["updated_at", "event_seq"]).select("job_id", *STATE)
 
 
 def latest_by_key(rows: DataFrame, key: str, version: str) -> DataFrame:
     """The newest version of every key of an append-only table."""
-    others = [c for c in rows.columns if c not in (key, version)]
-    newest = rows.groupBy(key).agg(F.max(F.struct(version, *others)).alias("s"))
-    return newest.select(key, F.col(f"s.{version}").alias(version), *[F.col(f"s.{c}").alias(c) for c in others])
+    return newest_rows(rows, [key], [version])
 
 
 def status_view(state: DataFrame, requester: Column | None = None) -> DataFrame:

@@ -145,9 +145,15 @@ def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = No
     return reader.load()
 
 
-def read_table(spark: SparkSession, path: str, **equals) -> DataFrame:
-    """Parquet rows whose columns equal the given values (pushed down to the scan)."""
-    df = spark.read.parquet(path)
-    for name, value in equals.items():
-        df = df.where(F.col(name) == value)
-    return df
+def sql_rows(spark: SparkSession, text: str, args: dict | None = None, **tables: DataFrame) -> DataFrame:
+    """Rows of an SQL text with named parameters (``:name``) over DataFrames that stand in it as ``{name}``.
+
+    Parameters are values, never text of the statement; filters on them reach the scans like any others.
+    """
+    return spark.sql(text, args=args or {}, **tables)
+
+
+def partition_bounds(rows: DataFrame, column: str) -> tuple[int, int]:
+    """Least and greatest value of a numeric column, as bounds for :func:`read_jdbc`; (0, 0) for no rows."""
+    low, high = rows.agg(F.min(column), F.max(column)).first()
+    return (0, 0) if low is None else (int(low), int(high) + 1)

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendgrid.functions.amounts import direction_label
-from spendgrid.operators.jobs import latest_by_key
+from spendgrid.operators.jobs import latest_by_key, latest_state
 from spendgrid.session import cut_lineage
+from spendgrid.sources import versions
 
 MODEL_BUCKETS = 256
 
@@ -62,19 +63,29 @@ def read_models(spark: SparkSession, path: str, user_ids: Sequence[int] | None =
     return models.drop("user_buckets", "user_bucket")
 
 
-def append_results(results: DataFrame, path: str, key: str, version: Column) -> None:
-    """Append one JSON document per key with a version; :func:`read_results` shows the newest."""
+def append_results(results: DataFrame, path: str, key: str, version: Column, fold_after: int = versions.FOLD_AFTER) -> None:
+    """Append one JSON document per key with a version; :func:`read_results` shows the newest.
+
+    A long history is folded to the newest document of each key first, so reads stay bounded.
+    """
+    spark = results.sparkSession
+    versions.fold_if_long(spark, path, lambda rows: latest_by_key(rows, key, "version"), fold_after)
     fields = [c for c in results.columns if c != key]
-    results.select(key, version.alias("version"), F.to_json(F.struct(*fields)).alias("results")).write.mode("append").parquet(path)
+    versions.append(results.select(key, version.alias("version"), F.to_json(F.struct(*fields)).alias("results")), path)
 
 
 def read_results(spark: SparkSession, path: str, key: str) -> DataFrame:
-    return latest_by_key(spark.read.parquet(path), key, "version")
+    return latest_by_key(versions.read(spark, path), key, "version")
 
 
-def append_job_events(events: DataFrame, path: str) -> None:
+def append_job_events(events: DataFrame, path: str, fold_after: int = versions.FOLD_AFTER) -> None:
     """Status events are only ever added; the current state is the newest event of a job."""
-    events.write.mode("append").parquet(path)
+    versions.fold_if_long(events.sparkSession, path, lambda rows: versions.newest_rows(rows, ["job_id"], ["updated_at", "event_seq"]), fold_after)
+    versions.append(events, path)
+
+
+def read_job_state(spark: SparkSession, path: str) -> DataFrame:
+    return latest_state(versions.read(spark, path))
 
 
 def sheet_columns(results: DataFrame) -> DataFrame:

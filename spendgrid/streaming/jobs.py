@@ -2,33 +2,76 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from spendgrid.functions import text as X
 from spendgrid.operators.encoding import Encoder, char_encoder
 from spendgrid.plans.classify import classify
+from spendgrid.session import ship_package
+from spendgrid.sources import versions
+from spendgrid.sources.versions import newest_rows
+
+
+AVAILABLE = {"availableNow": True}
 
 
 def score_stream(transactions: DataFrame, model: DataFrame, target: str, checkpoint: str, encoder: Encoder = char_encoder,
-                 config: X.CleaningConfig = X.CleaningConfig()) -> StreamingQuery:
+                 config: X.CleaningConfig = X.CleaningConfig(), trigger: dict = AVAILABLE) -> StreamingQuery:
     """Score every micro-batch against a static model and append to ``target``.
 
-    Transfers are left out: pairing needs all rows of a key, not those of one batch.
+    ``trigger`` is what Spark's trigger takes, ``{"processingTime": "1 minute"}`` say.  Transfers are left
+    out: pairing needs all rows of a key, not those of one batch.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         scored = classify(batch, model, encoder=encoder, config=config, transfers=False)
         scored.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     return (transactions.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
-
-
-def job_state_stream(events: DataFrame) -> DataFrame:
-    """Newest status per job for update mode; late and out-of-order events cannot move a job back."""
-    return events.groupBy("job_id").agg(F.max(F.struct("updated_at", "event_seq", "status")).alias("s")).select(
-        "job_id", F.col("s.status").alias("status"), F.col("s.updated_at").alias("updated_at"), F.col("s.event_seq").alias("event_seq"))
+            .trigger(**trigger).start())
+
+
+FINISHED = ("COMPLETED", "FAILED")
+
+
+def _newest_of_job(retention_ms: int):
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        watermark = state.getCurrentWatermarkMs()
+        before = best = tuple(state.get) if state.exists else None
+        for frame in frames:
+            micros = frame["updated_at"].astype("datetime64[us]").astype("int64")
+            for row in zip(micros.tolist(), frame["event_seq"].tolist(), frame["status"].tolist()):
+                if row[0] >= watermark * 1000 and (best is None or row > best):
+                    best = row
+        if best is None:
+            return
+        if best != before:
+            state.update(best)
+            yield pd.DataFrame({"job_id": [key[0]], "updated_at": pd.to_datetime([best[0]], unit="us"), "event_seq": [best[1]], "status": [best[2]]})
+        if best[2] in FINISHED:
+            state.setTimeoutTimestamp(max(best[0] // 1000 + retention_ms, watermark + 1))
+    return step
+
+
+def job_state_stream(events: DataFrame, lateness: str = "1 hour", retention_ms: int = 86_400_000) -> DataFrame:
+    """Newest status per job for update mode; late and out-of-order events cannot move a job back.
+
+    A finished job leaves the state once the watermark is ``retention_ms`` past its last event.  Events
+    behind the watermark are dropped, so what comes for a job that has left is newer than all it had.
+    """
+    ship_package(events.sparkSession)
+    timed = events.select("job_id", F.col("updated_at").cast("timestamp").alias("updated_at"), F.col("event_seq").cast("long").alias("event_seq"), "status")
+    return timed.withWatermark("updated_at", lateness).groupBy("job_id").applyInPandasWithState(
+        _newest_of_job(retention_ms), "job_id string, updated_at timestamp, event_seq long, status string",
+        "updated_at long, event_seq long, status string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def usage_stream(calls: DataFrame, lateness: str = "1 hour") -> DataFrame:
@@ -38,19 +81,24 @@ def usage_stream(calls: DataFrame, lateness: str = "1 hour") -> DataFrame:
     return counted.select(F.col("window.start").alias("day"), "user_id", "requests")
 
 
-def run_updates(stream: DataFrame, target: str, checkpoint: str) -> None:
-    """Run an update-mode aggregation over what is available and keep every update with its batch."""
+def run_updates(stream: DataFrame, target: str, checkpoint: str, keys: list[str], fold_after: int = versions.FOLD_AFTER,
+                trigger: dict = AVAILABLE) -> StreamingQuery:
+    """Run an update-mode query over what is available; its updates are a table of versions by batch number.
+
+    A batch that runs again replaces itself.  Batches before it are folded to the newest update of each key
+    when they are many.
+    """
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        name = f"{batch_id:012d}"
+        versions.fold_if_long(batch.sparkSession, target, lambda rows: newest_rows(rows, keys, ["batch_id"]), fold_after, [name])
+        versions.append(batch.withColumn("batch_id", F.lit(batch_id).cast("long")), target, name)
 
     query = (stream.writeStream.outputMode("update").foreachBatch(keep)
-             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
     query.awaitTermination()
+    return query
 
 
 def newest_updates(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
     """The last update of every key."""
-    updates = spark.read.parquet(f"{target}/batch=*")
-    others = [c for c in updates.columns if c not in (*keys, "batch_id")]
-    newest = updates.groupBy(*keys).agg(F.max(F.struct("batch_id", *others)).alias("s"))
-    return newest.select(*keys, *[F.col(f"s.{c}").alias(c) for c in others])
+    return newest_rows(versions.read(spark, target), keys, ["batch_id"]).drop("batch_id")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from spendgrid.operators import analytics as N
 from spendgrid.operators import prepare as P
 from spendgrid.plans import analytics as R
 from spendgrid.plans import train as TR
-from spendgrid.sources import readers, sinks
+from spendgrid.sources import readers, sinks, versions
 from spendgrid.streaming import jobs as ST
 
 SMALL = "/root/testdata/sf0.001"
@@ -100,7 +101,7 @@ def test_file_sinks(spark, tmp_path):
     events = spark.createDataFrame([("j", 1)], "job_id string, n int")
     sinks.append_job_events(events, str(tmp_path / "jobs"))
     sinks.append_job_events(events, str(tmp_path / "jobs"))
-    assert spark.read.parquet(str(tmp_path / "jobs")).count() == 2
+    assert versions.read(spark, str(tmp_path / "jobs")).count() == 2
 
 
 def test_stream_scoring_equals_batch(spark, tmp_path):
@@ -144,3 +145,53 @@ def test_registered_queries(spark):
 def test_schemas():
     assert schema.LABELLED["description"].nullable is False
     assert "transactions" in schema.ANALYTICS_REQUEST.names
+
+
+def test_folds_keep_answers_and_bound_files(spark, tmp_path):
+    path = str(tmp_path / "versions")
+    with pytest.raises(FileNotFoundError):
+        versions.read(spark, path)
+    want = {}
+    for batch in range(7):
+        rows = [(k, batch * 10 + k % 3, f"s{batch}-{k}") for k in range(batch, 20 + batch)]
+        want |= {k: (v, s) for k, v, s in rows if k not in want or (v, s) > want[k]}
+        sinks.append_results(spark.createDataFrame(rows, "k long, v long, s string"), path, "k", F.col("v"), fold_after=2)
+        got = {r.k: r.version for r in sinks.read_results(spark, path, "k").collect()}
+        assert got == {k: v for k, (v, _) in want.items()}
+        assert len(versions.waiting(spark, path)) <= 3
+    folders = [p for p in (tmp_path / "versions").glob("*/*") if p.is_dir()]
+    assert len(folders) <= 2 * 3 + 4 + 3
+    # a fold whose list of batches was never written does not count, and a retried batch replaces itself
+    before = sorted(map(tuple, sinks.read_results(spark, path, "k").collect()))
+    spark.createDataFrame([(1, 999, "x")], "k long, version long, results string").write.parquet(f"{path}/base/fold=99")
+    assert sorted(map(tuple, sinks.read_results(spark, path, "k").collect())) == before
+    one = spark.createDataFrame([(500, 1, "y")], "k long, version long, results string")
+    assert versions.append(one, path, "again") == versions.append(one, path, "again")
+    assert versions.read(spark, path).where("k = 500").count() == 1
+
+
+def test_finished_jobs_leave_the_state(spark, tmp_path):
+    def write(number, rows):
+        frame = spark.createDataFrame([(j, datetime(2024, 1, d, h), s, st) for j, d, h, s, st in rows], "job_id string, updated_at timestamp, event_seq long, status string")
+        frame.coalesce(1).write.parquet(str(tmp_path / "in" / f"part{number}"))
+
+    def run():
+        stream = spark.readStream.schema("job_id string, updated_at timestamp, event_seq long, status string").option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        query = ST.run_updates(ST.job_state_stream(stream), str(tmp_path / "out"), str(tmp_path / "checkpoint"), ["job_id"], fold_after=1)
+        sizes = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+        return sizes[-1], {r.job_id: r.status for r in ST.newest_updates(spark, str(tmp_path / "out"), ["job_id"]).collect()}
+
+    write(1, [("a", 1, 1, 1, "PENDING"), ("a", 1, 3, 3, "COMPLETED"), ("a", 1, 2, 2, "PROCESSING"), ("b", 1, 1, 4, "PENDING")])
+    size, now = run()
+    assert size == 2 and now == {"a": "COMPLETED", "b": "PENDING"}
+    write(2, [("c", 5, 1, 5, "PENDING")])
+    run()
+    write(3, [("a", 1, 4, 9, "PROCESSING"), ("b", 5, 2, 6, "PROCESSING")])  # the first is far behind the watermark
+    size, now = run()
+    assert now == {"a": "COMPLETED", "b": "PROCESSING", "c": "PENDING"} and size == 2  # a is gone
+
+
+def test_sql_rows_and_bounds(spark):
+    df = spark.createDataFrame([(1, "x'y"), (5, "z")], "id long, name string")
+    assert [r.id for r in readers.sql_rows(spark, "SELECT id FROM {t} WHERE name = :n", {"n": "x'y"}, t=df).collect()] == [1]
+    assert readers.partition_bounds(df, "id") == (1, 6) and readers.partition_bounds(df.limit(0), "id") == (0, 0)
