@@ -308,6 +308,13 @@ def _(spark, sf_dir):
                          "first_transaction", "last_transaction", "monthly_estimate")
 
 
+@register("subscription_ranking", SUMMARY + """
+SELECT user_id, vendor, cost AS projected_annual_cost, row_number() OVER (PARTITION BY user_id ORDER BY cost DESC, first_seq, vendor) AS rank FROM rounded_detail""")
+def _(spark, sf_dir):
+    rows = flagged(spark, sf_dir)
+    return N.ranked_subscriptions(N.subscription_detail(rows, N.recurring_vendors(rows))).select("user_id", "vendor", "projected_annual_cost", "rank")
+
+
 @register("subscription_summary", SUMMARY + " SELECT * FROM summary")
 def _(spark, sf_dir):
     rows = flagged(spark, sf_dir)

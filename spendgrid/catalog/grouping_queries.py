@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spendgrid.catalog import domain as D
 from spendgrid.catalog import text_sql as S
+from spendgrid.catalog.text_sql import COMMON
 from spendgrid.catalog.domain_sql import MODEL, TX
 from spendgrid.functions import text as X
 from spendgrid.operators import components as CC
@@ -114,14 +115,6 @@ ALL_NAMES = """,
 members AS (SELECT pos, 0 AS part FROM names), sims AS (SELECT * FROM cosines)"""
 SETTLED = " SELECT n.name, r.name AS representative FROM names n JOIN settled USING (pos) JOIN names r ON r.pos = settled.rep"
 
-# Longest common subsequences of the texts in pairs(a, b, x, y), a letter of y a step; v has a bit for every letter of x.
-COMMON = """,
-letters AS MATERIALIZED (SELECT x, c, bit_or(1::HUGEINT << (i - 1)::INT) AS mask FROM (SELECT DISTINCT x, unnest(string_split(x, '')) AS c, unnest(range(1, length(x) + 1)) AS i FROM texts) GROUP BY ALL),
-common(x, y, k, v) AS (SELECT DISTINCT x, y, 1, (1::HUGEINT << length(x)::INT) - 1 FROM texts UNION ALL
-  SELECT common.x, y, k + 1, ((v + (v & coalesce(mask, 0::HUGEINT))) | (v - (v & coalesce(mask, 0::HUGEINT)))) & ((1::HUGEINT << length(common.x)::INT) - 1)
-  FROM common LEFT JOIN letters ON letters.x = common.x AND letters.c = substr(y, k, 1) WHERE k <= length(y)),
-ratios AS MATERIALIZED (SELECT x, y, 2.0::DOUBLE * (length(x) - bit_count(v)) / (length(x) + length(y)) AS ratio FROM common WHERE k = length(y) + 1)"""
-
 # Average linkage: all mutually nearest groups within the distance merge in a step.
 LINKAGE = """,
 linked(pos, label) AS (SELECT pos, pos FROM names UNION ALL (

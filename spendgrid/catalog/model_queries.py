@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spendgrid.catalog import domain as D
 from spendgrid.catalog import text_sql as S
+from spendgrid.catalog.text_sql import COMMON
 from spendgrid.catalog.domain_sql import BLENDED, MODEL, NAMES, TX
 from spendgrid.functions import text as X
 from spendgrid.functions import vectors as V
@@ -14,7 +15,9 @@ from spendgrid.operators import transfers as T
 from spendgrid.operators.cleaning import with_cleaned
 from spendgrid.operators.encoding import encode_distinct
 from spendgrid.plans import classify as C
+from spendgrid.operators.ordered import dense_position
 from spendgrid.plans import train as TR
+from spendgrid.session import cut_lineage
 
 QUERIES = {}
 ORACLES = {}
@@ -88,13 +91,34 @@ def _(spark, sf_dir):
     return K.dimension_mismatch(rows, D.labelled_vectors(spark, sf_dir)).drop("user_id")
 
 
-@register("text_ratio")
+@register("text_ratio", "texts AS MATERIALIZED (SELECT p_partkey, p_name AS x, lower(p_type) || ' ' || p_name AS y FROM part)" + COMMON + """
+SELECT p_partkey, ratio FROM texts JOIN ratios USING (x, y)""")
 def _(spark, sf_dir):
     parts = D.table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("a"),
                                                   F.concat_ws(" ", F.lower("p_type"), "p_name").alias("b"))
     return parts.select("p_partkey", V.similarity_ratio("a", "b").alias("ratio"))
 
 
+# Names next to one another; every third name has no vector, every fifth one of another length.
+@register("pair_similarity", COUNTS + """,
+placed AS MATERIALIZED (SELECT name, lead(name) OVER (ORDER BY name) AS other FROM (SELECT DISTINCT name FROM names)),
+texts AS MATERIALIZED (SELECT name AS x, other AS y FROM placed WHERE other IS NOT NULL)""" + COMMON + """,
+dots AS (SELECT x, y, sum(p.n * q.n)::DOUBLE AS d FROM texts JOIN chars p ON p.name = x JOIN chars q ON q.name = y AND q.code = p.code GROUP BY ALL),
+norms AS (SELECT name, sqrt(sum(n * n)::DOUBLE) AS norm FROM chars GROUP BY name)
+SELECT x AS name, y AS other, round(CASE WHEN length(x) % 3 = 0 OR length(y) % 3 = 0 OR (length(x) % 5 = 0) <> (length(y) % 5 = 0) THEN ratio
+  ELSE coalesce(d, 0) / (p.norm * q.norm) END, 9) AS similarity
+FROM texts JOIN ratios USING (x, y) LEFT JOIN dots USING (x, y) JOIN norms p ON p.name = x JOIN norms q ON q.name = y""")
+def _(spark, sf_dir):
+    names = encode_distinct(D.merchant_names(spark, sf_dir).select("name").distinct(), "name")
+    size = F.length("name")
+    vector = F.when(size % 3 == 0, F.lit(None)).when(size % 5 == 0, F.slice("vector", 1, 255)).otherwise(F.col("vector"))
+    placed = dense_position(names.withColumn("vector", vector).withColumn("_all", F.lit(0)), ["_all"], ["name"], "pos")
+    placed = cut_lineage(placed.select("pos", "name", "vector"))
+    after = placed.select((F.col("pos") - 1).alias("pos"), F.col("name").alias("other"), F.col("vector").alias("next"))
+    both = placed.join(after, "pos")
+    return both.select("name", "other", F.round(V.similarity_or_ratio("vector", "next", "name", "other"), 9).alias("similarity"))
+
+
 # --- neighbours --------------------------------------------------------------------------------------------
 
 KNN = MODEL + "," + BLENDED + """,
@@ -234,7 +258,12 @@ def _(spark, sf_dir):
                           F.col("adjustment_info.is_low_confidence").alias("is_low_confidence"))
 
 
-@register("train_model")
+@register("train_model", INDEX + """,
+letters AS (SELECT description, ord(c) % 256 AS code, count(*) AS n FROM (SELECT description, unnest(string_split(lower(description), '')) AS c FROM (SELECT DISTINCT description FROM index0)) WHERE c <> '' GROUP BY ALL),
+vectors AS MATERIALIZED (SELECT description, map_from_entries(list((code, n))) AS counts, sum(n) AS total, max(n) / sum(n) AS largest FROM letters GROUP BY description),
+scales AS (SELECT user_id, max(largest) / 127.0::DOUBLE AS scale FROM index0 JOIN vectors USING (description) GROUP BY user_id)
+SELECT user_id, item_id, description, category, scale, list_transform(range(256), lambda k: trunc(coalesce(counts[k], 0) / total / scale)::BIGINT) AS codes
+FROM index0 JOIN vectors USING (description) JOIN scales USING (user_id)""")
 def _(spark, sf_dir):
     return TR.train(labelled(spark, sf_dir))
 

@@ -110,3 +110,10 @@ def text_ratio(a: str, b: str) -> float:
 def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Insert/delete similarity of two text columns (no built-in has this edit cost)."""
     return pd.Series([None if x is None or y is None else text_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
+def similarity_or_ratio(a: Column | str, b: Column | str, left: Column | str, right: Column | str) -> Column:
+    """Cosine of two vectors, or the text ratio of a pair that lacks a vector or has vectors of unequal length."""
+    usable = _col(a).isNotNull() & _col(b).isNotNull() & (F.size(_col(a)) == F.size(_col(b)))
+    text = F.when(~F.coalesce(usable, F.lit(False)), _col(left))  # the ratio is computed where it counts
+    return F.when(usable, cosine(a, b)).otherwise(similarity_ratio(text, _col(right)))

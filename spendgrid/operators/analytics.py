@@ -255,6 +255,12 @@ def rounded_subscriptions(detail: DataFrame) -> DataFrame:
     return rounded(detail, ["average_amount", "total_spent_so_far", "projected_annual_cost", "monthly_estimate"])
 
 
+def ranked_subscriptions(detail: DataFrame) -> DataFrame:
+    """Subscriptions of each user by projected cost, dearest first; a user's recurring vendors, never transactions."""
+    order = W.partitionBy("user_id").orderBy(F.desc("projected_annual_cost"), "first_seq", "vendor")
+    return rounded_subscriptions(detail).withColumn("rank", F.row_number().over(order))
+
+
 def subscription_summary(detail: DataFrame) -> DataFrame:
     """Count, totals and the most expensive subscription per user (from the rounded detail)."""
     summed = rounded_subscriptions(detail).groupBy("user_id").agg(

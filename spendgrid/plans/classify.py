@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spendgrid import fixed_values as fv
 from spendgrid.functions import text as X
 from spendgrid.operators import neighbours as K
+from spendgrid.operators.cleaning import with_cleaned
 from spendgrid.operators.encoding import Encoder, char_encoder, encode_distinct
 from spendgrid.operators.prepare import finite_amounts, valid_descriptions
 from spendgrid.operators.transfers import pair_transfers
@@ -76,7 +77,7 @@ def score(df: DataFrame, model: DataFrame, encoder: Encoder = char_encoder,
     """
     rows = finite_amounts(valid_descriptions(df)).select(
         "tx_id", "user_id", "seq", F.col("description").alias("narrative"), "money_in", "amount")
-    rows = rows.withColumn("cleaned_narrative", X.clean_description("narrative", config))
+    rows = with_cleaned(rows, "narrative", config, "cleaned_narrative")
     texts = cut_lineage(rows.select("user_id", F.col("cleaned_narrative").alias("text")).distinct())
     encoded = cut_lineage(encode_distinct(texts, "text", encoder))  # compared and scored, encoded once
     vectors = model_vectors(model)

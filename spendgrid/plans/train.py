@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spendgrid import fixed_values as fv
 from spendgrid.functions import text as X
 from spendgrid.functions import vectors as V
+from spendgrid.operators.cleaning import with_cleaned
 from spendgrid.operators.encoding import Encoder, char_encoder, encode_distinct
 from spendgrid.operators.ordered import dense_position
 from spendgrid.operators.prepare import enough_rows, rejected_descriptions, too_few_rows, truncated, valid_descriptions
@@ -23,7 +24,7 @@ def training_index(labelled: DataFrame, config: X.CleaningConfig = X.CleaningCon
     The first row is an aggregate with partial combination, not a window over the copies.
     """
     rows = enough_rows(valid_descriptions(labelled)).where(F.col("category").isNotNull())
-    cleaned = rows.withColumn("description", X.clean_description("description", config))
+    cleaned = with_cleaned(rows, "description", config, "_cleaned").drop("description").withColumnRenamed("_cleaned", "description")
     first = cleaned.groupBy("user_id", "description").agg(
         F.min(F.struct("seq", "category")).alias("f"))
     first = first.select("user_id", F.col("f.seq").alias("seq"), "description", F.col("f.category").alias("category"))
