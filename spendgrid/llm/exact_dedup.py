@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendgrid.llm.shared import once_each, ship, small_side, stored, text_of
+from spendgrid.llm.shared import apart, once_each, ship, small_side, stored, text_of
 
 QUOTIENT_BITS = 14  # quotients in a slice
 SLICE_ROWS = 1 << 20  # fingerprints of a slice, about; the number of slices follows the number of rows
@@ -154,6 +154,7 @@ def exact_copies(docs: DataFrame) -> DataFrame:
         (~grouped | (F.col("row") == F.col("keep_row"))).alias("kept"), "text_sha256")
 
 
+@apart
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows that repeat id and text one stays."""
     found = exact_copies(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spendgrid.llm.shared import stored, text_of
+from spendgrid.llm.shared import apart, stored, text_of
 
 BLOCK_ROWS = 1024
 ENTROPY = 0.97
@@ -154,6 +154,7 @@ def mix(docs: DataFrame, budget: float | None = BUDGET, entropy: float | None =
     return each.select("doc_id", "source", "n_tokens", "weight", "block", "copies")
 
 
+@apart
 def mixed_documents(docs: DataFrame, budget: float | None = BUDGET, entropy: float | None = ENTROPY,
                     repeats: float | None = REPEATS) -> DataFrame:
     """The rows of ``docs``, each as often as it is taken, with all their columns."""

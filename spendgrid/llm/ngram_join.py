@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendgrid.llm.exchange import BLOCK_KEYS, RANGE_KEYS, part_of, repeated_hashes
-from spendgrid.llm.shared import once_each, ship, small_side, stored, text_of
+from spendgrid.llm.shared import apart, once_each, ship, small_side, stored, text_of
 from spendgrid.llm.words import Words, chunks, joined, mixed
 from spendgrid.operators.components import connected_components
 
@@ -293,6 +293,7 @@ def similar_groups(docs: DataFrame, gram: int = GRAM) -> DataFrame:
         "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("lowest")).alias("component_id"))
 
 
+@apart
 def one_of_each(docs: DataFrame, gram: int = GRAM) -> DataFrame:
     """The rows of ``docs`` whose id is that of their component, with all their columns; of repeated rows one."""
     kept = (similar_groups(docs, gram).where(F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendgrid.llm.shared import ship, text_of
+from spendgrid.llm.shared import apart, ship, text_of
 from spendgrid.llm.words import Words, chunks
 
 WORD_BUCKETS = 1 << 16
@@ -166,6 +166,7 @@ def rated(docs: DataFrame, model: Ordinal, keep_from: float = KEEP_FROM) -> Data
                                                  (F.col("_rating.top_chance") >= keep_from).alias("kept")))
 
 
+@apart
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with all their columns."""
     return rated(docs, train(docs, graded(labels))).where("_rating.kept").drop("_rating")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -106,6 +108,23 @@ def once_each(rows: DataFrame, docs: DataFrame) -> DataFrame:
             .unionByName(rows.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"])))
 
 
+def apart(step: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Run a step that returns rows of ``docs`` so that no column of ``docs`` clashes with its helpers, which begin with ``_``."""
+    @wraps(step)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        taken, back = {c.lower() for c in docs.columns}, {}
+        for name in docs.columns:
+            if name.startswith("_"):
+                own = f"x{name}"
+                while own.lower() in taken:
+                    own = f"x{own}"
+                taken.add(own.lower())
+                back[own] = name
+        renamed = docs.withColumnsRenamed({name: own for own, name in back.items()})
+        return step(renamed, *args, **options).withColumnsRenamed(back)
+    return run
+
+
 def ship(spark: SparkSession) -> None:
     """Python functions find this package on the executors."""
     ship_package(spark)

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
-from spendgrid.llm import anchor_dedup, collocations, license_scan, ngram_join, queries, suffix_dedup, turn_repair
+from spendgrid.llm import anchor_dedup, collocations, exact_dedup, license_scan, mixing, ngram_join, quality, queries, suffix_dedup, turn_repair
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
@@ -263,3 +263,16 @@ def test_texts_built_to_agree_in_sums_of_powers(spark):
     assert want[0] == want[1] == 0 and {r.doc_id: r.n_removed for r in suffix_dedup.repeats(docs).collect()} == want
     assert {r.doc_id: r.n_removed for r in anchor_dedup.repeats(docs).collect()} == {0: 0, 1: 0, 2: 0, 3: 0}
     assert {r.doc_id: r.component_id for r in ngram_join.similar_groups(docs).collect()} == {0: 0, 1: 1, 2: 2, 3: 3}
+
+
+def test_columns_that_clash_with_helpers(spark):
+    names = ["_id", "_ID2", "_twice", "_sha", "_copy", "_copies", "_source", "_rating", "x_id"]
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("source", T.StringType()),
+                           *(T.StructField(c, T.StringType()) for c in names)])
+    rows = [(1, "one two three four five six", "a"), (2, "one two three four five six", "a"), (None, None, None), (3, "", "b"), (3, "", "b"), (4, "seven eight", "b")]
+    docs = spark.createDataFrame([(*r, *(f"{c}{k}" for c in names)) for k, r in enumerate(rows)], schema)
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(1, 5)], "doc_id long, quality int, toxic int")
+    for step in (lambda d: exact_dedup.drop_copies(d), lambda d: ngram_join.one_of_each(d), lambda d: mixing.mixed_documents(d, budget=None), lambda d: quality.keep_good(d, labels)):
+        got = step(docs)
+        assert got.columns == docs.columns
+        assert all(r[c].startswith(c) for r in got.collect() for c in names)
