@@ -20,7 +20,8 @@ from spendgrid.session import local_session
 HEADLINE = (
     "vendor_top10", "outliers", "recurring_vendors", "subscription_detail", "category_savings", "cash_flow",
     "clean_full", "reduction_ratio", "train_model", "classify_transactions", "knn_top5", "transfers",
-    "group_similarity", "group_dbscan", "categorise_universal", "api_key_chain", "job_status", "stream_usage",
+    "group_similarity", "group_dbscan", "group_hierarchical", "group_fuzzy", "group_similarity_by_user",
+    "categorise_universal", "grouping_grid", "api_key_chain", "job_status", "stream_usage",
 )
 
 
