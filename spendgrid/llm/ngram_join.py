@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendgrid.llm.exchange import BLOCK_KEYS, RANGE_KEYS, part_of, repeated_hashes
-from spendgrid.llm.shared import apart, once_each, ship, small_side, stored, text_of
+from spendgrid.llm.shared import apart, discard, once_each, ship, small_side, stored, text_of
 from spendgrid.llm.words import Words, chunks, joined, mixed
 from spendgrid.operators.components import connected_components
 
@@ -227,7 +227,7 @@ def _components(links: DataFrame) -> DataFrame:
     return connected_components(links)
 
 
-def _links(ranked: DataFrame) -> DataFrame:
+def _links(ranked: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """Links between different sets that hold all components together."""
     pivots = _cut(ranked)
     segments = ranked.select("node", "ranks").mapInArrow(_segments(pivots), "node long, fragment int, segment array<long>")
@@ -246,9 +246,9 @@ def _links(ranked: DataFrame) -> DataFrame:
     labelled = (entries.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
                 .select("rank", "node", "n", "unshared", "component"))
     mixed_lists = labelled.groupBy("rank").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("rank")
-    rest = stored(labelled.join(mixed_lists, "rank", "left_semi"), "shingle-rest")
-    vectors = ranked.select("node", sizes.alias("sizes")).join(rest.select("node").distinct(), "node", "left_semi")
-    rest = stored(rest.join(vectors, "node"), "shingle-open")
+    shared_rest = stored(labelled.join(mixed_lists, "rank", "left_semi"), "shingle-rest")
+    vectors = ranked.select("node", sizes.alias("sizes")).join(shared_rest.select("node").distinct(), "node", "left_semi")
+    rest = stored(shared_rest.join(vectors, "node"), "shingle-open")
     x, y = rest.alias("x"), rest.alias("y")
     least_both = (F.col("x.n") + F.col("y.n")) * SIMILARITY / (100 + SIMILARITY)
     most_both = F.least(F.col("x.n") - F.col("x.unshared"), F.col("y.n") - F.col("y.unshared"))
@@ -257,7 +257,7 @@ def _links(ranked: DataFrame) -> DataFrame:
              & (F.col("x.component") != F.col("y.component")) & (F.col("x.node") < F.col("y.node")))
     others = (x.join(y, (F.col("x.rank") == F.col("y.rank")) & close)
               .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).distinct())
-    return links.unionByName(_similar(others, ranked, segments))
+    return links.unionByName(_similar(others, ranked, segments)), [links, components, shared_rest, rest]
 
 
 def similar_groups(docs: DataFrame, gram: int = GRAM) -> DataFrame:
@@ -283,8 +283,18 @@ def similar_groups(docs: DataFrame, gram: int = GRAM) -> DataFrame:
         counted = (packed.select("block", "keys").mapInPandas(_block_keys(ranges), "part long, block long, keys binary, counts binary")
                    .groupBy("part").applyInPandas(_frequencies, "block long, keys binary, counts binary"))
         ranked = stored(packed.groupBy("block").cogroup(counted.groupBy("block")).applyInPandas(_rank, _RANKED), "shingle-ranked")
-        labels = stored(_components(stored(_links(ranked), "shingle-all-links")), "shingle-labels") if ranked.limit(1).count() else (
-            spark.createDataFrame([], "node long, component long"))
+        discard(left)
+        discard(packed)
+        if ranked.limit(1).count():
+            links, used = _links(ranked)
+            links = stored(links, "shingle-all-links")
+            for table in used:
+                discard(table)
+            labels = stored(_components(links), "shingle-labels")
+            discard(links)
+        else:
+            labels = spark.createDataFrame([], "node long, component long")
+        discard(ranked)
     keyed = sets.join(labels, "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "node").alias("key"),
         F.when(F.col("component").isNull(), F.col("second")).otherwise(F.lit(0)).alias("key2"))
