@@ -1,6 +1,10 @@
 """The document pipeline: classify, drop exact copies, keep one of similar texts, mix the sources, encode.
 
 Every stage takes ``(spark, docs, sf_dir)``.  All but the last return the columns of the documents table.
+
+Null texts count as empty, null ids and sources as values of their own; of rows that repeat id and text one stays after the
+second stage; equal texts keep the longest original, then the smallest id; empty tables give empty results; further columns
+are kept by all but the last stage, whatever their names.  Long texts are read whole.
 """
 
 from __future__ import annotations
