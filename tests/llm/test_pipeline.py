@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from spendgrid.llm import pieces
 from spendgrid.llm.shared import documents, stored
@@ -32,3 +34,21 @@ def test_stages(spark):
             coder = pieces.codec(pieces.read_model())
             assert all(coder.decode(r.ids) == before[r.doc_id] and r.round_trip for r in rows)
     assert seen == ["quality", "exact", "similar", "mix", "encode"] and len(ids) > 100
+
+
+def test_stages_on_odd_rows(spark):
+    folder = "/root/testdata/sf0.001"
+    schema = documents(spark, folder).schema
+    text = "one two three four five six seven eight"
+    rows = [(None, text, "en", None, 3), (1, text, None, "a", None), (1, text, None, "a", None), (2, None, "en", "a", 0), (3, "", None, None, 0),
+            (4, " \t", "en", "b", 2), (5, "word " * 60_000, "en", "b", 300_000)]
+    for given in (rows, []):
+        docs = spark.createDataFrame(given, schema).withColumn("_id", F.lit("kept"))
+        for name, stage in corpus_pipeline.STAGES:
+            columns, docs = docs.columns, stored(stage(spark, docs, folder), f"odd-{name}")
+            found = docs.collect()
+            assert len(found) <= 8 and (given or not found)
+            if name != "encode":
+                assert docs.columns == columns and all(r["_id"] == "kept" for r in found)
+            if name == "exact":
+                assert len({(r.text or "").replace(" ", "").replace("\t", "") for r in found}) == len(found)
