@@ -268,9 +268,30 @@ def _(spark, sf_dir):
     return TR.train(labelled(spark, sf_dir))
 
 
-@register("classify_quantised")
+# The whole job: the model holds codes of eight bits, and results are paired as transfers.
+QUANTISED = CLASSIFIED.replace("model_chars AS MATERIALIZED", "model_chars0 AS MATERIALIZED").replace("model_norms AS (", """model_totals AS (SELECT user_id, item_id, sum(n) AS total, max(n) / sum(n) AS largest FROM model_chars0 GROUP BY ALL),
+model_scales AS (SELECT user_id, max(largest) / 127.0::DOUBLE AS scale FROM model_totals GROUP BY user_id),
+model_chars AS MATERIALIZED (SELECT c.user_id, c.item_id, category, code, trunc(n / total / scale)::BIGINT AS n
+  FROM model_chars0 c JOIN model_totals t ON t.user_id = c.user_id AND t.item_id = c.item_id JOIN model_scales s ON s.user_id = c.user_id),
+model_norms AS (""", 1) + """,
+positions AS (SELECT *, row_number() OVER (PARTITION BY user_id, cleaned, cents, money_in ORDER BY seq, tx_id) AS p
+  FROM (SELECT *, round(abs(amount) * 100)::BIGINT AS cents FROM scored WHERE amount IS NOT NULL AND money_in IS NOT NULL AND length(cleaned) > 0)),
+pairs AS (SELECT i.tx_id AS income_id, e.tx_id AS expense_id FROM positions i JOIN positions e
+  ON i.user_id = e.user_id AND i.cleaned = e.cleaned AND i.cents = e.cents AND i.p = e.p AND i.money_in AND NOT e.money_in),
+partners AS (SELECT income_id AS tx_id, expense_id AS partner FROM pairs UNION ALL SELECT expense_id, income_id FROM pairs)"""
+
+
+@register("classify_quantised", QUANTISED + """
+SELECT tx_id, CASE WHEN partner IS NULL THEN predicted_category WHEN money_in THEN 'Transfer in' ELSE 'Transfer out' END AS predicted_category,
+  round(similarity_score, 6) AS similarity_score, second_predicted_category, round(second_similarity_score, 6) AS second_similarity_score, is_low_confidence,
+  partner IS NOT NULL AS adjusted, CASE WHEN partner IS NOT NULL THEN predicted_category END AS original_category,
+  CASE WHEN partner IS NOT NULL THEN 'Paired with ' || CASE WHEN money_in THEN 'expense ' ELSE 'income ' END || partner || ' (Amount Match)' END AS transfer_detection_reason
+FROM scored LEFT JOIN partners USING (tx_id)""")
 def _(spark, sf_dir):
-    return C.classify(unlabelled(spark, sf_dir), TR.train(labelled(spark, sf_dir)))
+    results = C.classify(unlabelled(spark, sf_dir), TR.train(labelled(spark, sf_dir)))
+    info = [F.col(f"adjustment_info.{c}").alias(c) for c in ("is_low_confidence", "adjusted", "original_category", "transfer_detection_reason")]
+    return results.select("tx_id", "predicted_category", F.round("similarity_score", 6).alias("similarity_score"), "second_predicted_category",
+                          F.round("second_similarity_score", 6).alias("second_similarity_score"), *info)
 
 
 # --- transfers ---------------------------------------------------------------------------------------------------
