@@ -203,7 +203,7 @@ def _conversations():
     return rows
 
 
-@pytest.mark.parametrize("block, fixups", [(4096, 6), (1, 50), (2, 0), (7, 1), (40, 3)])
+@pytest.mark.parametrize("block, fixups", [(4096, 6), (2, 8), (5, 0), (40, 3)])
 def test_turn_repair(spark, block, fixups):
     rows = _conversations()
     groups = {c: [] for c in {r[0] for r in rows}}
