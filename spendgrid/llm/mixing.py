@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spendgrid.llm.shared import apart, stored, text_of
+from spendgrid.llm.shared import apart, small_side, stored, text_of
+from spendgrid.operators.ordered import running_sum
 
 BLOCK_ROWS = 1024
 ENTROPY = 0.97
@@ -126,15 +127,26 @@ def source_weights(rows: DataFrame, budget: float | None = BUDGET, entropy: floa
     return spark.createDataFrame(out, "source string, rows long, tokens long, weight double, quota long, passes long, rest long")
 
 
+def _block_starts(totals: DataFrame) -> DataFrame:
+    """``totals`` with ``before``: tokens of the blocks that come before in the permutation of the source.
+
+    One order over all sources, summed in ranges, so that the blocks of a hot source fill many tasks.
+    """
+    ordered = totals.withColumn("_turn", F.md5(F.concat_ws(":", F.lit(SEED), "source", "block")))
+    summed = running_sum(ordered, ["source", "_turn", "block"], F.col("in_block"), "_up_to")
+    first = summed.groupBy(F.col("source").alias("_of")).agg(F.min(F.col("_up_to") - F.col("in_block")).alias("_first"))
+    joined = summed.join(first, F.col("source").eqNullSafe(F.col("_of")))
+    return joined.select("source", "block", "in_block", (F.col("_up_to") - F.col("in_block") - F.col("_first")).alias("before"))
+
+
 def permuted_copies(rows: DataFrame, weights: DataFrame) -> DataFrame:
     """``rows`` with ``weight, copies, start``: how often each is taken, and where it begins in its source's permutation."""
-    weights = F.broadcast(weights.withColumnRenamed("source", "_source"))
+    weights = small_side(weights.withColumnRenamed("source", "_source"), weights.count())
     placed = rows.join(weights, rows["source"].eqNullSafe(weights["_source"])).drop("_source")
     blocks = F.ceil(F.col("rows") / BLOCK_ROWS)
     placed = placed.withColumn("block", F.pmod(F.conv(F.substring("place", 1, 8), 16, 10).cast("long"), blocks))
     totals = placed.groupBy("source", "block").agg(F.sum(F.col("n_tokens") * F.col("same")).alias("in_block"))
-    order = Window.partitionBy("source").orderBy(F.md5(F.concat_ws(":", F.lit(SEED), "source", "block")), "block")
-    totals = totals.select("source", "block", "in_block", (F.sum("in_block").over(order) - F.col("in_block")).alias("before"))
+    totals = _block_starts(totals)
     totals = totals.withColumnsRenamed({"source": "_source", "block": "_block"})
     joined = placed.join(totals, placed["source"].eqNullSafe(totals["_source"]) & (placed["block"] == totals["_block"])).drop("_source", "_block")
     inside = Window.partitionBy("source", "block").orderBy("place", "doc_id", "text_sha256")

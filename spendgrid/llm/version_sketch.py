@@ -1,7 +1,8 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs.
 
-A text is cut into paragraphs: its lines, long lines again into runs of :data:`PIECE_BYTES` bytes.  The digest of a
-paragraph (with the number of its earlier occurrences, so that repeats count) goes to three cells of a table; a cell
+A text is cut into paragraphs: its lines, and lines again where a hash of the last :data:`WINDOW` bytes says so, so that
+an insertion moves no cut but those next to it.  Cuts of a line are more than :data:`LEAST` bytes apart; what is left
+without a cut for :data:`GREATEST` bytes is cut there.  The digest of a paragraph (with the number of its earlier occurrences, so that repeats count) goes to three cells of a table; a cell
 holds a counter and the exclusive-or of digests and of their checks.  The tables of two versions are subtracted and
 peeled: cells that hold one digest give it away, until none is left.  Where peeling stops early, both tables are built
 again four times as large.  The fingerprint is the table of the smallest size.
@@ -25,9 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendgrid.llm.shared import ship, stored, text_bytes, text_of
-from spendgrid.llm.words import chunks, mixed, range_hash
+from spendgrid.llm.words import chunks, eights, mixed, word_hash
 
-PIECE_BYTES = 64
+WINDOW = 8
+CUT_MASK = np.uint64(31)  # one place in 32 is a cut
+LEAST, GREATEST = 16, 256
 CELLS = 24  # of a fingerprint; three tables of a third each
 GROWTH = 4
 BUCKET_BYTES = 8 << 20
@@ -36,6 +39,23 @@ _SEEDS = np.array([0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x6A09E667F3BCC908],
 _CHECK = np.uint64(0x3C6EF372FE94F82B)
 
 
+def _pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte ranges of the pieces of lines; where a line is cut depends on its own bytes near the cut alone."""
+    at = np.flatnonzero(mixed(eights(data)[:max(len(data) - WINDOW, 0)]) & CUT_MASK == 0)
+    line = np.searchsorted(starts, at, "right") - 1
+    inside = at + WINDOW < ends[line]
+    at, line = at[inside] + WINDOW, line[inside]
+    before = starts[line]
+    same = line[1:] == line[:-1]
+    before[1:][same] = at[:-1][same]
+    begin = np.union1d(starts, at[at - before > LEAST])
+    end = np.minimum(np.append(begin[1:], len(data)), ends[np.searchsorted(starts, begin, "right") - 1])
+    runs = -(-(end - begin) // GREATEST)
+    piece = np.repeat(np.arange(len(begin)), runs)
+    begin = begin[piece] + (np.arange(len(piece)) - np.repeat(np.cumsum(runs) - runs, runs)) * GREATEST
+    return begin, np.minimum(begin + GREATEST, end[piece])
+
+
 def paragraph_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """``(text, digest)`` of all paragraphs; the k-th equal paragraph of a text has a digest of its own."""
     owners, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
@@ -46,10 +66,8 @@ def paragraph_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         ends = np.append(starts[1:], len(data))
         # a line break ends its line and is not part of it
         ends = ends - ((ends > starts) & (data[np.maximum(ends - 1, 0)] == 10)) if len(starts) else ends
-        runs = -(-(ends - starts) // PIECE_BYTES)
-        line = np.repeat(np.arange(len(starts)), runs)
-        begin = starts[line] + (np.arange(len(line)) - np.repeat(np.cumsum(runs) - runs, runs)) * PIECE_BYTES
-        digest = range_hash(data, begin, np.minimum(begin + PIECE_BYTES, ends[line]))
+        begin, end = _pieces(data, starts, ends)
+        digest = word_hash(data, begin, end)
         owner = np.searchsorted(offsets, begin, "right") - 1
         order = np.lexsort((digest, owner))
         owner, digest = owner[order], digest[order]

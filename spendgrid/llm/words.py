@@ -92,14 +92,19 @@ def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mixed(mixed(a + _SEED) * _STEP ^ b)
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as one number, zeros after the end."""
+    padded = np.ascontiguousarray(np.append(data, np.zeros(8, np.uint8)))
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
 def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of words, eight bytes at a time."""
     size = ends - starts
     out = mixed(size.astype(np.uint64) + _SEED)
     if not len(starts):
         return out
-    padded = np.ascontiguousarray(np.append(data, np.zeros(8, np.uint8)))
-    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    eight = eights(data)
     at = np.flatnonzero(size <= LONG_WORD)
     for k in range(0, int(size[at].max(initial=0)), 8):
         at = at[size[at] > k]
