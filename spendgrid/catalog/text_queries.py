@@ -175,3 +175,15 @@ SELECT arg_max(level, effectiveness_score) AS best_by_score, arg_max(level, larg
   arg_max(level, reduction_percent) AS highest_reduction FROM scored""")
 def _(spark, sf_dir):
     return V.best_configuration(V.evaluate_cleaning_levels(D.transactions(spark, sf_dir)))
+
+
+@register("longest_entity", DISTINCT + """,
+words AS (SELECT description, unnest(string_split(description, ' ')) AS word,
+  unnest(generate_series(1, len(string_split(description, ' ')))) AS place FROM d),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY description ORDER BY length(word) DESC, place) AS turn
+  FROM words WHERE regexp_full_match(word, '[A-Za-z]+'))
+SELECT d.description, word AS entity FROM d LEFT JOIN ranked ON d.description = ranked.description AND turn = 1""")
+def _(spark, sf_dir):
+    """Words of letters alone stand for the entities of a recogniser."""
+    words = F.filter(F.split("description", " "), lambda w: w.rlike("^[A-Za-z]+$"))
+    return distinct_descriptions(spark, sf_dir).select("description", X.longest_entity(words).alias("entity"))

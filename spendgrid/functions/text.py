@@ -149,11 +149,17 @@ def informative_tokens(c: Column, config: CleaningConfig = CleaningConfig()) ->
     return F.array_join(F.filter(tokens, lambda t: ~is_noise_token(t, config)), " ")
 
 
+def longest_entity(entities: Column | str) -> Column:
+    """The longest of an array of entity texts, the earliest of equally long ones; null where there is none."""
+    return F.aggregate(_col(entities), F.lit(None).cast("string"),
+                       lambda best, e: F.when(best.isNull() | (F.length(e) > F.length(best)), e).otherwise(best))
+
+
 def merchant_steps(config: CleaningConfig = CleaningConfig(), entity: Column | None = None) -> list[Step]:
     """Quoted text first, then a supplied organisation entity, then the informative tokens.
 
     ``entity`` is the hook for a trained recogniser: a nullable column a caller computed with their
-    own model.  Without it the token filter decides; the input comes back if little is left.
+    own model (:func:`longest_entity` of what it found).  Without it the token filter decides; the input comes back if little is left.
     """
     def parts(c: Column) -> Column:
         kept = informative_tokens(c, config)
