@@ -297,28 +297,29 @@ def _(spark, sf_dir):
     return N.anomaly_insights(N.outliers(prepared(spark, sf_dir), rows), N.recurring_vendors(rows))
 
 
+def _subscriptions(spark, sf_dir):
+    facts = cube(spark, sf_dir)
+    return N.subscription_detail(facts, N.recurring_vendors(N.with_flow_flags(facts, N.category_kinds(facts))))
+
+
 @register("subscription_detail", DETAIL + """
 SELECT user_id, vendor, category, frequency, average_amount, total_spent_so_far, projected_annual_cost,
    date_range_days, first_transaction, last_transaction, monthly_estimate FROM detail""")
 def _(spark, sf_dir):
-    rows = flagged(spark, sf_dir)
-    detail = N.subscription_detail(rows, N.recurring_vendors(rows))
-    return detail.select("user_id", "vendor", "category", "frequency", "average_amount", "total_spent_so_far",
-                         "projected_annual_cost", "date_range_days",
-                         "first_transaction", "last_transaction", "monthly_estimate")
+    return _subscriptions(spark, sf_dir).select("user_id", "vendor", "category", "frequency", "average_amount", "total_spent_so_far",
+                                                 "projected_annual_cost", "date_range_days",
+                                                 "first_transaction", "last_transaction", "monthly_estimate")
 
 
 @register("subscription_ranking", SUMMARY + """
 SELECT user_id, vendor, cost AS projected_annual_cost, row_number() OVER (PARTITION BY user_id ORDER BY cost DESC, first_seq, vendor) AS rank FROM rounded_detail""")
 def _(spark, sf_dir):
-    rows = flagged(spark, sf_dir)
-    return N.ranked_subscriptions(N.subscription_detail(rows, N.recurring_vendors(rows))).select("user_id", "vendor", "projected_annual_cost", "rank")
+    return N.ranked_subscriptions(_subscriptions(spark, sf_dir)).select("user_id", "vendor", "projected_annual_cost", "rank")
 
 
 @register("subscription_summary", SUMMARY + " SELECT * FROM summary")
 def _(spark, sf_dir):
-    rows = flagged(spark, sf_dir)
-    return N.subscription_summary(N.subscription_detail(rows, N.recurring_vendors(rows)))
+    return N.subscription_summary(_subscriptions(spark, sf_dir))
 
 
 @register("subscription_insights", SUMMARY + f"""
@@ -332,8 +333,7 @@ UNION ALL SELECT user_id, NULL, CASE WHEN total_projected_annual_cost > 1000 THE
    ELSE 'Moderate subscription spending: $' || {DOLLARS.format('total_projected_annual_cost')} || ' annually projected' END
  FROM summary WHERE total_projected_annual_cost > 500""")
 def _(spark, sf_dir):
-    rows = flagged(spark, sf_dir)
-    detail = N.subscription_detail(rows, N.recurring_vendors(rows))
+    detail = cut_lineage(_subscriptions(spark, sf_dir))  # used twice
     return N.subscription_insights(detail, N.subscription_summary(detail))
 
 

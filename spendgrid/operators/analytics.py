@@ -20,6 +20,7 @@ from spendgrid import fixed_values as fv
 from spendgrid.functions import amounts as A
 from spendgrid.functions import text as X
 from spendgrid.operators.prepare import without_categories
+from spendgrid.session import cut_lineage
 
 
 def rounded(df: DataFrame, columns: Sequence[str], scale: int = 2) -> DataFrame:
@@ -210,6 +211,27 @@ def anomaly_insights(large: DataFrame, steady: DataFrame) -> DataFrame:
 
 # --- subscriptions -------------------------------------------------------------------------------------------
 
+#: Slots that the first characters of a user's wanted vendors are hashed to, so the most numbers a user's list has.
+GRAM_SLOTS = 4096
+
+
+def _gram_slot(gram: Column) -> Column:
+    return F.pmod(F.hash(gram), F.lit(GRAM_SLOTS))
+
+
+def vendor_pieces(vendors: DataFrame, heads: DataFrame) -> DataFrame:
+    """``vendors`` with every piece (``_gram``, up to three characters) that a vendor its user wants may begin with.
+
+    Of a name only the pieces stay that hash like one of the user's ``heads``; users without heads drop out.
+    """
+    grams = F.array_distinct(F.flatten(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length("vendor"), F.lit(1))),
+        lambda i: F.array(*[F.substring(F.upper("vendor"), i, F.lit(n)) for n in (1, 2, 3)]))))
+    slots = heads.groupBy("user_id").agg(F.collect_set(_gram_slot(F.col("_gram"))).alias("_slots"))
+    usable = F.filter(grams, lambda g: F.array_contains("_slots", _gram_slot(g)))
+    return vendors.join(slots, "user_id").withColumn("_gram", F.explode(usable)).drop("_slots")
+
+
 def vendors_containing(vendors: DataFrame, wanted: DataFrame) -> DataFrame:
     """Pairs (wanted vendor, vendor of the same user whose name contains it, ignoring case).
 
@@ -217,12 +239,8 @@ def vendors_containing(vendors: DataFrame, wanted: DataFrame) -> DataFrame:
     three characters, so those are the join key and the substring test only runs on such pairs.
     Both sides hold one row per user and vendor, never transactions.
     """
-    grams = F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length("vendor"), F.lit(1))),
-        lambda i: F.array(*[F.substring(F.upper("vendor"), i, F.lit(n)) for n in (1, 2, 3)]))))
-    left = vendors.withColumn("_gram", F.explode(grams))
     right = wanted.select("user_id", F.col("vendor").alias("wanted"), F.substring(F.upper("vendor"), 1, 3).alias("_gram"))
-    return (left.join(right, ["user_id", "_gram"])
+    return (vendor_pieces(vendors, right).join(right, ["user_id", "_gram"])
             .where(F.contains(F.upper("vendor"), F.upper("wanted"))).drop("_gram"))
 
 
@@ -230,11 +248,11 @@ def subscription_detail(cube: DataFrame, recurring: DataFrame, excluded: Sequenc
     """Totals, span and projected cost of each recurring vendor.
 
     The frequency is that of the exact vendor; span and total cover every transaction, income
-    included, of any vendor whose name contains it.
+    included, of any vendor whose name contains it.  The recurring vendors are found once and written.
     """
     per_vendor = cube.groupBy("user_id", "vendor").agg(
         F.sum("total").alias("spent"), F.min("first").alias("first"), F.max("last").alias("last"))
-    wanted = without_categories(recurring, excluded, ignore_case=True)
+    wanted = cut_lineage(without_categories(recurring, excluded, ignore_case=True))
     matched = (vendors_containing(per_vendor, wanted.select("user_id", "vendor"))
                .groupBy("user_id", "wanted")
                .agg(F.sum("spent").alias("total_spent_so_far"), F.min("first").alias("first"), F.max("last").alias("last"))

@@ -36,7 +36,7 @@ def report(transactions: DataFrame, excluded: Sequence[str] = (), analyses: Sequ
         tables["anomalies"] = N.anomalies(rows, flagged, excluded)
         tables["anomaly_insights"] = N.anomaly_insights(N.outliers(rows, flagged, excluded), N.recurring_vendors(flagged, excluded))
     if "subscription_analysis" in analyses:
-        detail = N.subscription_detail(cube, N.recurring_vendors(flagged, excluded), excluded)
+        detail = cut_lineage(N.subscription_detail(cube, N.recurring_vendors(flagged, excluded), excluded))
         totals = N.subscription_summary(detail)
         tables["subscriptions"] = N.rounded_subscriptions(detail)
         tables["subscription_summary"] = totals

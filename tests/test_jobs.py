@@ -195,3 +195,14 @@ def test_sql_rows_and_bounds(spark):
     df = spark.createDataFrame([(1, "x'y"), (5, "z")], "id long, name string")
     assert [r.id for r in readers.sql_rows(spark, "SELECT id FROM {t} WHERE name = :n", {"n": "x'y"}, t=df).collect()] == [1]
     assert readers.partition_bounds(df, "id") == (1, 6) and readers.partition_bounds(df.limit(0), "id") == (0, 0)
+
+
+def test_subscriptions_join_few_pieces(spark):
+    names = ["ACME", "ACME GYM", "The acme shop", "GYM", "A", "ZOO CLUB", "OTHER NAME LONG"]
+    vendors = spark.createDataFrame([(u, v, i) for u in range(40) for i, v in enumerate(names)] + [(None, "ACME", 9)], "user_id long, vendor string, spent int")
+    wanted = spark.createDataFrame([(1, "acme"), (1, "ZOO"), (2, "A"), (3, "OTHER NAME LONG"), (3, "GYM"), (None, "ACME")], "user_id long, vendor string")
+    want = sorted((u, w, v) for u, w in ((1, "acme"), (1, "ZOO"), (2, "A"), (3, "OTHER NAME LONG"), (3, "GYM")) for v in names if w.upper() in v.upper())
+    assert sorted((r.user_id, r.wanted, r.vendor) for r in N.vendors_containing(vendors, wanted).collect()) == want
+    heads = wanted.select("user_id", F.substring(F.upper("vendor"), 1, 3).alias("_gram"))
+    # every piece of every name of every user met the join before: 40 users times 7 names times 1 to 42 pieces
+    assert N.vendor_pieces(vendors, heads).count() <= 4 * len(names)
