@@ -31,6 +31,7 @@ MAX_RATED = 20_000
 #: Words that fewer rated texts hold carry no weight: they cannot tell grades apart.
 LEAST_TEXTS = 5
 ROUNDS = 300
+SLICE = 1 << 18  # entries of the fit summed at once
 PENALTY = 1e-3
 KEEP_FROM = 0.5
 
@@ -80,11 +81,28 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -50, 50)))
 
 
+def _summed(keys: np.ndarray, at: np.ndarray, values: np.ndarray, width: int) -> np.ndarray:
+    """Sums of ``values[at]`` by ascending ``keys``, some keys at a time: temporary arrays of all entries would be several times the features."""
+    out = np.zeros(width)
+    first = 0
+    while first < len(keys):
+        last = first + SLICE
+        last = len(keys) if last >= len(keys) else max(int(np.searchsorted(keys, keys[last])), int(np.searchsorted(keys, keys[first], "right")))
+        base = int(keys[first])
+        part = np.bincount(keys[first:last] - base, values[at[first:last]])
+        out[base:base + len(part)] = part
+        first = last
+    return out
+
+
 def fit(text: np.ndarray, bucket: np.ndarray, shares: np.ndarray, grades: np.ndarray, n_grades: int) -> Ordinal:
     """Adam on the likelihood of a cumulative link with ridge penalty; thresholds stay ordered as steps of positive size."""
     n = len(grades)
     often = np.bincount(bucket, minlength=WORD_BUCKETS) >= min(LEAST_TEXTS, max(1, n // 50))
     text, bucket = text[often[bucket]], bucket[often[bucket]]
+    order = np.argsort(bucket, kind="stable").astype(np.int32)
+    own_bucket, own_text = bucket[order], text[order]
+    del order
     weights = np.zeros(WIDTH)
     share = np.clip(np.cumsum(np.bincount(grades, minlength=n_grades))[:-1] / max(1, n), 0.02, 0.98)
     start = np.log(share / (1 - share))
@@ -94,7 +112,7 @@ def fit(text: np.ndarray, bucket: np.ndarray, shares: np.ndarray, grades: np.nda
     for step in range(1, ROUNDS + 1):
         weights, cuts = params[:WIDTH], params[WIDTH:]
         thresholds = np.concatenate([cuts[:1], cuts[0] + np.cumsum(np.exp(cuts[1:]))])
-        score = np.bincount(text, weights[bucket], n) + shares @ weights[WORD_BUCKETS:]
+        score = _summed(text, bucket, weights, n) + shares @ weights[WORD_BUCKETS:]
         below = 1 / (1 + np.exp(-np.clip(thresholds[None, :] - score[:, None], -50, 50)))
         edges = np.concatenate([np.zeros((n, 1)), below, np.ones((n, 1))], axis=1)
         row = np.arange(n)
@@ -102,7 +120,7 @@ def fit(text: np.ndarray, bucket: np.ndarray, shares: np.ndarray, grades: np.nda
         chance = np.maximum(upper - lower, 1e-9)
         up, down = upper * (1 - upper) / chance, lower * (1 - lower) / chance
         slope = (up - down) / n
-        grad_weights = np.concatenate([np.bincount(bucket, slope[text], WORD_BUCKETS), slope @ shares])
+        grad_weights = np.concatenate([_summed(own_bucket, own_text, slope, WORD_BUCKETS), slope @ shares])
         grad_thresholds = np.zeros(n_grades - 1)
         np.add.at(grad_thresholds, np.minimum(grades, n_grades - 2), np.where(grades <= n_grades - 2, -up, 0) / n)
         np.add.at(grad_thresholds, np.maximum(grades - 1, 0), np.where(grades >= 1, down, 0) / n)
@@ -144,10 +162,15 @@ def train(docs: DataFrame, ratings: DataFrame, max_rated: int = MAX_RATED, n_gra
     rows = texts.mapInArrow(_collect_features, "grade int, features binary").limit(2 * max_rated).collect()
     if not rows:
         return Ordinal(np.zeros(WIDTH), np.full(n_grades - 1, -50.0))
-    unpacked = [pickle.loads(r["features"]) for r in rows]
-    sizes = [len(b) for b, _ in unpacked]
-    return fit(np.repeat(np.arange(len(rows)), sizes), np.concatenate([b for b, _ in unpacked]).astype(np.int64),
-               np.array([s for _, s in unpacked], float), np.array([r["grade"] for r in rows]), n_grades)
+    grades, buckets, shares = np.array([r["grade"] for r in rows]), [], np.empty((len(rows), SHARES + EXTRA))
+    rows.reverse()
+    for i in range(len(rows)):  # what is unpacked goes
+        own, shares[i] = pickle.loads(rows.pop()["features"])
+        buckets.append(own)
+    text = np.repeat(np.arange(len(buckets), dtype=np.int32), [len(b) for b in buckets])
+    bucket = np.concatenate(buckets)
+    del buckets, own
+    return fit(text, bucket, shares, grades, n_grades)
 
 
 def _scorer(model: Ordinal):

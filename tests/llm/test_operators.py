@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
@@ -343,3 +344,36 @@ def test_mixing_without_a_budget_holds_the_limit_and_keeps_sources_without_token
     assert sorted(r.doc_id for r in mixing.mixed_documents(docs, budget=None, entropy=0.9).collect() if r.doc_id > 1) == [2, 3]
     blank = docs.where("doc_id > 1")
     assert sorted(r.doc_id for r in mixing.mixed_documents(blank, budget=None).collect()) == [2, 3]
+
+
+def test_every_text_is_compared_with_the_reference_library(docs):
+    assert all(r._parity is True for r in pieces.encoded(docs, pieces.read_model()).collect())
+
+
+def test_scores_are_the_models_own(spark):
+    with open(attention_lm.RANKS, "rb") as file:
+        ranks = file.read()
+    model, texts = attention_lm.Model(), ["one two three", "", "one " * 70 + "unheard"]
+    tokens = attention_lm.subwords(ranks)
+    words = [t.split() for t in texts]
+    keys = np.unique(np.concatenate([attention_lm.Words(*_chunk(t), lower=True).hash for t in texts]))
+    counted = pd.DataFrame({"keys": [keys.tobytes()], "counts": [np.arange(5, 5 + len(keys)).astype("<i8").tobytes()]})
+    block = pd.DataFrame({"doc_id": [1, 2, 3], "text": texts, "held_out": [False, False, True]})
+    got = attention_lm._score_block(model, ranks, 3)(block, counted)["score"].to_numpy()
+    for score, own in zip(got, words):
+        ids = np.array([i for w in own for i in tokens.encoding.encode_ordinary(" " + w)] + [attention_lm.END], np.int32)
+        chances = model.log_chances(*attention_lm.windows(ids, np.array([0, len(ids)]))[:3])
+        assert score == pytest.approx(float(chances.sum()) / math.log(10), rel=1e-5)
+
+
+def _chunk(text):
+    (_, data, offsets), = attention_lm.chunks(pa.array([text], pa.large_string()))
+    return data, offsets
+
+
+def test_sums_of_the_fit_are_taken_in_slices(monkeypatch):
+    monkeypatch.setattr(quality, "SLICE", 7)
+    draw = np.random.default_rng(3)
+    keys, at, values = np.sort(draw.integers(0, 40, 300)).astype(np.int32), draw.integers(0, 50, 300).astype(np.int32), draw.normal(size=50)
+    assert (quality._summed(keys, at, values, 45) == np.bincount(keys, values[at], 45)).all()
+    assert (quality._summed(keys[:0], at[:0], values, 3) == 0).all()
