@@ -191,6 +191,31 @@ def test_finished_jobs_leave_the_state(spark, tmp_path):
     assert now == {"a": "COMPLETED", "b": "PROCESSING", "c": "PENDING"} and size == 2  # a is gone
 
 
+def test_jobs_share_few_states(spark, tmp_path):
+    def write(number, rows):
+        spark.createDataFrame([(j, datetime(2024, 1, day, hour), n, s) for j, day, hour, n, s in rows],
+                              "job_id string, updated_at timestamp, event_seq long, status string").coalesce(1).write.parquet(str(tmp_path / "in" / f"part={number}"))
+
+    def run():
+        stream = spark.readStream.schema("job_id string, updated_at timestamp, event_seq long, status string").option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        query = ST.run_updates(ST.job_state_stream(stream, slots=4), str(tmp_path / "out"), str(tmp_path / "checkpoint"), ["job_id"])
+        sizes = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+        return sizes[-1], {r.job_id: (r.status, r.event_seq) for r in ST.newest_updates(spark, str(tmp_path / "out"), ["job_id"]).collect()}
+
+    jobs = [f"job-{i}" for i in range(200)]
+    write(1, [(j, 1, 2, 2, "COMPLETED" if i % 2 else "PROCESSING") for i, j in enumerate(jobs)] + [(j, 1, 1, 1, "PENDING") for j in jobs] + [(None, 1, 1, None, "PENDING")])
+    size, now = run()
+    assert size == 4  # one state a job before: 201
+    assert now == {j: ("COMPLETED" if i % 2 else "PROCESSING", 2) for i, j in enumerate(jobs)} | {None: ("PENDING", None)}
+    write(2, [("late", 5, 1, 3, "PENDING")])
+    run()
+    # a job that has left begins again, one that has not moves on, and one behind the watermark stays
+    write(3, [("job-1", 5, 2, 9, "PENDING"), ("job-2", 5, 2, 9, "FAILED"), ("job-4", 1, 3, 9, "FAILED")])
+    size, now = run()
+    assert size == 4 and now["job-1"] == ("PENDING", 9) and now["job-2"] == ("FAILED", 9)
+    assert now["job-4"] == ("PROCESSING", 2) and now["job-3"] == ("COMPLETED", 2)
+
+
 def test_sql_rows_and_bounds(spark):
     df = spark.createDataFrame([(1, "x'y"), (5, "z")], "id long, name string")
     assert [r.id for r in readers.sql_rows(spark, "SELECT id FROM {t} WHERE name = :n", {"n": "x'y"}, t=df).collect()] == [1]
