@@ -237,3 +237,24 @@ def test_a_vectors_total_is_summed_once(spark):
 
     seconds(V.char_counts)
     assert seconds(V.char_vector) < 5 * seconds(V.char_counts) + 1  # the sum once a slot took over twenty times as long
+
+
+def test_long_chains_take_few_passes(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    n = 400
+    frame = pd.DataFrame({"tx_id": [f"t{i:04d}" for i in range(n)], "seq": rng.permutation(n), "size": 10 + 0.004 * rng.integers(0, 23, n),
+                          "money_in": rng.random(n) < 0.4})
+    rows = spark.createDataFrame([(1, r.tx_id, int(r.seq), float(r.size), bool(r.money_in), "Unknown", "key", "key") for r in frame.itertuples()],
+                                 "user_id long, tx_id string, seq long, amount double, money_in boolean, predicted_category string, narrative string, cleaned_narrative string")
+    passes = []
+    real = T.cut_lineage
+
+    def cut(df):
+        passes.append(set(df.columns) >= {"income_id", "segment"})
+        return real(df)
+
+    monkeypatch.setattr(T, "cut_lineage", cut)
+    got = {(r.income_id, r.expense_id) for r in T.transfer_pairs(rows, batch=4).collect()}
+    incomes, expenses = frame[frame["money_in"]].reset_index(drop=True), frame[~frame["money_in"]].reset_index(drop=True)
+    assert got == {(incomes["tx_id"][i], expenses["tx_id"][e]) for i, e in T.match_in_order(incomes, expenses)}
+    assert sum(passes) <= 4  # segments of 4, 32 and 256 incomes; one pass more for every few segments before
