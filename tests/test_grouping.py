@@ -11,6 +11,7 @@ from spendgrid.functions.text import CleaningConfig
 from spendgrid.operators import cells, text_index
 from spendgrid.operators import components as CC
 from spendgrid.operators import grouping as G
+from spendgrid.operators import ordered
 from spendgrid.plans import universal as U
 
 
@@ -247,3 +248,33 @@ def test_scopes_are_grouped_apart(spark, config):
     for local in (1000, 4):
         got = sorted((r.scope, r["name"], r.representative) for r in G.group_names(df, CleaningConfig(**config, local_names=local)).collect())
         assert got == apart and ("u1", " ", " ") in got
+
+
+def test_vectors_are_written_once_a_text(spark, monkeypatch):
+    written = []
+
+    def cut(df):
+        written.append(set(df.columns))
+        return real(df)
+
+    real = G.cut_lineage
+    monkeypatch.setattr(G, "cut_lineage", cut)
+    monkeypatch.setattr(ordered, "cut_lineage", cut)
+    rows = spark.createDataFrame([(u, 10 * u + i, n, 1.0, True) for u in range(3) for i, n in enumerate(("acme gym", "acme gyms", "zoo", "acme gym"))],
+                                 "user_id long, seq long, description string, amount double, money_in boolean")
+    for method in ("dbscan", "similarity"):
+        config = CleaningConfig(clustering_method=method, dbscan_eps=0.1)
+        named, groups = G.clean_and_group(rows, config=config, by=["user_id"])
+        assert groups.count() == 9
+        first = {(r.scope, r.representative): (r.seq, r.description) for r in G.group_representatives(named).collect()}
+        assert first['{"user_id":1}', "acme gym"] == (10, "acme gym")
+    # once a scope and name before, in several steps
+    assert [c for c in written if "vector" in c] == [{"name", "vector"}] * 2
+
+
+def test_representatives_come_from_one_reduction(spark):
+    rows = spark.createDataFrame([("a", 2, "x", 1.0, True), ("a", 1, "z", 2.0, None), ("a", 1, "y", 3.0, True), ("a", None, "w", 0.0, True), ("b", None, "v", 0.0, True)],
+                                 "representative string, seq long, description string, amount double, money_in boolean")
+    found = G.group_representatives(rows)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()  # joined to its rows again before
+    assert [(r.representative, r.description, r.amount, r.seq, r.group_size) for r in found.collect()] == [("a", "y", 3.0, 1, 4)]
