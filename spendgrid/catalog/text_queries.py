@@ -34,7 +34,7 @@ def distinct_descriptions(spark, sf_dir):
 
 
 def cleaned_transactions(spark, sf_dir):
-    return C.clean(D.transactions(spark, sf_dir))
+    return C.with_cleaned(D.transactions(spark, sf_dir))
 
 
 def _text_step(name, function, sql):

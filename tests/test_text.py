@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from spendgrid.catalog.text_queries import QUERIES
 from spendgrid.functions import amounts as A
 from spendgrid.functions import text as X
 
@@ -129,3 +130,9 @@ def test_elapsed_days(spark):
                                "a string, b string, wanted long")
     for r in df.select("wanted", A.elapsed_days(F.col("a").cast("timestamp"), F.col("b").cast("timestamp")).alias("got")).collect():
         assert r.got == r.wanted
+
+
+def test_transactions_are_cleaned_once_a_text(spark):
+    for name in ("clean_full", "variations", "reduction_ratio", "size_bands", "dictionary_match"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "LogicalRDD" in plan and "(?iUd)" not in plan  # the texts, cleaned and written; every row ran the chain before
