@@ -143,6 +143,13 @@ def flagged(spark, sf_dir):
     return N.with_flow_flags(facts, N.category_kinds(facts))
 
 
+def rows_and_flagged(spark, sf_dir):
+    """The transactions that outliers are looked up in, written once, and the flagged cube of the same rows."""
+    rows = P.prepared_once(D.transactions(spark, sf_dir).drop("request_id"))
+    facts = cut_lineage(N.spending_cube(rows))
+    return rows, N.with_flow_flags(facts, N.category_kinds(facts))
+
+
 def register(name, oracle=None):
     def add(build):
         QUERIES[name] = build
@@ -263,14 +270,14 @@ def _(spark, sf_dir):
 @register("outliers", KINDS + OUTLIERS + """
 SELECT user_id, tx_id, description, amount, strftime(date, '%Y-%m-%dT%H:%M:%S') AS date, vendor, category, severity FROM large""")
 def _(spark, sf_dir):
-    return (N.outliers(prepared(spark, sf_dir), flagged(spark, sf_dir)).drop("mean_amount", "seq")
+    return (N.outliers(*rows_and_flagged(spark, sf_dir)).drop("mean_amount", "seq")
             .withColumn("date", A.iso_timestamp("date")))
 
 
 @register("outliers_excluding", KINDS.replace("'spending') AS is_expense", "'spending') AND category NOT IN ('Unknown', 'Cash') AS is_expense")
           + OUTLIERS + " SELECT user_id, tx_id, amount, severity FROM large")
 def _(spark, sf_dir):
-    return N.outliers(prepared(spark, sf_dir), flagged(spark, sf_dir), ["Unknown", "Cash"]).select("user_id", "tx_id", "amount", "severity")
+    return N.outliers(*rows_and_flagged(spark, sf_dir), ["Unknown", "Cash"]).select("user_id", "tx_id", "amount", "severity")
 
 
 @register("recurring_vendors", RECURRING + " SELECT user_id, vendor, amount, frequency, category, severity, first_seq FROM recurring")
@@ -283,7 +290,7 @@ SELECT user_id, type, vendor, category, severity, amount, frequency, tx_id FROM
  SELECT user_id, 'large_transaction' AS type, vendor, category, severity, amount, NULL::BIGINT AS frequency, tx_id FROM large
  UNION ALL SELECT user_id, 'potential_subscription', vendor, category, severity, amount, frequency, NULL FROM recurring)""")
 def _(spark, sf_dir):
-    return N.anomalies(prepared(spark, sf_dir), flagged(spark, sf_dir)).select(
+    return N.anomalies(*rows_and_flagged(spark, sf_dir)).select(
         "user_id", "type", "vendor", "category", "severity", "amount", "frequency", "tx_id")
 
 
@@ -293,8 +300,8 @@ SELECT user_id, seq, 'Unusual charge: $' || {DOLLARS.format('amount')} || ' at '
 UNION ALL SELECT user_id, first_seq, 'Potential subscription: ' || vendor || ' $' || printf('%.2f', {R('amount')}) || ' ('
    || frequency || ' similar transactions)' FROM recurring""")
 def _(spark, sf_dir):
-    rows = flagged(spark, sf_dir)
-    return N.anomaly_insights(N.outliers(prepared(spark, sf_dir), rows), N.recurring_vendors(rows))
+    rows, facts = rows_and_flagged(spark, sf_dir)
+    return N.anomaly_insights(N.outliers(rows, facts), N.recurring_vendors(facts))
 
 
 def _subscriptions(spark, sf_dir):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_module
 from spendgrid import schema
 from spendgrid.catalog import domain as D
+from spendgrid.catalog.analytics_queries import QUERIES as ANALYTICS
 from spendgrid.operators import analytics as N
 from spendgrid.operators import prepare as P
 from spendgrid.plans import analytics as R
@@ -231,3 +232,17 @@ def test_subscriptions_join_few_pieces(spark):
     heads = wanted.select("user_id", F.substring(F.upper("vendor"), 1, 3).alias("_gram"))
     # every piece of every name of every user met the join before: 40 users times 7 names times 1 to 42 pieces
     assert N.vendor_pieces(vendors, heads).count() <= 4 * len(names)
+
+
+def test_outliers_read_written_rows(spark):
+    for name in ("outliers", "outliers_excluding", "union_anomalies", "anomaly_insights"):
+        plan = ANALYTICS[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Relation [" not in plan and "(?iUd)" not in plan  # rows were built, and vendors found, for the cube and again
+
+
+def test_vendors_once_a_text(spark):
+    texts = ["EFTPOS POSTAL SHOP", "EFTPOS POSTAL SHOP", "PAK N SAVE", "", None, "   ", None]
+    df = spark.createDataFrame([(i, t, 1.0, "c", True, dt.datetime(2024, 6, 1)) for i, t in enumerate(texts)],
+                               "seq long, description string, amount double, category string, money_in boolean, date timestamp")
+    got = {r.seq: r.vendor for r in P.prepared_once(df).collect()}
+    assert got == {r.seq: r.vendor for r in P.prepare_transactions(df).collect()} and len(got) == len(texts)
