@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from spendgrid.catalog.model_queries import QUERIES as MODEL_QUERIES
 from spendgrid.functions import vectors as V
 from spendgrid.operators import analytics as AN
 from spendgrid.operators import neighbours as K
@@ -258,3 +259,19 @@ def test_long_chains_take_few_passes(spark, monkeypatch):
     incomes, expenses = frame[frame["money_in"]].reset_index(drop=True), frame[~frame["money_in"]].reset_index(drop=True)
     assert got == {(incomes["tx_id"][i], expenses["tx_id"][e]) for i, e in T.match_in_order(incomes, expenses)}
     assert sum(passes) <= 4  # segments of 4, 32 and 256 incomes; one pass more for every few segments before
+
+
+def test_cents_in_one_direction_are_not_put_in_order(spark, monkeypatch):
+    rows = [(f"t{i}", 1, i, "shop", "shop", "x", i in (3, 7), 5.0 if i in (3, 4, 7) else float(100 + i)) for i in range(40)]
+    rows += [("n1", None, 90, "shop", "shop", "x", True, 5.0), ("n2", None, 91, "shop", "shop", "x", False, 5.0)]
+    results = spark.createDataFrame(rows, "tx_id string, user_id long, seq long, narrative string, cleaned_narrative string, "
+                                    "predicted_category string, money_in boolean, amount double")
+    ordered, position = [], T.dense_position
+    monkeypatch.setattr(T, "dense_position", lambda df, *others: ordered.append(df.count()) or position(df, *others))
+    assert [tuple(r) for r in T.transfer_pairs_by_cents(results).collect()] == [("t3", "t4")]
+    assert ordered == [3]  # 42 rows before
+
+
+def test_labels_read_written_results(spark):
+    plan = MODEL_QUERIES["transfer_labels"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation [" not in plan  # the rows were built and cleaned for the pairs and again for the labels
