@@ -278,3 +278,11 @@ def test_representatives_come_from_one_reduction(spark):
     found = G.group_representatives(rows)
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()  # joined to its rows again before
     assert [(r.representative, r.description, r.amount, r.seq, r.group_size) for r in found.collect()] == [("a", "y", 3.0, 1, 4)]
+
+
+def test_cleaned_rows_are_written_once(spark):
+    rows = spark.range(40).select(F.col("id").alias("seq"), F.concat(F.lit("shop number "), (F.col("id") % 4).cast("string")).alias("description"))
+    named, _ = G.clean_and_group(rows)
+    plan = named._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range (" not in plan  # the rows were built and joined to their cleaned texts anew in every pass
+    assert named.count() == 40
