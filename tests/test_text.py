@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from spendgrid import fixed_values as fv
+from spendgrid.catalog.model_queries import QUERIES as MODEL_QUERIES
 from spendgrid.catalog.text_queries import QUERIES
 from spendgrid.functions import amounts as A
 from spendgrid.functions import text as X
@@ -136,3 +138,19 @@ def test_transactions_are_cleaned_once_a_text(spark):
     for name in ("clean_full", "variations", "reduction_ratio", "size_bands", "dictionary_match"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "LogicalRDD" in plan and "(?iUd)" not in plan  # the texts, cleaned and written; every row ran the chain before
+
+
+def test_hints_skip_only_what_cannot_match(spark):
+    """The skipped patterns, run one after the other, change nothing either."""
+    pieces = ["shop", "XX1234", "xxxx-****-XXXX-xxxx", "Card number 1234 - * 12", "12345678", "4835-****-****-0311", "ref", "S3D7741", "branch 12",
+              "AUD 2 converted", "Converted at 1.05", "includes a CONVERSION charge", "a.b@c.nz", "https://x.nz/a", "٤٨٣٥-****-****-٠٣١١", "ſ"]
+    texts = [f"{a} {b}" for a in pieces for b in pieces]
+    for step, plain in ((X.remove_urls_emails, lambda c: X.replace_in_order(c, fv.URL_EMAIL_PATTERNS, "", X.SAME_CASE)),
+                        (X.remove_card_numbers, lambda c: X.replace_in_order(c, fv.CARD_PATTERNS, " ")),
+                        (X.remove_bank_codes, lambda c: X.replace_in_order(c, fv.BANK_PATTERNS, " "))):
+        assert run(spark, step, texts) == run(spark, plain, texts)
+
+
+def test_first_rows_are_cleaned_once_a_text(spark):
+    plan = MODEL_QUERIES["dedupe_keep_first"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "(?iUd)" not in plan and "Relation [" not in plan  # every row ran the chain, and the rows were built twice
