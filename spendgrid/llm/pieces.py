@@ -3,6 +3,7 @@
 The model file's protobuf is parsed here: pieces with scores and types, the normaliser, the marker of white space and
 byte fallback.  From these a fast tokenizer is rebuilt (unigram, or BPE whose merges follow from the piece scores),
 batches are encoded by several threads, and the tasks compare ids and decoded text of every text with the reference library.
+Where no piece goes on beyond a word, a word is encoded once and remembered; the reference encodes whole texts all the same.
 
 Rows: a null or empty text has no ids and decodes to an empty text; strings such as ``<s>`` in a text are ordinary
 text; repeated rows give equal ids; an empty table gives an empty result; further columns are kept by :func:`encoded`.
@@ -12,10 +13,13 @@ A long text is encoded whole.
 from __future__ import annotations
 
 import os
+import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,6 +34,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THREADS = 2
 PARITY_SHARE = 1  # one text in so many is encoded by the reference library as well: every text
 BATCH_BYTES = 1 << 18
+KNOWN_CHARACTERS = 4 << 20  # of remembered words
 MARK = "▁"
 # Numbers of the model file format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -136,13 +141,44 @@ def build(model: PieceModel):
     if model.escape_spaces:
         steps.append(normalizers.Replace(" ", MARK))
     tokenizer.normalizer = normalizers.Sequence(steps)
-    crossing = any(a != MARK and b == MARK for p, _, kind in model.pieces if kind in (NORMAL, USER) for a, b in zip(p, p[1:]))
-    if model.escape_spaces and not crossing:
-        # No piece goes on after a word into the next marker, so words can be encoded (and remembered) apart.
+    if _apart(model):
         tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+"), "merged_with_next")
     return tokenizer
 
 
+def _apart(model: PieceModel) -> bool:
+    """No piece goes on after a word into the next marker, so words can be encoded (and remembered) apart."""
+    crossing = any(a != MARK and b == MARK for p, _, kind in model.pieces if kind in (NORMAL, USER) for a, b in zip(p, p[1:]))
+    return model.escape_spaces and not crossing
+
+
+def _word_pattern(model: PieceModel) -> re.Pattern | None:
+    """Words with their markers in front; runs of letters and digits, and of others, if no piece or unknown goes on beyond one."""
+    if not _apart(model) or model.charsmap or model.remove_extra_spaces:
+        return None
+    pairs = {(a, b) for p, _, kind in model.pieces if kind in (NORMAL, USER) for a, b in zip(p, p[1:]) if a != MARK}
+    joins = {c for a, b in pairs if a.isalnum() != b.isalnum() for c in (a, b) if c.isalnum()}
+    inner = lambda c: c.isalnum() and c not in joins
+    others = "_" + "".join(sorted(joins))
+    if not model.byte_fallback or any(inner(a) != inner(b) for a, b in pairs):
+        return re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+    letters, rest = f"[^\\W{others}]+", f"(?:[^\\w{MARK}]|[{others}])+"
+    return re.compile(f"{MARK}+(?:{letters}|{rest})?|{letters}|{rest}")
+
+
+class _Known(dict):
+    """Ids of words, packed; a word not met before is encoded."""
+
+    def __init__(self, tokenize):
+        super().__init__()
+        self.tokenize, self.size = tokenize, 0
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = array("i", [token.id for token in self.tokenize(word)]).tobytes()
+        self.size += len(word)
+        return found
+
+
 class Codec:
     """Encoding and decoding of batches with one model."""
 
@@ -151,6 +187,7 @@ class Codec:
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         self.model = parse(data)
         self.tokenizer = build(self.model)
+        self.pattern, self.known = _word_pattern(self.model), _Known(self.tokenizer.model.tokenize)
         self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL
                       else b" \xe2\x81\x87 " if kind == UNKNOWN
                       else (p.replace(MARK, " ") if self.model.escape_spaces else p).encode()
@@ -159,7 +196,14 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of every text, without special ids."""
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if not self.pattern:
+            return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        prefix = MARK if self.model.dummy_prefix else ""
+        if self.known.size > KNOWN_CHARACTERS:
+            self.known = _Known(self.tokenizer.model.tokenize)
+        ids = self.known.__getitem__
+        split = (self.pattern.findall(prefix + text.replace(" ", MARK)) if text else () for text in texts)
+        return [np.frombuffer(b"".join(map(ids, words)), np.intc).tolist() for words in split]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: bytes of the pieces side by side, without the space put in front."""
@@ -221,7 +265,7 @@ def _encoder(data: bytes, threads: int):
                 own = texts.slice(first, last - first).to_pylist()
                 ids = coder.encode(own)
                 sizes = np.array([len(i) for i in ids], np.int64)
-                flat = np.fromiter((x for i in ids for x in i), np.int32, int(sizes.sum()))
+                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 fallback = np.add.reduceat(np.append(coder.is_byte[flat], False).astype(np.int64), np.minimum(offsets[:-1], len(flat)))
                 fallback[sizes == 0] = 0

@@ -377,3 +377,26 @@ def test_sums_of_the_fit_are_taken_in_slices(monkeypatch):
     keys, at, values = np.sort(draw.integers(0, 40, 300)).astype(np.int32), draw.integers(0, 50, 300).astype(np.int32), draw.normal(size=50)
     assert (quality._summed(keys, at, values, 45) == np.bincount(keys, values[at], 45)).all()
     assert (quality._summed(keys[:0], at[:0], values, 3) == 0).all()
+
+
+def test_a_word_is_encoded_once_and_as_within_its_text(monkeypatch):
+    data = pieces.read_model()
+    own, calls = pieces.Codec(data, 1), []
+    tokenize = own.known.tokenize
+    own.known.tokenize = lambda word: calls.append(word) or tokenize(word)
+    texts = ["one two, one", "", " ", "two  spaces ", "a_b._c 1²x x².", "▁▁a▁b\n\tc", "日本 😀é <s> <0x41>", "x" * 3000, " " * 99 + "_"]
+    want = [e.ids for e in own.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert own.encode(texts) == want == own.encode(texts) and pieces.parity(data, texts) == []
+    assert len(calls) == len(set(calls)) > 0
+    monkeypatch.setattr(pieces, "KNOWN_CHARACTERS", 0)  # forgotten before every batch
+    assert own.encode(texts) == want == own.encode(texts)
+
+
+def test_unknown_characters_side_by_side_are_one_id():
+    from sentencepiece import sentencepiece_model_pb2 as proto
+    model = proto.ModelProto()
+    for piece, score, kind in [("<unk>", 0, 2), ("▁", -1, 1), ("a", -2, 1), ("b", -2.5, 1), ("ab", -3, 1)]:
+        model.pieces.add(piece=piece, score=score, type=kind)
+    model.trainer_spec.model_type = 2
+    model.normalizer_spec.remove_extra_whitespaces = False
+    assert pieces.parity(model.SerializeToString(), ["ab é@é ab", "é@", "a@é  @"]) == []
