@@ -292,8 +292,11 @@ def _name(step: str, parts: int):
 
 
 def _named(blocks: DataFrame, step: str, parts: int) -> DataFrame:
-    return stored(blocks.groupBy("block").cogroup(_found(blocks, step, parts).groupBy("block")).applyInPandas(
-        _name(step, parts), _BLOCK), f"suffix-{step}", packed=True)
+    """Blocks with the names of a step.  The names are written first, so that the sent keys are gone when blocks travel."""
+    found = stored(_found(blocks, step, parts), f"suffix-found-{step}", packed=True)
+    named = stored(blocks.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(_name(step, parts), _BLOCK), f"suffix-{step}", packed=True)
+    discard(found)
+    return named
 
 
 def _merge(parts: int):

@@ -400,3 +400,18 @@ def test_unknown_characters_side_by_side_are_one_id():
     model.trainer_spec.model_type = 2
     model.normalizer_spec.remove_extra_whitespaces = False
     assert pieces.parity(model.SerializeToString(), ["ab é@é ab", "é@", "a@é  @"]) == []
+
+
+def test_sent_keys_are_gone_before_blocks_travel(docs, monkeypatch):
+    plans, gone, write, discard = {}, [], suffix_dedup.stored, suffix_dedup.discard
+
+    def stored(df, name, **options):
+        plans[name] = df._jdf.queryExecution().toString()
+        return write(df, name, **options)
+
+    monkeypatch.setattr(suffix_dedup, "stored", stored)
+    monkeypatch.setattr(suffix_dedup, "discard", lambda table: gone.append(table.stored_at) or discard(table))
+    suffix_dedup.repeats(docs).collect()
+    for step in suffix_dedup.NAMING:
+        assert "MapInPandas" in plans[f"suffix-found-{step}"] and "MapInPandas" not in plans[f"suffix-{step}"]
+        assert any(f"suffix-found-{step}" in path for path in gone)
