@@ -11,7 +11,7 @@ from spendgrid.functions import amounts as A
 from spendgrid.functions import text as X
 from spendgrid.operators import analytics as N
 from spendgrid.operators import prepare as P
-from spendgrid.session import cut_lineage
+from spendgrid.session import cut_lineage, settled
 
 QUERIES = {}
 ORACLES = {}
@@ -145,9 +145,13 @@ def flagged(spark, sf_dir):
 
 def rows_and_flagged(spark, sf_dir):
     """The transactions that outliers are looked up in, written once, and the flagged cube of the same rows."""
-    rows = P.prepared_once(D.transactions(spark, sf_dir).drop("request_id"))
-    facts = cut_lineage(N.spending_cube(rows))
-    return rows, N.with_flow_flags(facts, N.category_kinds(facts))
+    rows = P.prepared_once(D.transactions(spark, sf_dir), ["tx_id", "user_id", "seq", "date", "category", "amount_abs", "money_in"])
+
+    def flags():
+        facts = cut_lineage(N.spending_cube(rows))
+        return N.with_flow_flags(facts, N.category_kinds(facts))
+
+    return rows, settled(flags)
 
 
 def register(name, oracle=None):

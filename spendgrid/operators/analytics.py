@@ -172,7 +172,7 @@ def outliers(df: DataFrame, flagged: DataFrame, excluded: Sequence[str] = ()) ->
         "user_id", F.col("mean").alias("mean_amount"), (F.col("mean") + fv.OUTLIER_DEVIATIONS * F.col("deviation")).alias("threshold"))
     categories = without_categories(flagged, excluded).groupBy("user_id", "category").agg(
         F.max(F.col("kind") == "spending").alias("spends"))
-    limits = categories.join(limits, "user_id")
+    limits = cut_lineage(categories.join(limits, "user_id"))  # small, and found before the transactions are moved
     large = df.join(limits, ["user_id", "category"]).where(
         (F.col("amount_abs") > F.col("threshold")) & (~F.col("money_in") | F.col("spends")))
     return large.select(
@@ -183,14 +183,25 @@ def outliers(df: DataFrame, flagged: DataFrame, excluded: Sequence[str] = ()) ->
 
 
 def recurring_vendors(flagged: DataFrame, excluded: Sequence[str] = ()) -> DataFrame:
-    """Vendors with at least three expenses of nearly the same size: potential subscriptions."""
-    rows = expenses(flagged, excluded)
-    stats = with_spread(rows, ["user_id", "vendor"], F.min("first_seq").alias("first_seq"))
-    variation = F.try_divide(F.col("deviation"), F.col("mean"))
-    steady = stats.where((F.col("n") >= fv.RECURRING_MIN_ROWS) & (F.col("mean") > 0) & (variation < fv.RECURRING_MAX_VARIATION))
-    named = rows.groupBy("user_id", "vendor", "first_seq").agg(F.min("category").alias("category"))
-    return steady.join(named, ["user_id", "vendor", "first_seq"]).select(
-        "user_id", "vendor", F.col("mean").alias("amount"), F.col("n").alias("frequency"), "category", F.lit("low").alias("severity"), "first_seq")
+    """Vendors with at least three expenses of nearly the same size: potential subscriptions.
+
+    Means, spreads around them and the first category come from one exchange by user and vendor.  The window holds
+    the cube rows of one vendor of one user, one per category and direction, however many transactions they stand for.
+    """
+    rows = expenses(flagged, excluded).where(F.col("user_id").isNotNull() & F.col("vendor").isNotNull())
+    pair = W.partitionBy("user_id", "vendor")
+    rows = rows.withColumn("mean", F.sum("total").over(pair) / F.sum("n").over(pair))
+    shift = F.col("total") / F.col("n") - F.col("mean")
+    first = F.when(F.col("first_seq").isNotNull(), F.struct("first_seq", F.col("category").isNull().alias("blank"), "category"))
+    stats = rows.groupBy("user_id", "vendor").agg(
+        F.sum("n").alias("n"), F.max("mean").alias("mean"), F.sum(F.col("spread") + F.col("n") * shift * shift).alias("spread"),
+        F.min(first).alias("first"))
+    deviation = F.sqrt(F.when(F.col("n") > 1, F.col("spread") / (F.col("n") - 1)))
+    variation = F.try_divide(deviation, F.col("mean"))
+    steady = stats.where((F.col("n") >= fv.RECURRING_MIN_ROWS) & (F.col("mean") > 0) & (variation < fv.RECURRING_MAX_VARIATION)
+                         & F.col("first").isNotNull())
+    return steady.select("user_id", "vendor", F.col("mean").alias("amount"), F.col("n").alias("frequency"),
+                         F.col("first.category").alias("category"), F.lit("low").alias("severity"), F.col("first.first_seq").alias("first_seq"))
 
 
 def anomalies(df: DataFrame, flagged: DataFrame, excluded: Sequence[str] = ()) -> DataFrame:
@@ -248,11 +259,12 @@ def subscription_detail(cube: DataFrame, recurring: DataFrame, excluded: Sequenc
     """Totals, span and projected cost of each recurring vendor.
 
     The frequency is that of the exact vendor; span and total cover every transaction, income
-    included, of any vendor whose name contains it.  The recurring vendors are found once and written.
+    included, of any vendor whose name contains it.  The recurring vendors are found once and written; only
+    vendors of users who have any are summed.
     """
-    per_vendor = cube.groupBy("user_id", "vendor").agg(
-        F.sum("total").alias("spent"), F.min("first").alias("first"), F.max("last").alias("last"))
     wanted = cut_lineage(without_categories(recurring, excluded, ignore_case=True))
+    per_vendor = cube.join(wanted.select("user_id").distinct(), "user_id", "left_semi").groupBy("user_id", "vendor").agg(
+        F.sum("total").alias("spent"), F.min("first").alias("first"), F.max("last").alias("last"))
     matched = (vendors_containing(per_vendor, wanted.select("user_id", "vendor"))
                .groupBy("user_id", "wanted")
                .agg(F.sum("spent").alias("total_spent_so_far"), F.min("first").alias("first"), F.max("last").alias("last"))
